@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import entities
+from tagweave.llm import entities, terms
 from tagweave.plans.runtime import Scratch, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -25,8 +25,16 @@ def p1_split_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return p1_splits(spark, folder).groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("group_id").alias("n_groups"))
 
 
+def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.term_counts(table(spark, folder, "sentences"), "row_id", ["tokens", "ner_tags"])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_terms(spark, folder).where("mark is not null").select("field_name", "term", "mark")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms}
 
 
 def oracle_sql() -> dict[str, str]:
