@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import entities, terms
+from tagweave.llm import entities, pieces, terms
 from tagweave.plans.runtime import Scratch, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -33,8 +33,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_terms(spark, folder).where("mark is not null").select("field_name", "term", "mark")
 
 
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pieces.oversized_pieces(table(spark, folder, "sentences"), "row_id", "tokens")
+    documents = table(spark, folder, "annotated_docs").select("id", F.col("tokens.text").alias("words"), F.col("tokens.sentence_index").alias("indices"))
+    cut = pieces.oversized_pieces(documents, "id", "words", sentence_index="indices")
+    return rows.withColumn("item_table", F.lit("sentences")).unionByName(cut.withColumn("item_table", F.lit("annotated_docs")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_pieces(spark, folder).where("piece_no = 0").select("item_table", "item_key", "cut_kind")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
