@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import entities, pieces, terms
+from tagweave.llm import entities, overlap, pieces, terms
 from tagweave.plans.runtime import Scratch, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -44,8 +44,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pieces(spark, folder).where("piece_no = 0").select("item_table", "item_key", "cut_kind")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = overlap.cross_split_pairs(table(spark, folder, "sentences"), Scratch(spark, "p6"))
+    return pairs.select(F.least("train_id", "eval_id").alias("row_id_a"), F.greatest("train_id", "eval_id").alias("row_id_b"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation rows with a partner in training, and their pairs, by split and document."""
+    rows = table(spark, folder, "sentences")
+    scratch = Scratch(spark, "p6")
+    of_row = scratch.keep(overlap.cross_split_pairs(rows, scratch).groupBy("eval_id").agg(F.count("*").alias("n_pairs"), F.min("edits").alias("edits")))
+    where = rows.select(F.col("row_id").alias("eval_id"), F.lower(F.trim("split")).alias("split"), entities.document_key_of("document_name").alias("document"))
+    return where.join(of_row, "eval_id").groupBy("split", "document").agg(
+        F.count("*").alias("n_rows"), F.sum("n_pairs").alias("n_pairs"), F.sum(F.when(F.col("edits") == 0, 1).otherwise(0)).alias("n_same_rows"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report}
 
 
 def oracle_sql() -> dict[str, str]:
