@@ -11,9 +11,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -31,11 +29,11 @@ EDIT_SHARE = 8
 #: Counters of word pairs; pairs that share one count together, which only makes a pattern look more frequent.
 COUNTERS = 1 << 18
 #: Words in a pattern at most, patterns in a shard, training texts that a task holds while it goes through the shards.
-PATTERN_WORDS, SHARD_PATTERNS, HELD_TEXTS = 4, 400_000, 400_000
+PATTERN_WORDS, SHARD_PATTERNS, HELD_TEXTS = 3, 400_000, 400_000
 _BITS, _PLACES = 7, 3
 
 
-def most_edits(n: int) -> int:
+def most_edits(n):
     """Edits that a partner of a text of ``n`` words may have: the longer text has at most n + edits words."""
     return n // (EDIT_SHARE - 1)
 
@@ -68,71 +66,82 @@ def _one_counters(numbers: np.ndarray) -> np.ndarray:
     return ((numbers.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(46)).astype(np.int64)
 
 
+def _flat_numbers(texts: list[list[str]], number: _Numbered) -> tuple[np.ndarray, np.ndarray]:
+    """The words of many texts in one array, and where each text begins (and the last one ends)."""
+    starts = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=starts[1:])
+    return np.fromiter((number[w] for t in texts for w in t), np.uint64, starts[-1]), starts
+
+
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows -> their words joined by blanks; in rows of their own, counts of words and word pairs."""
     number = _Numbered()
     ones, pairs = np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        ids, texts, keys, sizes, held = [], [], [], [], []
-        for row_id, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            own = words(" ".join(t for t in tokens if t is not None))
-            if own:
-                ids.append(row_id), texts.append(" ".join(own)), sizes.append(len(own))
-                held.append(np.fromiter(map(number.__getitem__, own), np.uint64, len(own)))
-        if held:
-            flat = np.concatenate(held)
+        texts = list(map(words, batch.column("joined").to_pylist()))
+        flat, starts = _flat_numbers(texts, number)
+        if len(flat):
             ones += np.bincount(_one_counters(flat), minlength=COUNTERS)
-            inner = np.ones(len(flat) - 1, bool)
-            inner[np.cumsum(sizes)[:-1] - 1] = False
-            pairs += np.bincount(_pair_counters(flat)[inner], minlength=COUNTERS)
-        side = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([side[i] for i in ids], pa.bool_()), pa.array(sizes, pa.int32()), pa.array(texts, pa.string())], ["row_id", "training", "n", "text"])
+            inner = np.ones(len(flat), bool)
+            inner[starts[:-1][np.diff(starts) > 0]] = False  # a text's first word has none before it
+            pairs += np.bincount(_pair_counters(flat)[inner[1:]], minlength=COUNTERS)
+        out = pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("training"), pa.array(np.diff(starts).astype(np.int32)), pa.array(list(map(" ".join, texts)), pa.string())], ["row_id", "training", "n", "text"])
+        yield out.filter(pa.compute.greater(out.column("n"), 0))
     for kind, counts in ((-1, ones), (-2, pairs)):
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.nulls(len(used), pa.bool_()), pa.array(np.full(len(used), kind, np.int32)), pa.array([str(c) for c in counts[used].tolist()], pa.string())], ["row_id", "training", "n", "text"])
 
 
-def information(numbers: np.ndarray, ones: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """How unexpected each word is after the one before it, in nats."""
-    total, single = ones.sum(), ones[_one_counters(numbers)]
-    out = np.empty(len(numbers))
-    out[0] = math.log(total / max(1, single[0]))
-    if len(numbers) > 1:
-        out[1:] = np.log(np.maximum(1.0, single[:-1] / np.maximum(1, pairs[_pair_counters(numbers)])))
+def information(flat: np.ndarray, starts: np.ndarray, ones: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """How unexpected each word is after the one before it in its text, in nats."""
+    single = ones[_one_counters(flat)]
+    out = np.empty(len(flat))
+    out[1:] = np.log(np.maximum(1.0, single[:-1] / np.maximum(1, pairs[_pair_counters(flat)])))
+    out[starts[:-1]] = np.log(ones.sum() / np.maximum(1, single[starts[:-1]]))
     return out
 
 
-def spans(info: np.ndarray) -> list[tuple[int, int]]:
-    """Cuts a text into ``most_edits + 1`` spans of about the same information, each of a word at least."""
-    n = len(info)
-    parts = most_edits(n) + 1
-    reached = np.cumsum(info + 1e-3)
-    ends = np.searchsorted(reached, reached[-1] * np.arange(1, parts) / parts) + 1
-    ends = np.maximum.accumulate(np.maximum(ends, np.arange(1, parts)) - np.arange(parts - 1)) + np.arange(parts - 1)
-    ends = np.minimum(ends, n - parts + np.arange(1, parts))
-    return list(pairwise([0, *ends.tolist(), n]))
-
+def telling_spans(info: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns of many texts at once: the text of each, and its first word and the one after its last.
 
-def _pattern(info: np.ndarray, start: int, end: int) -> tuple[int, int]:
-    """The most telling words of a span."""
-    if end - start <= PATTERN_WORDS:
-        return start, end
-    c = np.concatenate(([0], np.cumsum(info[start:end])))
-    at = start + int(np.argmax(c[PATTERN_WORDS:] - c[:-PATTERN_WORDS]))
-    return at, at + PATTERN_WORDS
+    Each text (none may be empty) is cut into ``most_edits + 1`` spans of about the same information, each of
+    a word at least; a pattern is the most telling PATTERN_WORDS words of a span, or the span if it has no more.
+    """
+    n = np.diff(starts)
+    parts = most_edits(n) + 1
+    reached = np.concatenate(([0.0], np.cumsum(info + 1e-3)))
+    owner = np.repeat(np.arange(len(n)), parts)
+    j = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts) + 1  # 1 to parts within each text
+    low, high = reached[starts[:-1]][owner], reached[starts[1:]][owner]
+    ends = np.searchsorted(reached, low + (high - low) * j / parts[owner])
+    ends = np.maximum.accumulate(np.maximum(ends, starts[:-1][owner] + j) - j) + j
+    ends = np.minimum(ends, starts[1:][owner] - (parts[owner] - j))
+    begins = np.where(j == 1, starts[:-1][owner], np.r_[0, ends[:-1]])
+    ends = np.where(j == parts[owner], starts[1:][owner], ends)
+    size = np.minimum(ends - begins, PATTERN_WORDS)
+    long = np.flatnonzero(ends - begins > PATTERN_WORDS)
+    if len(long):
+        choices = (ends - begins)[long] - PATTERN_WORDS + 1
+        first = np.cumsum(choices) - choices
+        at = np.arange(choices.sum()) - np.repeat(first, choices) + np.repeat(begins[long], choices)
+        total = reached[at + PATTERN_WORDS] - reached[at]
+        best = np.flatnonzero(total == np.repeat(np.maximum.reduceat(total, first), choices))
+        of = np.repeat(np.arange(len(long)), choices)[best]
+        begins[long[of[::-1]]] = at[best[::-1]]  # reversed, so that the first of several stays
+    return owner, begins, begins + size
 
 
 def _patterns(ones: np.ndarray, pairs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _Numbered()
         for batch in batches:
-            starts, ends = [], []
-            for text in batch.column("text").to_pylist():
-                own = text.split(" ")
-                info = information(np.fromiter(map(number.__getitem__, own), np.uint64, len(own)), ones, pairs)
-                chosen = [_pattern(info, a, b) for a, b in spans(info)]
-                starts.append([a for a, _ in chosen]), ends.append([b for _, b in chosen])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("text"), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["key", "n", "text", "starts", "ends"])
+            if not batch.num_rows:
+                continue
+            flat, starts = _flat_numbers([t.split(" ") for t in batch.column("text").to_pylist()], number)
+            owner, a, b = telling_spans(information(flat, starts, ones, pairs), starts)
+            offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array((x - starts[owner]).astype(np.int32))) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("text"), *lists], ["key", "n", "text", "starts", "ends"])
 
     return run
 
@@ -169,46 +178,52 @@ class _Shard:
 
     def __init__(self, data: pa.Table):
         code = _Coded()
-        self.keys, self.n = data.column("key").to_pylist(), data.column("n").to_pylist()
-        self.words = [t.split(" ") for t in data.column("text").to_pylist()]
-        self.sets = [frozenset(w) for w in self.words]
-        self.at: list[list[tuple[int, int, int]]] = []
-        self.automaton = ahocorasick.Automaton()
-        for own, (w, starts, ends) in enumerate(zip(self.words, data.column("starts").to_pylist(), data.column("ends").to_pylist())):
-            for a, b in zip(starts, ends):
-                pattern = "".join(map(code.__getitem__, w[a:b]))
-                if (at := self.automaton.get(pattern, None)) is None:
-                    self.automaton.add_word(pattern, at := len(self.at))
-                    self.at.append([])
-                self.at[at].append((own, a, b))
-        if self.at:
-            self.automaton.make_automaton()
-        self.least, self.most = min(self.n, default=0), max(self.n, default=-1)
+        self.keys, self.n, self.texts = data.column("key").to_pylist(), data.column("n").to_numpy(), data.column("text").to_pylist()
+        automaton, known = ahocorasick.Automaton(), 0
+        patterns, owners, begins, ends = [], [], [], []
+        for own, text in enumerate(self.texts):
+            w = list(map(code.__getitem__, text.split(" ")))
+            for a, b in zip(data.column("starts")[own].values.to_numpy().tolist(), data.column("ends")[own].values.to_numpy().tolist()):
+                pattern = "".join(w[a:b])
+                if (at := automaton.get(pattern, None)) is None:
+                    automaton.add_word(pattern, at := known)
+                    known += 1
+                patterns.append(at), owners.append(own), begins.append(a), ends.append(b)
+        if known:
+            automaton.make_automaton()
+        self.automaton = automaton
+        order = np.argsort(np.asarray(patterns, np.int64), kind="stable")
+        self.first = np.searchsorted(np.asarray(patterns, np.int64)[order], np.arange(known + 1)).astype(np.int32)
+        self.owner, self.begin, self.end = (np.asarray(x, np.int32)[order] for x in (owners, begins, ends))
 
     def partners(self, text: str, n: int, coded: str) -> Iterator[tuple[int, int, float]]:
         """Key, edits and merged coverage of every evaluation text that ``text`` nearly equals."""
-        most, hits = n // EDIT_SHARE, defaultdict(list)
-        for end, pattern in self.automaton.iter(coded):
-            end = (end + 1) // _PLACES
-            for own, a, b in self.at[pattern]:
-                m = self.n[own]
-                edits = max(m, n) // EDIT_SHARE
-                if abs(m - n) <= edits and abs(end - b) <= edits:
-                    hits[own].append((a, b))
-        if not hits:
+        found = [((end + 1) // _PLACES, pattern) for end, pattern in self.automaton.iter(coded)] if len(self.owner) else []
+        if not found:
+            return
+        ends, patterns = np.array(found).T
+        counts = self.first[patterns + 1] - self.first[patterns]
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[patterns], counts)
+        own = self.owner[at]
+        m = self.n[own]
+        edits = np.maximum(m, n) // EDIT_SHARE
+        fits = (np.abs(m - n) <= edits) & (np.abs(np.repeat(ends, counts) - self.end[at]) <= edits)
+        if not fits.any():
             return
         mine = text.split(" ")
         mine_set = set(mine)
-        for own, found in hits.items():
-            edits = max(most, self.n[own] // EDIT_SHARE)
-            if len(mine_set - self.sets[own]) > edits or len(self.sets[own] - mine_set) > edits:
+        at, own = at[fits], own[fits]
+        for one in np.unique(own).tolist():
+            theirs = self.texts[one].split(" ")
+            most = max(n, len(theirs)) // EDIT_SHARE
+            if len(mine_set.difference(theirs)) > most or len(set(theirs) - mine_set) > most:
                 continue  # each edit adds one word at most to either side
-            if (d := edits_within(self.words[own], mine, edits)) is not None:
+            if (d := edits_within(theirs, mine, most)) is not None:
                 covered, reached = 0, 0
-                for a, b in sorted(found):
+                for a, b in sorted(zip(self.begin[at[own == one]].tolist(), self.end[at[own == one]].tolist())):
                     covered += max(0, b - max(a, reached))
                     reached = max(reached, b)
-                yield self.keys[own], d, covered / self.n[own]
+                yield self.keys[one], d, covered / len(theirs)
 
 
 _cache: dict[str, _Shard] = {}
@@ -229,11 +244,8 @@ def _scan(uris: list[str]):
 
         def through() -> Iterator[pa.RecordBatch]:
             for uri in uris:
-                shard, rows = _shard(uri), []
-                lowest, highest = shard.least - shard.least // EDIT_SHARE - 1, shard.most + shard.most // (EDIT_SHARE - 1) + 1
-                for row_id, n, text in held:
-                    if lowest <= n <= highest:
-                        rows += [(row_id, *x) for x in shard.partners(text, n, "".join(map(code.__getitem__, text.split(" "))))]
+                shard = _shard(uri)
+                rows = [(row_id, *x) for row_id, n, text in held for x in shard.partners(text, n, "".join(map(code.__getitem__, text.split(" "))))]
                 yield pa.RecordBatch.from_pylist([dict(zip(("row_id", "key", "edits", "coverage"), r)) for r in rows], schema=pa.schema([("row_id", pa.int64()), ("key", pa.int64()), ("edits", pa.int32()), ("coverage", pa.float64())]))
             held.clear()
 
@@ -257,7 +269,7 @@ def cross_split_pairs(df: DataFrame, scratch: Scratch, id_column: str = "row_id"
     """
     spark = df.sparkSession
     side = F.lower(F.trim(F.regexp_replace(F.col(split), "[\\s\\u00a0]+", " ")))
-    known = df.where(F.col(tokens).isNotNull() & side.isin(*TRAINING, *EVALUATION)).select(F.col(id_column).alias("row_id"), side.isin(*TRAINING).alias("training"), F.col(tokens).alias("tokens"))
+    known = df.where(F.col(tokens).isNotNull() & side.isin(*TRAINING, *EVALUATION)).select(F.col(id_column).alias("row_id"), side.isin(*TRAINING).alias("training"), F.concat_ws(" ", tokens).alias("joined"))
     rows = scratch.keep(known.mapInArrow(_prepare, "row_id long, training boolean, n int, text string"))
     counts = rows.where("n < 0").groupBy("n", "row_id").agg(F.sum(F.col("text").cast("long")).alias("c")).toArrow()  # at most 2 * COUNTERS rows
     tables = []
@@ -271,7 +283,7 @@ def cross_split_pairs(df: DataFrame, scratch: Scratch, id_column: str = "row_id"
     classes = evaluation.groupBy("key").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     n_patterns = evaluation.agg(F.sum(F.expr(f"n div {EDIT_SHARE - 1} + 1"))).first()[0] or 0
     n_shards = max(1, math.ceil(n_patterns / SHARD_PATTERNS))
-    shards = scratch.keep(classes.mapInArrow(_patterns(*tables), "key long, n int, text string, starts array<int>, ends array<int>").repartitionByRange(n_shards, "n", "key"))
+    shards = scratch.keep(classes.repartition(n_shards, "key").mapInArrow(_patterns(*tables), "key long, n int, text string, starts array<int>, ends array<int>"))
     uris = sorted(shards.inputFiles())
     hits = texts.where("training").select("row_id", "n", "text").coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_scan(uris), "row_id long, key long, edits int, coverage double")
     hits = scratch.keep(hits)
