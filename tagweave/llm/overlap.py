@@ -29,8 +29,8 @@ EDIT_SHARE = 8
 #: Counters of word pairs; pairs that share one count together, which only makes a pattern look more frequent.
 COUNTERS = 1 << 18
 #: Words in a pattern at most, patterns in a shard, training texts that a task holds while it goes through the shards.
-PATTERN_WORDS, SHARD_PATTERNS, HELD_TEXTS = 3, 400_000, 400_000
-_BITS, _PLACES = 7, 3
+PATTERN_WORDS, SHARD_PATTERNS, HELD_TEXTS = 6, 400_000, 400_000
+_BITS, _PLACES = 8, 2
 
 
 def most_edits(n):
@@ -39,7 +39,7 @@ def most_edits(n):
 
 
 class _Coded(dict):
-    """Word -> three letters, each from a range of its own, so that matches start at words."""
+    """Word -> two letters, each from a range of its own, so that matches start at words."""
 
     def __missing__(self, word: str) -> str:
         if len(self) > 400_000:
@@ -101,23 +101,49 @@ def information(flat: np.ndarray, starts: np.ndarray, ones: np.ndarray, pairs: n
     return out
 
 
+def _packed(info: np.ndarray, starts: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Goes through all texts at once, closing a span as soon as it holds ``least``: the number of spans of
+    each text, and the number of spans closed up to and including each word."""
+    n = np.diff(starts)
+    held, closed, so_far = np.zeros(len(n)), np.zeros(len(n), np.int64), np.zeros(len(info), np.int64)
+    order = np.argsort(-n, kind="stable")
+    there = np.searchsorted(-n[order], -np.arange(n.max()), side="left")  # texts with a word at each place
+    for place, count in enumerate(there.tolist()):
+        own = order[:count]
+        at = starts[own] + place
+        total = held[own] + info[at]
+        full = total >= least[own]
+        held[own] = np.where(full, 0.0, total)
+        closed[own] += full
+        so_far[at] = closed[own]
+    return closed, so_far
+
+
 def telling_spans(info: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Patterns of many texts at once: the text of each, and its first word and the one after its last.
 
-    Each text (none may be empty) is cut into ``most_edits + 1`` spans of about the same information, each of
-    a word at least; a pattern is the most telling PATTERN_WORDS words of a span, or the span if it has no more.
+    Each text (none may be empty) is cut into ``most_edits + 1`` spans so that the one that holds the least
+    information holds as much as it can; the bound is found by halving. A pattern is the most telling
+    PATTERN_WORDS words of a span, or the span if it has no more.
     """
+    info = info + 1e-6
     n = np.diff(starts)
     parts = most_edits(n) + 1
-    reached = np.concatenate(([0.0], np.cumsum(info + 1e-3)))
+    reached = np.concatenate(([0.0], np.cumsum(info)))
+    least, most = np.zeros(len(n)), (reached[starts[1:]] - reached[starts[:-1]]) / parts
+    for _ in range(7):
+        middle = (least + most) / 2
+        enough = _packed(info, starts, middle)[0] >= parts
+        least, most = np.where(enough, middle, least), np.where(enough, most, middle)
+    _, closed = _packed(info, starts, least)
     owner = np.repeat(np.arange(len(n)), parts)
     j = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts) + 1  # 1 to parts within each text
-    low, high = reached[starts[:-1]][owner], reached[starts[1:]][owner]
-    ends = np.searchsorted(reached, low + (high - low) * j / parts[owner])
-    ends = np.maximum.accumulate(np.maximum(ends, starts[:-1][owner] + j) - j) + j
-    ends = np.minimum(ends, starts[1:][owner] - (parts[owner] - j))
-    begins = np.where(j == 1, starts[:-1][owner], np.r_[0, ends[:-1]])
+    closing = np.flatnonzero(np.diff(closed, prepend=0) * (np.arange(len(info)) != np.repeat(starts[:-1], n)) + (np.arange(len(info)) == np.repeat(starts[:-1], n)) * closed)
+    text = np.repeat(np.arange(len(n)), n)[closing]
+    use = closed[closing] <= parts[text]
+    ends = closing[use] + 1
     ends = np.where(j == parts[owner], starts[1:][owner], ends)
+    begins = np.where(j == 1, starts[:-1][owner], np.r_[0, ends[:-1]])
     size = np.minimum(ends - begins, PATTERN_WORDS)
     long = np.flatnonzero(ends - begins > PATTERN_WORDS)
     if len(long):
@@ -173,6 +199,14 @@ def edits_within(a: list[str], b: list[str], most: int) -> int | None:
     return None
 
 
+def _marks(texts: list[str]) -> np.ndarray:
+    """64 marks for each text, each of its words setting one."""
+    split = [t.split(" ") for t in texts]
+    number = _Numbered()
+    flat, starts = _flat_numbers(split, number)
+    return np.bitwise_or.reduceat(np.uint64(1) << (flat % np.uint64(61)), starts[:-1]) if len(texts) else np.zeros(0, np.uint64)
+
+
 class _Shard:
     """Automaton over the patterns of one shard of evaluation texts."""
 
@@ -194,36 +228,44 @@ class _Shard:
         self.automaton = automaton
         order = np.argsort(np.asarray(patterns, np.int64), kind="stable")
         self.first = np.searchsorted(np.asarray(patterns, np.int64)[order], np.arange(known + 1)).astype(np.int32)
+        self.marks = _marks(self.texts)
         self.owner, self.begin, self.end = (np.asarray(x, np.int32)[order] for x in (owners, begins, ends))
 
-    def partners(self, text: str, n: int, coded: str) -> Iterator[tuple[int, int, float]]:
-        """Key, edits and merged coverage of every evaluation text that ``text`` nearly equals."""
-        found = [((end + 1) // _PLACES, pattern) for end, pattern in self.automaton.iter(coded)] if len(self.owner) else []
-        if not found:
+    def partners(self, held: list[tuple[int, int, str]], code: _Coded) -> Iterator[tuple[int, int, int, float]]:
+        """Row, key, edits and merged coverage of every evaluation text that a held text nearly equals."""
+        if not len(self.owner) or not held:
             return
-        ends, patterns = np.array(found).T
+        coded = ["".join(map(code.__getitem__, text.split(" "))) for _, _, text in held]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
+        starts = np.cumsum(sizes) - sizes
+        found = np.array(list(self.automaton.iter("|".join(coded))), np.int64).reshape(-1, 2)
+        of = np.searchsorted(starts, found[:, 0], side="right") - 1
+        ends, patterns = (found[:, 0] + 1 - starts[of]) // _PLACES, found[:, 1]
         counts = self.first[patterns + 1] - self.first[patterns]
         at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[patterns], counts)
-        own = self.owner[at]
-        m = self.n[own]
-        edits = np.maximum(m, n) // EDIT_SHARE
-        fits = (np.abs(m - n) <= edits) & (np.abs(np.repeat(ends, counts) - self.end[at]) <= edits)
-        if not fits.any():
-            return
-        mine = text.split(" ")
-        mine_set = set(mine)
-        at, own = at[fits], own[fits]
-        for one in np.unique(own).tolist():
-            theirs = self.texts[one].split(" ")
-            most = max(n, len(theirs)) // EDIT_SHARE
-            if len(mine_set.difference(theirs)) > most or len(set(theirs) - mine_set) > most:
-                continue  # each edit adds one word at most to either side
+        own, of = self.owner[at], np.repeat(of, counts)
+        n = np.fromiter((x[1] for x in held), np.int64, len(held))[of]
+        edits = np.maximum(self.n[own], n) // EDIT_SHARE
+        marks = _marks([text for _, _, text in held])[of]
+        # an edit adds one word at most to either side, so it sets one mark at most that the other text lacks
+        fits = (np.abs(self.n[own] - n) <= edits) & (np.abs(np.repeat(ends, counts) - self.end[at]) <= edits)
+        fits &= (np.bitwise_count(marks & ~self.marks[own]) <= edits) & (np.bitwise_count(self.marks[own] & ~marks) <= edits)
+        at, own, of = at[fits], own[fits], of[fits]
+        order = np.lexsort((self.begin[at], own, of))
+        at, own, of = at[order], own[order], of[order]
+        heads = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(of) != 0)]) if len(at) else []
+        for head, after in zip(heads, [*heads[1:], len(at)]):
+            row_id, size, text = held[of[head]]
+            theirs, mine = self.texts[own[head]].split(" "), text.split(" ")
+            most = max(size, len(theirs)) // EDIT_SHARE
+            if len(set(mine).difference(theirs)) > most or len(set(theirs).difference(mine)) > most:
+                continue
             if (d := edits_within(theirs, mine, most)) is not None:
                 covered, reached = 0, 0
-                for a, b in sorted(zip(self.begin[at[own == one]].tolist(), self.end[at[own == one]].tolist())):
+                for a, b in zip(self.begin[at[head:after]].tolist(), self.end[at[head:after]].tolist()):
                     covered += max(0, b - max(a, reached))
                     reached = max(reached, b)
-                yield self.keys[one], d, covered / len(theirs)
+                yield row_id, self.keys[own[head]], d, covered / len(theirs)
 
 
 _cache: dict[str, _Shard] = {}
@@ -245,7 +287,7 @@ def _scan(uris: list[str]):
         def through() -> Iterator[pa.RecordBatch]:
             for uri in uris:
                 shard = _shard(uri)
-                rows = [(row_id, *x) for row_id, n, text in held for x in shard.partners(text, n, "".join(map(code.__getitem__, text.split(" "))))]
+                rows = [x for i in range(0, len(held), 5000) for x in shard.partners(held[i : i + 5000], code)]
                 yield pa.RecordBatch.from_pylist([dict(zip(("row_id", "key", "edits", "coverage"), r)) for r in rows], schema=pa.schema([("row_id", pa.int64()), ("key", pa.int64()), ("edits", pa.int32()), ("coverage", pa.float64())]))
             held.clear()
 
