@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import entities, overlap, pieces, terms
+from tagweave.llm import entities, overlap, pieces, sentences, terms
 from tagweave.plans.runtime import Scratch, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -33,6 +33,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_terms(spark, folder).where("mark is not null").select("field_name", "term", "mark")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return sentences.sentence_spans(documents, sentences.fit(documents, table(spark, folder, "annotated_docs")))
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     rows = pieces.oversized_pieces(table(spark, folder, "sentences"), "row_id", "tokens")
     documents = table(spark, folder, "annotated_docs").select("id", F.col("tokens.text").alias("words"), F.col("tokens.sentence_index").alias("indices"))
@@ -60,7 +65,7 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report}
 
 
 def oracle_sql() -> dict[str, str]:
