@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -63,3 +64,53 @@ class Characters:
 
     def lower(self, at: np.ndarray) -> np.ndarray:
         return tables()[1][self.small[at]]
+
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    if base not in _powers or len(_powers[base]) < n:
+        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps[0] = 1
+        _powers[base] = np.cumprod(steps)
+    return _powers[base][:n]
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Mixes 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _is(*kinds: int) -> np.ndarray:
+    table = np.zeros(32, bool)
+    table[list(kinds)] = True
+    return table
+
+
+@dataclass
+class Units:
+    """Words (runs of letters or digits) of many texts; in scripts without blanks, characters."""
+
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    single: np.ndarray
+    text: np.ndarray
+
+
+def units(chars: Characters, singles: tuple[int, ...] = (CJK,)) -> Units:
+    """The units of every text, in order. The hash of a unit is that of its lower case, wherever it stands."""
+    single = _is(*singles)[chars.kinds]
+    word = _is(*({LOWER, UPPER, DIGIT, LETTER, CJK, THAI} - set(singles)))[chars.kinds]
+    start = np.flatnonzero(single | (word & ~np.r_[False, word[:-1]]))
+    end = np.where(single[start], start + 1, 0)
+    end[~single[start]] = np.flatnonzero(word & ~np.r_[word[1:], False]) + 1
+    sums = np.zeros(len(chars.codes) + 1, np.uint64)
+    np.cumsum((tables()[1][chars.small].astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(chars.codes)), out=sums[1:])
+    h = (sums[end] - sums[start]) * _power(_INVERSE, len(chars.codes))[start]
+    return Units(start, end, spread(h), single[start], np.searchsorted(chars.starts, start, side="right") - 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import entities, overlap, pieces, sentences, terms
+from tagweave.llm import entities, overlap, pieces, sentences, subjects, terms
 from tagweave.plans.runtime import Scratch, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -64,8 +64,28 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("n_rows"), F.sum("n_pairs").alias("n_pairs"), F.sum(F.when(F.col("edits") == 0, 1).otherwise(0)).alias("n_same_rows"))
 
 
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    boundaries = sentences.fit(documents, table(spark, folder, "annotated_docs"))
+    classifier = subjects.fit(documents, table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas"), boundaries)
+    return subjects.document_subjects(documents, classifier)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "subject")
+
+
+def p9_makeup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, and sentences that deal with it, of every subject by source and language."""
+    code = F.substring(F.lower(F.trim("lang")), 1, 2)
+    lang = F.when(code == "cn", "zh").when(code == "jp", "ja").otherwise(code)
+    about = table(spark, folder, "documents").select("doc_id", "source", lang.alias("lang"))
+    return about.join(_subjects(spark, folder), "doc_id").groupBy("source", "lang", "subject").agg(
+        F.count("*").alias("n_documents"), F.round(F.sum(F.col("share") * F.col("n_sentences"))).cast("long").alias("n_sentences"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p9_found": p9_found, "p9_makeup": p9_makeup}
 
 
 def oracle_sql() -> dict[str, str]:
