@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import entities, overlap, pieces, sentences, subjects, terms
+from tagweave.llm import entities, leaks, overlap, pieces, sentences, subjects, terms
 from tagweave.plans.runtime import Scratch, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -84,8 +84,23 @@ def p9_makeup(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("n_documents"), F.round(F.sum(F.col("share") * F.col("n_sentences"))).cast("long").alias("n_sentences"))
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_passages"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("passage_id", "doc_id")
+
+
+def p8_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage with the documents that give it away, none for a clean one."""
+    found = _leaks(spark, folder).groupBy("passage_id").agg(F.count("*").alias("n_documents"), F.max("part").alias("largest_part"))
+    items = table(spark, folder, "eval_passages").select("passage_id", "test_set", "lang")
+    return items.join(found, "passage_id", "left").select("passage_id", "test_set", "lang", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.round(F.coalesce("largest_part", F.lit(0.0)), 6).alias("largest_part"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p9_found": p9_found, "p9_makeup": p9_makeup}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_makeup": p9_makeup}
 
 
 def oracle_sql() -> dict[str, str]:

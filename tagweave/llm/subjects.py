@@ -89,9 +89,11 @@ class Sentences:
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """For each sentence, the sum of its n-grams' rows of ``weights``."""
         out = np.zeros((len(self.text), weights.shape[1]))
-        if len(self.owner):
-            starts = np.flatnonzero(np.r_[True, np.diff(self.owner) != 0])
-            out[self.owner[starts]] = np.add.reduceat(weights[self.grams], starts, axis=0)
+        starts = np.flatnonzero(np.r_[True, np.diff(self.owner) != 0]) if len(self.owner) else np.zeros(0, np.int64)
+        for i in range(0, len(starts), 8000):  # in slices, to hold little at once
+            own = starts[i : i + 8000]
+            end = starts[i + 8000] if i + 8000 < len(starts) else len(self.owner)
+            out[self.owner[own]] = np.add.reduceat(weights[self.grams[own[0] : end]], own - own[0], axis=0)
         return out
 
 
