@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import entities, leaks, overlap, pieces, sentences, subjects, terms
+from tagweave.llm import entities, leaks, overlap, packing, pieces, sentences, subjects, terms
 from tagweave.plans.runtime import Scratch, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -84,6 +84,16 @@ def p9_makeup(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("n_documents"), F.round(F.sum(F.col("share") * F.col("n_sentences"))).cast("long").alias("n_sentences"))
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.containers(table(spark, folder, "documents"), Scratch(spark, "p7"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers by how full they are."""
+    filled = p7_containers(spark, folder).groupBy("container_id").agg(F.sum("n_tokens").alias("n_tokens"))
+    return filled.groupBy("n_tokens").agg(F.count("*").alias("n_containers"))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_passages"))
 
@@ -100,7 +110,7 @@ def p8_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_makeup": p9_makeup}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_makeup": p9_makeup}
 
 
 def oracle_sql() -> dict[str, str]:
