@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import entities, leaks, overlap, packing, pieces, sentences, subjects, terms
+from tagweave.llm import consensus, entities, leaks, overlap, packing, pieces, sentences, subjects, terms
 from tagweave.plans.runtime import Scratch, table
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -25,6 +25,24 @@ def p1_split_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return p1_splits(spark, folder).groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("group_id").alias("n_groups"))
 
 
+def _consensus(spark: SparkSession, folder: str) -> consensus.Consensus:
+    return consensus.Consensus(table(spark, folder, "mention_items"), table(spark, folder, "mention_votes"), Scratch(spark, "p2"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _consensus(spark, folder).labels().select("item_id", "mention_type")
+
+
+def p2_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    return _consensus(spark, folder).labels()
+
+
+def p2_reliability(spark: SparkSession, folder: str) -> DataFrame:
+    """Reliability of every configuration, those without a vote included."""
+    configs = table(spark, folder, "run_configs").select("config_name", "model_name", "reasoning_effort")
+    return configs.join(_consensus(spark, folder).reliability(), "config_name", "left")
+
+
 def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
     return terms.term_counts(table(spark, folder, "sentences"), "row_id", ["tokens", "ner_tags"])
 
@@ -110,7 +128,7 @@ def p8_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_makeup": p9_makeup}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p2_found": p2_found, "p2_agreement": p2_agreement, "p2_reliability": p2_reliability, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_makeup": p9_makeup}
 
 
 def oracle_sql() -> dict[str, str]:
