@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -30,6 +31,8 @@ EDIT_SHARE = 8
 COUNTERS = 1 << 18
 #: Words in a pattern at most, patterns in a shard, training texts that a task holds while it goes through the shards.
 PATTERN_WORDS, SHARD_PATTERNS, HELD_TEXTS = 6, 400_000, 400_000
+#: Shards that are scans of their own in the plan; more share one.
+MOST_BRANCHES = 200
 _BITS, _PLACES = 8, 2
 
 
@@ -199,12 +202,12 @@ def edits_within(a: list[str], b: list[str], most: int) -> int | None:
     return None
 
 
-def _marks(texts: list[str]) -> np.ndarray:
-    """64 marks for each text, each of its words setting one."""
-    split = [t.split(" ") for t in texts]
-    number = _Numbered()
-    flat, starts = _flat_numbers(split, number)
-    return np.bitwise_or.reduceat(np.uint64(1) << (flat % np.uint64(61)), starts[:-1]) if len(texts) else np.zeros(0, np.uint64)
+def _marks(coded: list[str]) -> np.ndarray:
+    """64 marks for each coded text, each of its words setting one."""
+    letters = np.frombuffer("".join(coded).encode("utf-16-le"), np.uint16).reshape(-1, _PLACES).astype(np.uint64)
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // _PLACES
+    bits = np.uint64(1) << ((letters[:, 0] * np.uint64(31) + letters[:, 1]) % np.uint64(64))
+    return np.bitwise_or.reduceat(bits, np.cumsum(sizes) - sizes) if len(coded) else np.zeros(0, np.uint64)
 
 
 class _Shard:
@@ -213,22 +216,21 @@ class _Shard:
     def __init__(self, data: pa.Table):
         code = _Coded()
         self.keys, self.n, self.texts = data.column("key").to_pylist(), data.column("n").to_numpy(), data.column("text").to_pylist()
-        automaton, known = ahocorasick.Automaton(), 0
-        patterns, owners, begins, ends = [], [], [], []
-        for own, text in enumerate(self.texts):
-            w = list(map(code.__getitem__, text.split(" ")))
-            for a, b in zip(data.column("starts")[own].values.to_numpy().tolist(), data.column("ends")[own].values.to_numpy().tolist()):
-                pattern = "".join(w[a:b])
-                if (at := automaton.get(pattern, None)) is None:
-                    automaton.add_word(pattern, at := known)
-                    known += 1
-                patterns.append(at), owners.append(own), begins.append(a), ends.append(b)
+        coded = ["".join(map(code.__getitem__, t.split(" "))) for t in self.texts]
+        first = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(data.column("starts")).to_numpy())))
+        begins, ends = (pa.compute.list_flatten(data.column(c)).to_numpy() for c in ("starts", "ends"))
+        owners = np.repeat(np.arange(len(coded)), np.diff(first))
+        ids: dict[str, int] = {}
+        patterns = [ids.setdefault(coded[o][a:b], len(ids)) for o, a, b in zip(owners.tolist(), (begins * _PLACES).tolist(), (ends * _PLACES).tolist())]
+        automaton, known = ahocorasick.Automaton(), len(ids)
+        for pattern, at in ids.items():
+            automaton.add_word(pattern, at)
+        self.marks = _marks(coded)
         if known:
             automaton.make_automaton()
         self.automaton = automaton
         order = np.argsort(np.asarray(patterns, np.int64), kind="stable")
         self.first = np.searchsorted(np.asarray(patterns, np.int64)[order], np.arange(known + 1)).astype(np.int32)
-        self.marks = _marks(self.texts)
         self.owner, self.begin, self.end = (np.asarray(x, np.int32)[order] for x in (owners, begins, ends))
 
     def partners(self, held: list[tuple[int, int, str]], code: _Coded) -> Iterator[tuple[int, int, int, float]]:
@@ -246,7 +248,7 @@ class _Shard:
         own, of = self.owner[at], np.repeat(of, counts)
         n = np.fromiter((x[1] for x in held), np.int64, len(held))[of]
         edits = np.maximum(self.n[own], n) // EDIT_SHARE
-        marks = _marks([text for _, _, text in held])[of]
+        marks = _marks(coded)[of]
         # an edit adds one word at most to either side, so it sets one mark at most that the other text lacks
         fits = (np.abs(self.n[own] - n) <= edits) & (np.abs(np.repeat(ends, counts) - self.end[at]) <= edits)
         fits &= (np.bitwise_count(marks & ~self.marks[own]) <= edits) & (np.bitwise_count(self.marks[own] & ~marks) <= edits)
@@ -268,26 +270,19 @@ class _Shard:
                 yield row_id, self.keys[own[head]], d, covered / len(theirs)
 
 
-_cache: dict[str, _Shard] = {}
-
-
-def _shard(uri: str) -> _Shard:
-    """The shard at ``uri``; a worker keeps the last one, so that a single shard is built once a worker."""
-    if uri not in _cache:
-        _cache.clear()
-        fs, path = pa.fs.FileSystem.from_uri(uri)
-        _cache[uri] = _Shard(pa.parquet.read_table(path, filesystem=fs))
-    return _cache[uri]
-
-
 def _scan(uris: list[str]):
+    """Goes through the shards at ``uris`` with each block of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, held = _Coded(), []
+        code, held, shards = _Coded(), [], {}
 
         def through() -> Iterator[pa.RecordBatch]:
             for uri in uris:
-                shard = _shard(uri)
-                rows = [x for i in range(0, len(held), 5000) for x in shard.partners(held[i : i + 5000], code)]
+                if uri not in shards:
+                    shards.clear()  # one at a time is held
+                    fs, path = pa.fs.FileSystem.from_uri(uri)
+                    shards[uri] = _Shard(pa.parquet.read_table(path, filesystem=fs))
+                rows = [x for i in range(0, len(held), 5000) for x in shards[uri].partners(held[i : i + 5000], code)]
                 yield pa.RecordBatch.from_pylist([dict(zip(("row_id", "key", "edits", "coverage"), r)) for r in rows], schema=pa.schema([("row_id", pa.int64()), ("key", pa.int64()), ("edits", pa.int32()), ("coverage", pa.float64())]))
             held.clear()
 
@@ -327,7 +322,12 @@ def cross_split_pairs(df: DataFrame, scratch: Scratch, id_column: str = "row_id"
     n_shards = max(1, math.ceil(n_patterns / SHARD_PATTERNS))
     shards = scratch.keep(classes.repartition(n_shards, "key").mapInArrow(_patterns(*tables), "key long, n int, text string, starts array<int>, ends array<int>"))
     uris = sorted(shards.inputFiles())
-    hits = texts.where("training").select("row_id", "n", "text").coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_scan(uris), "row_id long, key long, edits int, coverage double")
+    training = texts.where("training").select("row_id", "n", "text")
+    # every shard scans all training texts; with fewer shards than cores the texts are divided, so that as few
+    # automata are built as keep the cores busy
+    groups = [uris[i::MOST_BRANCHES] for i in range(min(len(uris), MOST_BRANCHES))]
+    parts = max(1, -(-spark.sparkContext.defaultParallelism // max(1, len(groups))))
+    hits = reduce(DataFrame.unionByName, [training.coalesce(parts).mapInArrow(_scan(g), "row_id long, key long, edits int, coverage double") for g in groups])
     hits = scratch.keep(hits)
     members = evaluation.select("key", F.col("row_id").alias("eval_id"))
     return hits.join(members, "key").select(F.col("row_id").alias("train_id"), "eval_id", "edits", "coverage")
