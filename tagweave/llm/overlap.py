@@ -30,7 +30,7 @@ EDIT_SHARE = 8
 #: Counters of word pairs; pairs that share one count together, which only makes a pattern look more frequent.
 COUNTERS = 1 << 18
 #: Words in a pattern at most, patterns in a shard, training texts that a task holds while it goes through the shards.
-PATTERN_WORDS, SHARD_PATTERNS, HELD_TEXTS = 6, 400_000, 400_000
+PATTERN_WORDS, SHARD_PATTERNS, HELD_TEXTS = 6, 800_000, 400_000
 #: Shards that are scans of their own in the plan; more share one.
 MOST_BRANCHES = 200
 _BITS, _PLACES = 8, 2
