@@ -30,7 +30,7 @@ EDIT_SHARE = 8
 #: Counters of word pairs; pairs that share one count together, which only makes a pattern look more frequent.
 COUNTERS = 1 << 18
 #: Words in a pattern at most, patterns in a shard, training texts that a task holds while it goes through the shards.
-PATTERN_WORDS, SHARD_PATTERNS, HELD_TEXTS = 6, 800_000, 400_000
+PATTERN_WORDS, SHARD_PATTERNS, HELD_TEXTS = 8, 400_000, 400_000
 #: Shards that are scans of their own in the plan; more share one.
 MOST_BRANCHES = 200
 _BITS, _PLACES = 8, 2
@@ -320,14 +320,24 @@ def cross_split_pairs(df: DataFrame, scratch: Scratch, id_column: str = "row_id"
     classes = evaluation.groupBy("key").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     n_patterns = evaluation.agg(F.sum(F.expr(f"n div {EDIT_SHARE - 1} + 1"))).first()[0] or 0
     n_shards = max(1, math.ceil(n_patterns / SHARD_PATTERNS))
-    shards = scratch.keep(classes.repartition(n_shards, "key").mapInArrow(_patterns(*tables), "key long, n int, text string, starts array<int>, ends array<int>"))
-    uris = sorted(shards.inputFiles())
+    shards = scratch.keep(classes.repartitionByRange(n_shards, "n", "key").mapInArrow(_patterns(*tables), "key long, n int, text string, starts array<int>, ends array<int>"))
+    # shards hold texts of neighbouring lengths: each is scanned by the training texts whose length can fit only
+    ranges = shards.groupBy(F.input_file_name().alias("uri")).agg(F.min("n").alias("low"), F.max("n").alias("high")).orderBy("low", "uri").collect()
     training = texts.where("training").select("row_id", "n", "text")
-    # every shard scans all training texts; with fewer shards than cores the texts are divided, so that as few
-    # automata are built as keep the cores busy
-    groups = [uris[i::MOST_BRANCHES] for i in range(min(len(uris), MOST_BRANCHES))]
+    # with fewer shards than cores the texts are divided, so that as few automata are built as keep the cores busy
+    size = max(1, -(-len(ranges) // MOST_BRANCHES))
+    groups = [ranges[i : i + size] for i in range(0, len(ranges), size)]
     parts = max(1, -(-spark.sparkContext.defaultParallelism // max(1, len(groups))))
-    hits = reduce(DataFrame.unionByName, [training.coalesce(parts).mapInArrow(_scan(g), "row_id long, key long, edits int, coverage double") for g in groups])
+
+    def scan(group) -> DataFrame:
+        low, high = min(g.low for g in group), max(g.high for g in group)
+        fits = F.col("n").between(low - low // EDIT_SHARE - 1, high + most_edits(high) + 1)
+        return training.where(fits).coalesce(parts).mapInArrow(_scan([g.uri for g in group]), "row_id long, key long, edits int, coverage double")
+
+    if groups:
+        hits = reduce(DataFrame.unionByName, map(scan, groups))
+    else:
+        hits = spark.createDataFrame([], "row_id long, key long, edits int, coverage double")
     hits = scratch.keep(hits)
     members = evaluation.select("key", F.col("row_id").alias("eval_id"))
     return hits.join(members, "key").select(F.col("row_id").alias("train_id"), "eval_id", "edits", "coverage")
