@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, functions as F, types as T
 
 # Fixed value: a word is a dotted abbreviation, letters and digits with inner apostrophes or hyphens, or one other mark.
 WORD = r"(?:[A-Za-z]\.){2,}|[\p{L}\p{N}_]+(?:['’-][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s\p{Z}\x{85}]"
@@ -12,16 +17,20 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def word_spans(text: Column) -> Column:
-    """Words with their character offsets ``(word, start, end)``: each is found after the end of the one before."""
-    empty = F.array().cast("array<struct<word:string,start:int,end:int>>")
+#: The same pattern where matches with their places are needed, which the JVM's functions don't give.
+_WORD = re.compile(r"(?:[A-Za-z]\.){2,}|\w+(?:['’-]\w+)*|[^\w\s]")
 
-    def add(found, w):
-        last = F.coalesce(F.try_element_at(found, F.lit(-1))["end"], F.lit(0))
-        at = F.call_function("locate", w, text, last + 1)
-        return F.concat(found, F.array(F.struct(w.alias("word"), (at - 1).cast("int").alias("start"), (at - 1 + F.length(w)).cast("int").alias("end"))))
 
-    return F.aggregate(words(text), empty, add)
+def word_spans(text: Column) -> Column:
+    """Words with their character offsets ``(word, start, end)``. Null texts have none."""
+    def run(text: pa.Array) -> pa.Array:
+        rows = [[(m[0], m.start(), m.end()) for m in _WORD.finditer(t or "")] for t in text.to_pylist()]
+        words, starts, ends = ([x[k] for r in rows for x in r] for k in range(3))
+        offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["word", "start", "end"]))
+
+    item = T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    return F.arrow_udf(run, T.ArrayType(item))(text)
 
 
 def char_offset(text: Column, n_bytes: Column) -> Column:
@@ -53,27 +62,37 @@ def numbered_lines(sentences: Column) -> Column:
 
 
 def token_char_spans(tokens: Column) -> Column:
-    """``(start, end)`` of each token in the text of all tokens joined by blanks."""
-    lengths = F.transform(tokens, lambda t: F.length(F.coalesce(t, F.lit(""))))
-    return F.transform(lengths, lambda n, i: F.struct(
-        F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x + 1).cast("int").alias("start"),
-        (F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x + 1) + n).cast("int").alias("end")))
+    """``(start, end)`` of each token in the text of all tokens joined by blanks; a null token is empty."""
+    def run(tokens: pa.Array) -> pa.Array:
+        rows = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
+        n = pc.fill_null(pc.utf8_length(pc.list_flatten(tokens)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.searchsorted(rows, np.arange(len(tokens) + 1))
+        ends = np.cumsum(n + 1) - 1
+        base = np.concatenate(([0], ends + 1))[first[rows]] if len(rows) else ends
+        values = pa.StructArray.from_arrays([pa.array((ends - n - base).astype(np.int32)), pa.array((ends - base).astype(np.int32))], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), values)
+
+    item = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    return F.arrow_udf(run, T.ArrayType(item))(tokens)
+
+
+def _inline(tokens: list[str | None], mentions: list[dict]) -> str:
+    out = [t or "" for t in tokens]
+    for k, m in reversed(list(enumerate(mentions))):
+        at = [i for i in m["tokens"] or () if 0 <= i < len(out)]
+        if at:
+            name = (m["type"] or "").lower().replace(" ", "_")
+            out[min(at)] = f"<{name} id={k}> {out[min(at)]}"
+            out[max(at)] = f"{out[max(at)]} </{name}>"
+    return " ".join(out)
 
 
 def inline_tags(tokens: Column, mentions: Column) -> Column:
-    """Tokens joined by blanks, each mention ``(type, tokens)`` in a tag at its first and last token with its number."""
-
-    def name(m):
-        return F.regexp_replace(F.lower(m["type"]), " ", "_")
-
-    numbered = F.transform(mentions, lambda m, k: F.struct(k.alias("k"), m["type"].alias("type"), F.array_min(m["tokens"]).alias("first"), F.array_max(m["tokens"]).alias("last")))
-
-    def one(t, i):
-        opened = F.array_join(F.transform(F.filter(numbered, lambda m: m["first"] == i), lambda m: F.concat(F.lit("<"), name(m), F.lit(" id="), m["k"].cast("string"), F.lit("> "))), "")
-        closed = F.array_join(F.transform(F.reverse(F.filter(numbered, lambda m: m["last"] == i)), lambda m: F.concat(F.lit(" </"), name(m), F.lit(">"))), "")
-        return F.concat(opened, F.coalesce(t, F.lit("")), closed)
+    """Tokens joined by blanks, each mention ``(type, tokens)`` in a tag with its number, at its first and last token."""
+    def run(tokens: pa.Array, mentions: pa.Array) -> pa.Array:
+        return pa.array([_inline(t or [], m or []) for t, m in zip(tokens.to_pylist(), mentions.to_pylist())], pa.string())
 
-    return F.array_join(F.transform(tokens, one), " ")
+    return F.arrow_udf(run, T.StringType())(tokens, mentions)
 
 
 def answer_line(line: Column, n_sentences: Column) -> Column:

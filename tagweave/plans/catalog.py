@@ -134,7 +134,8 @@ def _(spark, folder):
 SELECT tag, count(*) AS n FROM (SELECT unnest(list_transform(gold, lambda t, i: CASE
   WHEN t = 'O' THEN 'O' WHEN t LIKE 'B-%' OR i = 1 OR gold[i - 1] = 'O' OR substr(gold[i - 1], 3) <> substr(t, 3) THEN 'B-' || substr(t, 3) ELSE 'I-' || substr(t, 3) END)) AS tag FROM tagged) GROUP BY tag""")
 def _(spark, folder):
-    rows = D.tagged(spark, folder).select(F.explode(spans.tags_of(spans.chunks(F.col("gold")), F.size("gold"))).alias("tag"))
+    found = D.tagged(spark, folder).select(F.size("gold").alias("n"), spans.chunks(F.col("gold")).alias("found"))
+    rows = found.select(F.explode(spans.tags_of(F.col("found"), F.col("n"))).alias("tag"))
     return rows.groupBy("tag").agg(F.count("*").alias("n"))
 
 
