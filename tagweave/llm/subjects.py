@@ -143,7 +143,7 @@ def weak_labels(s: Sentences, given: np.ndarray, n_subjects: int) -> np.ndarray:
         counts = np.stack([np.bincount(s.grams, q[s.owner, z] * once, WIDTH) for z in range(k)], 1)
         base = q.sum(0) / max(1e-9, q.sum())
         share = (counts + SMOOTH * base) / (counts.sum(1, keepdims=True) + SMOOTH)
-        weights = np.where(may & (share >= TELLING) & (counts > 1.5), np.log(share / base), 0.0)
+        weights = np.where(may & (share >= TELLING) & (counts > 1.5), np.log(np.maximum(share, 1e-12) / np.maximum(base, 1e-9)), 0.0)
         evidence = np.minimum(s.sums(weights), 12.0)
         found = evidence.max(1) > 0
         theta = prior
@@ -166,6 +166,8 @@ def weak_labels(s: Sentences, given: np.ndarray, n_subjects: int) -> np.ndarray:
 def train(s: Sentences, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and intercepts of one logistic classifier per subject, on soft labels."""
     k = target.shape[1]
+    if not len(s.text):
+        return np.zeros((WIDTH, k), np.float32), np.full(k, -10.0)
     size = np.maximum(1, np.bincount(s.owner, minlength=len(s.text)))
     w, b = np.zeros((WIDTH, k)), np.log((target.mean(0) + 1e-3) / (1 - target.mean(0) + 1e-3))
     m, v = np.zeros_like(w), np.zeros_like(w)
