@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tagweave.functions import spans, text
 from tagweave.operators import annotation, curves as C, evaluation as E, profile as P, quality as V, selection as A, stats as ST, ledger as L
 from tagweave.plans import adapters as D
-from tagweave.plans.runtime import table
+from tagweave.operators import loop
+from tagweave.plans.runtime import Scratch, table
 from tagweave.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -552,6 +553,13 @@ def _(spark, folder):
     return out.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("context"))
 
 
+@query("a8_acquisition_loop")
+def _(spark, folder):
+    w = D.words(spark, folder).where("word is not null").select("row_id", "part", "wid", "word", "gold")
+    results, _ = loop.run(*(w.where(F.col("part") == p).drop("part") for p in ("bootstrap", "pool", "test")), Scratch(spark, "a8"), "row_id", 1000, 100.0, "entropy", 1, most_rounds=2)
+    return results
+
+
 # ---- profile of a corpus
 
 LEX = D.with_ctes(D.TAGGED, D.WORDS, _TTR)

@@ -69,7 +69,7 @@ def stand_off(spark: SparkSession, folder: str) -> DataFrame:
     def stem(c):
         return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.(?:txt|ann)$", 1)
 
-    texts = spark.read.option("wholetext", True).text(f"{folder}/*.txt").select(stem("p").alias("document_name"), F.col("value").alias("text"))
+    texts = spark.read.text(f"{folder}/*.txt", wholetext=True).select(stem("p").alias("document_name"), F.col("value").alias("text"))
     lines = spark.read.text(f"{folder}/*.ann").select(stem("p").alias("document_name"), text.annotation_line(F.col("value")).alias("a")).where("a is not null")
     joined = lines.join(texts, "document_name")
     start, end = (text.char_offset(F.col("text"), F.col(f"a.{c}")) for c in ("start", "end"))
