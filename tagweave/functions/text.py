@@ -21,10 +21,14 @@ def words(text: Column) -> Column:
 _WORD = re.compile(r"(?:[A-Za-z]\.){2,}|\w+(?:['’-]\w+)*|[^\w\s]")
 
 
+def spans_of_words(text: str | None) -> list[tuple[str, int, int]]:
+    return [(m[0], m.start(), m.end()) for m in _WORD.finditer(text or "")]
+
+
 def word_spans(text: Column) -> Column:
     """Words with their character offsets ``(word, start, end)``. Null texts have none."""
     def run(text: pa.Array) -> pa.Array:
-        rows = [[(m[0], m.start(), m.end()) for m in _WORD.finditer(t or "")] for t in text.to_pylist()]
+        rows = [spans_of_words(t) for t in text.to_pylist()]
         words, starts, ends = ([x[k] for r in rows for x in r] for k in range(3))
         offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["word", "start", "end"]))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tagweave.functions import text
 
@@ -80,23 +81,31 @@ def stand_off(spark: SparkSession, folder: str) -> DataFrame:
     return texts.join(checked.groupBy("document_name").agg(spans.alias("spans")), "document_name", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,type:string>>")))
 
 
+def _tagged_sentences(body: str, spans: list[dict]) -> list[tuple[list[str], list[str]]]:
+    words = text.spans_of_words(body)
+    tags = ["O"] * len(words)
+    for s in sorted(spans, key=lambda s: (s["start"] - s["end"], s["start"])):
+        inside = [i for i, (_, a, b) in enumerate(words) if a < s["end"] and b > s["start"]]
+        if inside and all(tags[i] == "O" for i in inside):
+            for i in inside:
+                tags[i] = ("B-" if i == inside[0] else "I-") + s["type"]
+    cuts = [0, *(i for i in range(1, len(words)) if "\n" in body[words[i - 1][2] : words[i][1]] or words[i - 1][0] in ".!?" and words[i][0] not in ".!?"), len(words)]
+    return [([w for w, _, _ in words[a:b]], tags[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
 def stand_off_sentences(docs: DataFrame) -> DataFrame:
-    """Tagged sentences of stand-off documents: words, spans longest first without overlap, cut after end marks and at line breaks."""
-    w = docs.select("document_name", "text", "spans", text.word_spans(F.col("text")).alias("words"))
-    longest = F.array_sort("spans", lambda a, b: F.when((b["end"] - b["start"]) != (a["end"] - a["start"]), (b["end"] - b["start"]) - (a["end"] - a["start"])).otherwise(a["start"] - b["start"]).cast("int"))
-    numbered = F.transform("words", lambda x, i: F.struct(i.cast("int").alias("i"), x["start"].alias("start"), x["end"].alias("end")))
-    kept = F.aggregate(longest, F.array().cast("array<struct<type:string,first:int,last:int>>"), lambda a, s: F.when(
-        F.exists(a, lambda o: F.exists(F.filter(numbered, lambda x: (x["start"] < s["end"]) & (x["end"] > s["start"])), lambda x: x["i"].between(o["first"], o["last"])))
-        | ~F.exists(numbered, lambda x: (x["start"] < s["end"]) & (x["end"] > s["start"])), a).otherwise(F.concat(a, F.array(F.struct(
-            s["type"].alias("type"), F.get(F.filter(numbered, lambda x: (x["start"] < s["end"]) & (x["end"] > s["start"])), 0)["i"].alias("first"),
-            F.try_element_at(F.filter(numbered, lambda x: (x["start"] < s["end"]) & (x["end"] > s["start"])), F.lit(-1))["i"].alias("last"))))))
-    from tagweave.functions.spans import tags_of
-
-    tagged = w.withColumn("kept", kept).withColumn("tags", tags_of(F.col("kept"), F.size("words")))
-    new = lambda i: (F.get(F.col("words"), i - 1)["word"].rlike(r"^[.!?]$") & ~F.get(F.col("words"), i)["word"].rlike(r"^[.!?]$")) | F.substring("text", F.get(F.col("words"), i - 1)["end"] + 1, F.get(F.col("words"), i)["start"] - F.get(F.col("words"), i - 1)["end"]).contains("\n")
-    starts = F.concat(F.when(F.size("words") > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(F.size("words") > 1, F.filter(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), new)).otherwise(F.array().cast("array<int>")))
-    cut = tagged.withColumn("starts", starts).select("document_name", "words", "tags", F.posexplode(F.zip_with("starts", F.concat(F.slice("starts", F.lit(2), F.greatest(F.size("starts"), F.lit(1))), F.array(F.size("words"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("sentence_id", "p"))
-    return cut.where("p.a is not null and p.b is not null").select("document_name", "sentence_id", F.transform(F.slice("words", F.col("p.a") + 1, F.col("p.b") - F.col("p.a")), lambda x: x["word"]).alias("tokens"), F.slice("tags", F.col("p.a") + 1, F.col("p.b") - F.col("p.a")).alias("ner_tags"))
+    """Tagged sentences of stand-off documents.
+
+    The longest span comes first, an overlapping one is dropped, one that covers no word too; sentences end
+    after a run of end marks and at line breaks.
+    """
+    def run(body: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = [[dict(zip(("tokens", "ner_tags"), x)) for x in _tagged_sentences(t or "", s or [])] for t, s in zip(body.to_pylist(), spans.to_pylist())]
+        return pa.array(rows, pa.list_(pa.struct([("tokens", pa.list_(pa.string())), ("ner_tags", pa.list_(pa.string()))])))
+
+    words = T.ArrayType(T.StringType())
+    cut = F.arrow_udf(run, T.ArrayType(T.StructType([T.StructField("tokens", words), T.StructField("ner_tags", words)])))
+    return docs.withColumn("s", cut("text", "spans")).select("document_name", F.posexplode("s").alias("sentence_id", "s")).select("document_name", "sentence_id", "s.*")
 
 
 def results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
