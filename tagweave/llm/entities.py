@@ -16,6 +16,9 @@ MISSING = {"", "-", "--", "?", "none", "null", "nil", "nan", "unknown", "n/a", "
 # Endings of files that hold a document's text or annotation.
 EXTENSIONS = ("txt", "json", "jsonl", "ann", "xml", "csv", "tsv", "md", "html", "conll")
 
+#: Rows from which a key may be hot, and hot keys at most.
+HOT_ROWS, MOST_HOT = 100_000, 500
+
 _extension = re.compile(r"\.(?:%s)$" % "|".join(EXTENSIONS))
 _revision = re.compile(r"[\s_.\-]*(?:\(\s*(?:rev(?:ision)?|v(?:ersion)?)[\s._\-]*\d+\s*\)|(?<=[\s_.\-])(?:rev(?:ision)?|v(?:ersion)?)[\s._\-]*\d+)$")
 _dashes = re.compile("[‐-―−]")
@@ -98,17 +101,23 @@ def related_names(sentences: DataFrame, registry: DataFrame, scratch: Scratch) -
 def related_rows(sentences: DataFrame, registry: DataFrame, scratch: Scratch) -> DataFrame:
     """``row_id, group_id, n_names`` for every row with a document name."""
     names = scratch.keep(related_names(sentences, registry, scratch))
-    hot = names.where(F.col("n_rows") > 100_000).select("document_name", "group_id", "n_names")
-    few = hot.limit(10_001).collect()  # names of over 100,000 rows each: at most a 100,000th of the rows
-    rows = sentences.select("row_id", "document_name")
-    plain = names.select("document_name", "group_id", "n_names")
-    if few and len(few) <= 10_000:
-        keys = [x.document_name for x in few]
-        is_hot = F.col("document_name").isin(keys)
-        out = rows.where(~is_hot).join(plain.where(~is_hot), "document_name").unionByName(rows.where(is_hot).join(F.broadcast(sentences.sparkSession.createDataFrame([tuple(x) for x in few], plain.schema)), "document_name"))
-    else:
-        out = rows.join(plain, "document_name")
-    return out.select("row_id", "group_id", "n_names")
+    return with_groups(sentences.select("row_id", "document_name"), names, "document_name").select("row_id", "group_id", "n_names")
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``groups``, one row a key with its ``n_rows``.
+
+    Keys that hold more than a MOST_HOT-th of the rows (so there are fewer of them than that) are joined by
+    broadcast, so that no task gets all rows of one; the others meet in the shuffle.
+    """
+    total = groups.agg(F.sum("n_rows")).first()[0] or 0
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    hot = [tuple(r) for r in groups.where(F.col("n_rows") > limit).collect()] if total > limit else []
+    if not hot:
+        return rows.join(groups, key)
+    is_hot = F.col(key).isin([dict(zip(groups.columns, r))[key] for r in hot])
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, groups.schema))
+    return rows.where(~is_hot).join(groups.where(~is_hot), key).unionByName(rows.where(is_hot).join(few, key))
 
 
 def related_splits(sentences: DataFrame, registry: DataFrame, scratch: Scratch, shares: dict[str, float], seed: int = 0) -> DataFrame:
@@ -122,14 +131,5 @@ def related_splits(sentences: DataFrame, registry: DataFrame, scratch: Scratch,
         .select("row_id", F.coalesce("group_id", "row_id").alias("group_id"))
     )
     groups = rows.groupBy("group_id").agg(F.count("*").alias("n_rows"))
-    splits = proportional_splits(groups, shares, seed).select("group_id", "split", "n_rows")
-    heavy = splits.where(F.col("n_rows") > 100_000)
-    light = splits.where(F.col("n_rows") <= 100_000)
-    few = [tuple(x) for x in heavy.limit(10_001).collect()]
-    if few and len(few) <= 10_000:
-        ids = [x[0] for x in few]
-        hot = F.broadcast(rows.sparkSession.createDataFrame(few, splits.schema))
-        out = rows.where(~F.col("group_id").isin(ids)).join(light, "group_id").unionByName(rows.where(F.col("group_id").isin(ids)).join(hot, "group_id"))
-    else:
-        out = rows.join(splits, "group_id")
-    return out.select("row_id", "group_id", "split")
+    splits = scratch.keep(proportional_splits(groups, shares, seed).select("group_id", "split", "n_rows"))
+    return with_groups(rows, splits, "group_id").select("row_id", "group_id", "split")

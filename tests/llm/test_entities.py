@@ -91,6 +91,12 @@ def test_split_proportions(spark):
     assert {r[0]: round(r[1] / total, 2) for r in out} == {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
+def test_hot_names_give_the_same(spark, monkeypatch):
+    plain = sorted(map(tuple, entities.related_rows(*_tables(spark), Scratch(spark, "t")).collect()))
+    monkeypatch.setattr(entities, "HOT_ROWS", 1)
+    assert sorted(map(tuple, entities.related_rows(*_tables(spark), Scratch(spark, "t")).collect())) == plain
+
+
 def test_empty_tables(spark):
     s, r = spark.createDataFrame([], SENTENCES), spark.createDataFrame([], REGISTRY)
     assert entities.related_rows(s, r, Scratch(spark, "t")).count() == 0
