@@ -21,17 +21,18 @@ from tagweave.llm import characters as C
 from tagweave.llm import sentences as S
 from tagweave.llm.characters import Characters, spread, units
 
-#: Hashed features; labelled and other documents in the training sample at most; characters of each that are used.
-WIDTH, LABELLED, OTHERS = 1 << 18, 4000, 3000
+#: Hashed features; labelled and other documents of each language in the training sample, and languages that are told apart.
+WIDTH, LABELLED, OTHERS, LANGUAGES = 1 << 18, 350, 250, 20
 #: Share of a document's sentences, headings aside, from which it deals with a subject.
 SHARE = 0.25
 #: Words of a line without end mark, before a blank line, up to which it is a heading.
 HEADING_WORDS = 6
 EM_ROUNDS, ROUNDS = 14, 40
-#: Pseudo-count of an n-gram's shares, the share from which a subject's n-gram is telling, and the weight of no subject.
-SMOOTH, TELLING, NONE = 2.0, 0.5, -1.0
+#: Pseudo-count of an n-gram's shares; the share from which a subject's n-gram is telling, and how many times that of
+#: the next subject it must be; the weight of no subject.
+SMOOTH, TELLING, AHEAD, NONE = 2.0, 0.4, 1.8, -1.0
 #: Share of a language's texts that a subject's n-gram occurs in at most.
-MOST_TEXTS = 0.25
+MOST_TEXTS = 0.18
 # Small words of English, German, Spanish and French.
 SMALL_WORDS = ("the of and is by are must to", "die der das und ist wer nach bei im an", "el los las y del con para tras en una", "le les et du est au qui avec pour des")
 #: Weight of a labelled text beside one without hand labels.
@@ -109,7 +110,7 @@ def _languages(s: Sentences) -> np.ndarray:
 
 def _widespread(s: Sentences) -> np.ndarray:
     """N-grams in so many of their language's texts that they belong to its sentence patterns, not to a subject."""
-    language = _languages(s)
+    _, language = np.unique(_languages(s), return_inverse=True)
     n = int(language.max(initial=0)) + 1
     texts = np.bincount(np.unique(language * s.n_texts + s.text) // s.n_texts, minlength=n)
     pairs = np.unique((s.grams * n + language[s.owner]) * s.n_texts + s.text[s.owner]) // s.n_texts
@@ -143,7 +144,9 @@ def weak_labels(s: Sentences, given: np.ndarray, n_subjects: int) -> np.ndarray:
         counts = np.stack([np.bincount(s.grams, q[s.owner, z] * once, WIDTH) for z in range(k)], 1)
         base = q.sum(0) / max(1e-9, q.sum())
         share = (counts + SMOOTH * base) / (counts.sum(1, keepdims=True) + SMOOTH)
-        weights = np.where(may & (share >= TELLING) & (counts > 1.5), np.log(np.maximum(share, 1e-12) / np.maximum(base, 1e-9)), 0.0)
+        second = np.partition(share, -2, axis=1)[:, -2:-1]
+        telling = may & (share >= TELLING) & (share >= AHEAD * second) & (counts > 1.5)
+        weights = np.where(telling, np.log(np.maximum(share, 1e-12) / np.maximum(base, 1e-9)), 0.0)
         evidence = np.minimum(s.sums(weights), 12.0)
         found = evidence.max(1) > 0
         theta = prior
@@ -217,21 +220,32 @@ class Classifier:
         return shares(s, probabilities(s, self.weights, self.intercepts), self.thresholds), np.bincount(s.text, minlength=len(texts))
 
 
-def _under(column: str, rows: int, most: int):
-    return F.pmod(F.xxhash64(column), F.lit(1 << 20)) < int(min(1.0, most / max(1, rows)) * (1 << 20)) + 1
+def _sampled(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows of each language, chosen by the hash of ``doc_id``, so that rare languages are learned too.
+
+    Languages are the first two letters of ``lang``; those beyond the LANGUAGES most frequent, and missing
+    ones, count as one.
+    """
+    code = F.coalesce(F.lower(F.substring(F.trim("lang"), 1, 2)), F.lit("?"))
+    coded = rows.withColumn("_code", code)
+    counts = coded.groupBy("_code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_code").limit(LANGUAGES).collect()
+    rest = F.lit(min([r.n for r in counts], default=1))
+    n = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["_code"], r.n))), F.col("_code")), rest) if counts else rest
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * n
+    return coded.where(place < F.lit(most * (1 << 20))).drop("_code").limit(most * (LANGUAGES + 1))
 
 
 def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, boundaries: S.Model) -> Classifier:
-    """Trains on at most LABELLED labelled documents and OTHERS more, chosen by the hash of their id."""
+    """Trains on about LABELLED labelled and OTHERS other documents of each language."""
     areas = areas.where("subject is not null").select("subject", "description").distinct().orderBy("subject").collect()
+    areas = list({a.subject: a for a in areas}.values())
     names = [a.subject for a in areas]
     number = {a.lower().strip(): i for i, a in enumerate(names)}
-    given_rows = labels.where("doc_id is not null and subject is not null").select("doc_id", F.lower(F.trim("subject")).alias("subject"))
-    n_labels = given_rows.count()
-    hand = given_rows.where(_under("doc_id", n_labels, LABELLED)).distinct().groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).limit(2 * LABELLED)
-    few = F.broadcast(hand)  # at most 2 * LABELLED rows
-    texts = documents.where("text is not null").select("doc_id", "text")
-    rows = texts.join(few, "doc_id").collect() + texts.where(_under("doc_id", documents.count(), OTHERS)).limit(2 * OTHERS).join(few, "doc_id", "left_anti").withColumn("subjects", F.array().cast("array<string>")).collect()
+    hand = labels.where("doc_id is not null and subject is not null").select("doc_id", F.lower(F.trim("subject")).alias("subject")).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
+    texts = documents.where("text is not null").select("doc_id", "text", "lang")
+    known = texts.join(hand, "doc_id")
+    rest = texts.join(hand.select("doc_id"), "doc_id", "left_anti").withColumn("subjects", F.array().cast("array<string>"))
+    rows = _sampled(known, LABELLED).collect() + _sampled(rest, OTHERS).collect()  # at most (LANGUAGES + 1) * (LABELLED + OTHERS) texts
     words = [r.text[:30_000] for r in rows] + [a.description or "" for a in areas]
     given = np.zeros((len(words), len(names)), bool)
     for i, r in enumerate(rows):
