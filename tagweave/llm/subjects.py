@@ -31,8 +31,8 @@ EM_ROUNDS, ROUNDS = 14, 40
 #: Pseudo-count of an n-gram's shares; the share from which a subject's n-gram is telling, and how many times that of
 #: the next subject it must be; the weight of no subject.
 SMOOTH, TELLING, AHEAD, NONE = 2.0, 0.4, 1.8, -1.0
-#: Share of a language's texts that a subject's n-gram occurs in at most.
-MOST_TEXTS = 0.18
+#: Share of a language's texts that a subject's n-gram occurs in at most, times the number of subjects.
+MOST_TEXTS = 1.5
 # Small words of English, German, Spanish and French.
 SMALL_WORDS = ("the of and is by are must to", "die der das und ist wer nach bei im an", "el los las y del con para tras en una", "le les et du est au qui avec pour des")
 #: Weight of a labelled text beside one without hand labels.
@@ -108,14 +108,14 @@ def _languages(s: Sentences) -> np.ndarray:
     return np.where(count.any(1), count.argmax(1), len(SMALL_WORDS) + s.script)
 
 
-def _widespread(s: Sentences) -> np.ndarray:
+def _widespread(s: Sentences, n_subjects: int) -> np.ndarray:
     """N-grams in so many of their language's texts that they belong to its sentence patterns, not to a subject."""
     _, language = np.unique(_languages(s), return_inverse=True)
     n = int(language.max(initial=0)) + 1
     texts = np.bincount(np.unique(language * s.n_texts + s.text) // s.n_texts, minlength=n)
     pairs = np.unique((s.grams * n + language[s.owner]) * s.n_texts + s.text[s.owner]) // s.n_texts
     count = np.bincount(pairs, minlength=WIDTH * n).reshape(WIDTH, n)
-    return (count > np.maximum(MOST_TEXTS * texts, 4)).any(1)
+    return (count > np.maximum(MOST_TEXTS / n_subjects * texts, 4)).any(1)
 
 
 def weak_labels(s: Sentences, given: np.ndarray, n_subjects: int) -> np.ndarray:
@@ -137,7 +137,7 @@ def weak_labels(s: Sentences, given: np.ndarray, n_subjects: int) -> np.ndarray:
     pair = s.grams * s.n_texts + s.text[s.owner]
     _, of, times = np.unique(pair, return_inverse=True, return_counts=True)
     once = 1.0 / times[of]
-    may = ~_widespread(s)[:, None]
+    may = ~_widespread(s, k)[:, None]
     q = prior[s.text] * labelled[s.text][:, None]
     r = np.zeros((n, k + 1))
     for _ in range(EM_ROUNDS):
