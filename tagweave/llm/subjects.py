@@ -242,7 +242,8 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, boundaries: S
     names = [a.subject for a in areas]
     number = {a.lower().strip(): i for i, a in enumerate(names)}
     hand = labels.where("doc_id is not null and subject is not null").select("doc_id", F.lower(F.trim("subject")).alias("subject")).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-    texts = documents.where("text is not null").select("doc_id", "text", "lang")
+    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
+    texts = documents.where("text is not null").select("doc_id", "text", lang.alias("lang"))
     known = texts.join(hand, "doc_id")
     rest = texts.join(hand.select("doc_id"), "doc_id", "left_anti").withColumn("subjects", F.array().cast("array<string>"))
     rows = _sampled(known, LABELLED).collect() + _sampled(rest, OTHERS).collect()  # at most (LANGUAGES + 1) * (LABELLED + OTHERS) texts
