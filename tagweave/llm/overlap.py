@@ -13,6 +13,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -73,7 +74,7 @@ def _flat_numbers(texts: list[list[str]], number: _Numbered) -> tuple[np.ndarray
     """The words of many texts in one array, and where each text begins (and the last one ends)."""
     starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=starts[1:])
-    return np.fromiter((number[w] for t in texts for w in t), np.uint64, starts[-1]), starts
+    return np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.uint64, starts[-1]), starts
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,28 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 
 _word = re.compile(r"[^\W_]+")
-#: Words stand for code points from FIRST on, outside the surrogates, so that a text is a string of symbols.
-FIRST, SYMBOLS = 0xE000, 0x10FFFF - 0xE000
-
 
 def normal(text: str) -> str:
     return unicodedata.normalize("NFC", text).lower()
 
 
-def words(text: str) -> list[str]:
-    return _word.findall(normal(text))
-
+#: For plain ASCII: capitals to small letters, other than letters and digits to blanks.
+_ASCII = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes([32]) * 128
 
-class Symbols(dict):
-    """Word -> one character, the same in every process; two words in a million share one."""
 
-    MOST = 500_000
-
-    def __missing__(self, word: str) -> str:
-        if len(self) > self.MOST:
-            self.clear()
-        self[word] = symbol = chr(FIRST + zlib.crc32(word.encode()) % SYMBOLS)
-        return symbol
+def words(text: str) -> list[str]:
+    if text.isascii():
+        return text.encode().translate(_ASCII).decode().split()
+    return _word.findall(normal(text))
