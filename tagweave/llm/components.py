@@ -51,15 +51,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     null end are ignored; an empty table gives an empty result.
     """
     edges = edges.where("u is not null and v is not null")
-    ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current = scratch.keep(ends)
-    loops = current.where("u = v")
-    before = _signature(current)
-    first = current
-    rounds = 0
-    current = current.where("u <> v")
-    kept = None
-    while True:
+    ends = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    alone = ends.where("u = v").select(F.col("u").alias("node"))
+    current, before, written = ends.where("u <> v"), _signature(ends), None
+    for _ in range(most_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _give_smallest(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = _give_smallest(large, 2 * before[0])
@@ -67,23 +62,20 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
             pairs.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
             .select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct()
         )
-        after_table = scratch.keep(small)
-        after = _signature(after_table)
-        if kept is not None:
-            scratch.drop(kept)
-        kept = current = after_table
-        rounds += 1
+        current = scratch.keep(small)
+        after = _signature(current)
+        if written is not None:
+            scratch.drop(written)
+        written = current
         if after == before:
             break
-        if rounds >= most_rounds:
-            raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
         before = after
-    roots = current.select(F.col("v").alias("node"))
-    alone = first.where("u = v").select(F.col("u").alias("node")) if loops is not None else None
-    return (
-        current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        .unionByName(roots.unionByName(alone).distinct().join(current.select(F.col("u").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component")))
-    )
+    else:
+        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
+    members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    # what isn't a member of a star is its centre, or stands alone
+    centres = current.select(F.col("v").alias("node")).unionByName(alone).distinct().join(members.select("node"), "node", "left_anti")
+    return members.unionByName(centres.select("node", F.col("node").alias("component")))
 
 
 def proportional_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
