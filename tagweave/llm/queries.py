@@ -131,5 +131,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_sizes": p1_split_sizes, "p2_found": p2_found, "p2_agreement": p2_agreement, "p2_reliability": p2_reliability, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_report": p6_report, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_makeup": p9_makeup}
 
 
+# White space of any kind, as a class of DuckDB's patterns.
+_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+_TERMS = f"""
+WITH v AS (SELECT 'tokens' AS field_name, row_id, unnest(tokens) AS v FROM sentences UNION ALL SELECT 'ner_tags', row_id, unnest(ner_tags) FROM sentences),
+n AS (SELECT field_name, row_id, lower(regexp_replace(nfc_normalize(v), '^{_BLANK}+|{_BLANK}+$', '', 'g')) AS term FROM v WHERE v IS NOT NULL),
+terms AS (SELECT field_name, term, count(*) AS n_occurrences, count(DISTINCT row_id) AS n_rows FROM n WHERE term <> '' GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN n_rows < 3 THEN 'rare' WHEN 5 * n_rows > (SELECT count(*) FROM sentences) THEN 'common' END AS mark FROM terms)
+"""
+
+_PIECES = f"""
+WITH k AS (SELECT row_id, list_filter(tokens, lambda t: t IS NOT NULL AND NOT regexp_matches(t, '^{_BLANK}*$')) AS k FROM sentences),
+rows_cut AS (
+  SELECT row_id, list_concat([0], list_filter(range(1, len(k) + 1), lambda i: regexp_replace(k[i], '^{_BLANK}+|{_BLANK}+$', '', 'g') IN ('.', ';', ':', '!', '?')), [len(k)]) AS b FROM k WHERE len(k) > 200),
+t AS (SELECT id, i, tokens[i].text AS w, tokens[i].sentence_index AS s FROM (SELECT id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM annotated_docs)),
+f AS (SELECT id, i, w, last_value(s IGNORE NULLS) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM t),
+g AS (SELECT id, row_number() OVER p AS no, coalesce(s <> lag(s) OVER p, false) AS new FROM f WHERE w IS NOT NULL AND NOT regexp_matches(w, '^{_BLANK}*$') WINDOW p AS (PARTITION BY id ORDER BY i)),
+docs_cut AS (SELECT id, list_concat([0], list(no - 1 ORDER BY no) FILTER (WHERE new), [max(no)]) AS b FROM g GROUP BY id HAVING max(no) > 200),
+every AS (SELECT 'sentences' AS item_table, CAST(row_id AS VARCHAR) AS item_key, b FROM rows_cut UNION ALL SELECT 'annotated_docs', id, b FROM docs_cut)
+SELECT item_table, item_key, CASE WHEN list_max(list_transform(range(1, len(b)), lambda i: b[i + 1] - b[i])) > 200 THEN 'forced' ELSE 'natural' END AS cut_kind FROM every
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_terms": _TERMS + "SELECT field_name, term, n_occurrences, n_rows, mark FROM marked",
+        "p3_found": _TERMS + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
+        "p5_found": _PIECES,
+    }

@@ -181,5 +181,5 @@ def term_counts(df: DataFrame, id_column: str, fields: list[str], rare_below: in
         .mapInArrow(_unite, "field_name string, term string, occurrences long, rows long")
         .groupBy("field_name", "term").agg(F.sum("occurrences").alias("n_occurrences"), F.sum("rows").alias("n_rows"))
     )
-    mark = F.when(F.col("n_rows") < rare_below, "rare").when(F.col("n_rows") > common_above * total, "common")
+    mark = F.when(F.col("n_rows") < rare_below, "rare").when(F.col("n_rows") / max(total, 1) > common_above, "common")
     return counted.withColumn("mark", mark)
