@@ -154,8 +154,47 @@ SELECT item_table, item_key, CASE WHEN list_max(list_transform(range(1, len(b)),
 """
 
 
+def _plain(x: str) -> str:
+    return f"regexp_replace(lower(trim(regexp_replace(nfc_normalize({x}), '{_BLANK}+', ' ', 'g'), ' ')), '[‐-―−]', '-', 'g')"
+
+
+def _known(plain: str, x: str) -> str:
+    return f"CASE WHEN {plain} NOT IN ({', '.join(map(repr, sorted(entities.MISSING)))}) THEN {x} END"
+
+
+def _shorter(x: str) -> str:
+    ending = r"\.(?:" + "|".join(entities.EXTENSIONS) + r")$"
+    mark = r"(?:rev(?:ision)?|v(?:ersion)?)[\s._\-]*\d+"
+    return f"regexp_replace(regexp_replace({x}, '{ending}', ''), '[\\s_.\\-]*\\(\\s*{mark}\\s*\\)$|[\\s_.\\-]+{mark}$', '')"
+
+
+def _document_key(column: str) -> str:
+    plain = _plain(column)
+    base = f"trim(regexp_replace({plain}, '^.*[/\\\\]', ''), ' ')"
+    for _ in range(3):
+        base = _shorter(base)
+    return _known(plain, f"trim(regexp_replace({base}, '[\\s_.\\-]+', '_', 'g'), '_')")
+
+
+def _entity_key(column: str) -> str:
+    plain = _plain(column)
+    return _known(plain, f"replace({plain}, '\\', '/')")
+
+
+_RELATED = f"""
+WITH RECURSIVE s AS (SELECT row_id, document_name, {_document_key("document_name")} AS d FROM sentences WHERE document_name IS NOT NULL),
+r AS (SELECT DISTINCT {_document_key("document_name")} AS d, {_entity_key("author")} AS a, {_entity_key("source_file")} AS f FROM doc_registry WHERE document_name IS NOT NULL),
+links AS (SELECT d, 'a' || a AS e FROM r WHERE d IS NOT NULL AND a IS NOT NULL UNION SELECT d, 'f' || f FROM r WHERE d IS NOT NULL AND f IS NOT NULL),
+near AS (SELECT DISTINCT x.d AS d1, y.d AS d2 FROM links x JOIN links y ON x.e = y.e),
+reach(a, b) AS (SELECT DISTINCT d, d FROM s WHERE d IS NOT NULL UNION SELECT reach.a, near.d2 FROM reach JOIN near ON reach.b = near.d1),
+groups AS (SELECT reach.a AS d, min(s.row_id) AS group_id, count(DISTINCT s.document_name) AS n_names FROM reach JOIN s ON reach.b = s.d GROUP BY reach.a)
+SELECT s.row_id, groups.group_id FROM s JOIN groups ON s.d = groups.d WHERE n_names > 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _RELATED,
         "p3_terms": _TERMS + "SELECT field_name, term, n_occurrences, n_rows, mark FROM marked",
         "p3_found": _TERMS + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
         "p5_found": _PIECES,
