@@ -73,15 +73,28 @@ def stray_inside(tags: Column) -> Column:
     return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(tags)
 
 
-def _match_spans(predicted: list[dict], gold: list[dict]) -> list[str]:
-    taken, out = [False] * len(gold), []
-    for p in predicted:
-        for i, g in enumerate(gold):
-            if not taken[i] and g["type"] == p["type"] and g["first"] <= p["last"] and g["last"] >= p["first"]:
-                taken[i] = True
-                out.append(p["type"])
-                break
-    return out
+def _columns(spans: pa.Array) -> tuple[list[int], list[str], list[int], list[int]]:
+    """Where each row's spans begin (and the last row's end), and the spans' types, first and last words."""
+    sizes = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(spans)
+    return [0, *np.cumsum(sizes).tolist()], *(pc.struct_field(flat, [i]).to_pylist() for i in range(3))
+
+
+def greedy_batch(predicted: pa.Array, gold: pa.Array) -> pa.Array:
+    """Types of the matched predicted spans of every row of a batch."""
+    at_p, type_p, first_p, last_p = _columns(predicted)
+    at_g, type_g, first_g, last_g = _columns(gold)
+    out, ends = [], [0]
+    for row in range(len(at_p) - 1):
+        left = list(range(at_g[row], at_g[row + 1]))
+        for p in range(at_p[row], at_p[row + 1]) if left else ():
+            for k, g in enumerate(left):
+                if type_g[g] == type_p[p] and first_g[g] <= last_p[p] and last_g[g] >= first_p[p]:
+                    out.append(type_p[p])
+                    del left[k]
+                    break
+        ends.append(len(out))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.string()))
 
 
 def greedy_matches(predicted: Column, gold: Column) -> Column:
@@ -90,10 +103,7 @@ def greedy_matches(predicted: Column, gold: Column) -> Column:
     A span takes the first gold span of its type, not taken yet, with which it shares a word. What is left
     for a span depends on those before it, so sentences are gone through in batches of rows.
     """
-    def run(p: pa.Array, g: pa.Array) -> pa.Array:
-        return pa.array([_match_spans(a or [], b or []) for a, b in zip(p.to_pylist(), g.to_pylist())], pa.list_(pa.string()))
-
-    return F.arrow_udf(run, T.ArrayType(T.StringType()))(predicted, gold)
+    return F.arrow_udf(greedy_batch, T.ArrayType(T.StringType()))(predicted, gold)
 
 
 def _match_sets(predicted: list[dict], gold: list[dict], exact: bool) -> list[str]:

@@ -28,6 +28,23 @@ def test_chunks_match_a_walk_by_hand(batch):
     assert [[(c["type"], c["first"], c["last"]) for c in row] for row in found] == [by_hand(t or []) for t in batch]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(TAGS), max_size=9), st.lists(st.sampled_from(TAGS), max_size=9)), max_size=8))
+def test_greedy_matches_match_a_walk_by_hand(pairs):
+    def walk(predicted, gold):
+        left, out = list(gold), []
+        for t, a, b in predicted:
+            hit = next((g for g in left if g[0] == t and g[1] <= b and g[2] >= a), None)
+            if hit:
+                left.remove(hit)
+                out.append(t)
+        return out
+
+    kind = pa.list_(pa.struct([("type", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
+    arrays = [pa.array([[dict(zip(("type", "first", "last"), c)) for c in by_hand(p[k])] for p in pairs] + [None], kind) for k in (0, 1)]
+    assert spans.greedy_batch(*arrays).to_pylist() == [walk(by_hand(p), by_hand(g)) for p, g in pairs] + [[]]
+
+
 def test_chunks_of_a_slice_and_of_damaged_tags():
     whole = pa.array([["B-X"], ["I-A", None, "I-A", "", "B_A", "O"], ["B-A", "I-B"]], pa.list_(pa.string()))
     assert spans.chunk_batch(whole.slice(1, 1)).to_pylist() == [[{"type": "A", "first": 0, "last": 0}, {"type": "A", "first": 2, "last": 2}]]
