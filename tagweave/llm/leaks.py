@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagweave.llm import characters as C
 from tagweave.llm.characters import Characters, spread, units
-from tagweave.llm.sentences import _classes, _forward, _SPACES
+from tagweave.llm.sentences import _classes, _DIGITS, _forward, _SPACES
 
 #: A leak holds one in so many of the passage's words at least; one word in so many of it may differ.
 PART, EDIT_SHARE = 2, 8
@@ -45,11 +45,11 @@ def sequences(texts: list[str], separator: int) -> Sequences:
     chars = Characters([unicodedata.normalize("NFC", t) for t in texts])
     u, kinds, codes = units(chars), chars.kinds, chars.codes
     keep = np.ones(len(u.start), bool)
-    # numbers of list items: one or two digits, a full stop or bracket and a blank, at the start of a line or sentence
+    # numbers of list items: digits, a full stop or bracket and a blank, at the start of a line or sentence
     after = kinds[u.start - 1]
     back = np.where(_SPACES[after], kinds[np.maximum(u.start - 2, 0)], after)
-    number = (kinds[u.start] == C.DIGIT) & (kinds[u.end - 1] == C.DIGIT) & (u.end - u.start <= 2) & ((codes[u.end] == 0x2E) | (codes[u.end] == 0x29))
-    keep &= ~(number & _SPACES[kinds[np.minimum(u.end + 1, len(kinds) - 1)]] & (_SPACES[after] | (after == C.EDGE)) & (_ENDS[back] | _SPACES[back]))
+    number = (_forward(kinds, u.start, _DIGITS) == u.end) & ((codes[u.end] == 0x2E) | (codes[u.end] == 0x29))
+    keep &= ~(number & _SPACES[kinds[np.minimum(u.end + 1, len(kinds) - 1)]] & (_SPACES[after] | (after == C.EDGE)) & ((after == C.NEWLINE) | _ENDS[back] | _SPACES[back]))
     # headings: a few words without an end mark, before a blank line
     newline_at = np.flatnonzero(kinds == C.NEWLINE)
     if len(newline_at) and len(u.start):

@@ -108,6 +108,13 @@ def test_whole_partial_and_edited_passages_are_found():
     assert {(t, o) for t, o, *_ in leaks.leaks(p, texts)} == {(0, 0), (1, 0), (3, 0), (7, 0), (8, 0), (9, 0)}
 
 
+def test_numbers_of_long_lists_are_no_words():
+    said = lambda t: leaks.sequences([t], 1).hash.tolist()
+    plain = said("\n".join("the desk opens" for _ in range(120)))
+    assert said("\n".join(f"{k}. the desk opens" for k in range(1, 121))) == said("\n".join(f"{k}) the desk opens" for k in range(1, 121))) == plain
+    assert said("first 1a2. word") != said("first word") and said("the year 1987. word") != said("the year word")
+
+
 def test_every_shared_run_of_the_bound_has_a_common_fingerprint():
     rng = random.Random(9)
     for _ in range(30):

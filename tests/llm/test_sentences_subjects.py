@@ -73,6 +73,17 @@ def test_wrapped_lines_and_glued_sentences(model):
     assert cut_texts(model, ["The clerk stamps the form.In parallel, the deputy stamps the form."])[0] == ["The clerk stamps the form.", "In parallel, the deputy stamps the form."]
 
 
+@pytest.mark.parametrize("mark", [".", ""])
+@pytest.mark.parametrize("after", [". ", ") "])
+def test_long_lists(model, mark, after):
+    items = [f"{k}{after}The deputy stamps the form{mark}" for k in range(1, 121)]
+    c = S.candidates(Characters(["\n".join(items)]))
+    labels = S.rule_labels(c)
+    assert set(c.start[labels].tolist()) == {i + 1 for i in np.cumsum([len(x) + 1 for x in items[:-1]])}
+    assert cut_texts(model, ["\n".join(items)])[0] == items
+    assert cut_texts(model, ["\n".join(items[100:])])[0] == items[100:]
+
+
 def test_viterbi_matches_enumeration():
     rng = np.random.default_rng(2)
     c = S.candidates(Characters(["a. b. c. d. e.\nf. G", "H. i! J", "none"]))
