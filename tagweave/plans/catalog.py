@@ -691,8 +691,8 @@ def _(spark, folder):
 
 @query("t4_byte_offsets", "SELECT doc_id, length(decode(encode(substr(text, 1, 40)))) AS chars FROM documents")
 def _(spark, folder):
-    d = table(spark, folder, "documents").withColumn("head", F.substring("text", 1, 40))
-    return d.select("doc_id", text.char_offset(F.col("text"), F.octet_length("head")).cast("long").alias("chars"))
+    d = table(spark, folder, "documents")
+    return d.select("doc_id", text.char_offset(F.col("text"), F.octet_length("text")).cast("long").alias("chars"))
 
 
 @query("t7_tag_parts", D.with_ctes(D.TAGGED, D.WORDS) + "SELECT gold AS tag, CASE WHEN gold = 'O' THEN NULL ELSE substr(gold, 3) END AS type, count(*) AS n FROM words GROUP BY 1, 2")
@@ -747,7 +747,7 @@ WITH w AS (SELECT row_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM se
 s AS (SELECT row_id, i, length(coalesce(tokens[i], '')) AS n, sum(length(coalesce(tokens[i], '')) + 1) OVER (PARTITION BY row_id ORDER BY i) AS e FROM w)
 SELECT row_id, count(*) AS n_tokens, max(e - 1)::BIGINT AS last_end, sum(e - 1 - n)::BIGINT AS starts FROM s GROUP BY row_id""")
 def _(spark, folder):
-    rows = table(spark, folder, "sentences").where("tokens is not null and size(tokens) <= 60").select("row_id", F.explode(text.token_char_spans(F.col("tokens"))).alias("s"))
+    rows = table(spark, folder, "sentences").where("tokens is not null").select("row_id", F.explode(text.token_char_spans(F.col("tokens"))).alias("s"))
     return rows.groupBy("row_id").agg(F.count("*").alias("n_tokens"), F.max("s.end").cast("long").alias("last_end"), F.sum("s.start").alias("starts"))
 
 
