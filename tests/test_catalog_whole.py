@@ -28,3 +28,11 @@ def test_byte_offset_of_the_end_of_long_texts(spark, tmp_path):
     texts = ["Größe 第三条 😀 " * 200, "x" * 39 + "é" * 30, "short", "", None]
     out = rows(spark, tmp_path, "t4_byte_offsets", documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id: r.chars for r in out} == {i: None if t is None else len(t.encode().decode()) for i, t in enumerate(texts)}
+
+
+def test_rows_covered_by_any_row(spark, tmp_path):
+    data = [(i, f"d{i // 4}" if i % 7 else None, i % 4, "test" if i % 2 else "pool") for i in range(1, 60)]
+    ids = {name if row_id % 3 == 0 else f"{name}#{sentence}" for row_id, name, sentence, _ in data if name}
+    sources = ["sentence" if f"{name}#{sentence}" in ids else "document" if name in ids else None for _, name, sentence, part in data if part == "test" and name]
+    out = rows(spark, tmp_path, "j20_covered_rows", sentences=(data, "row_id long, document_name string, sentence_id int, split string"))
+    assert {r.source: r.n for r in out} == {s: sources.count(s) for s in set(sources) - {None}} and {"sentence", "document"} <= set(sources)
