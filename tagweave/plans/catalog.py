@@ -729,9 +729,10 @@ WITH lines AS (SELECT id, l, tokens FROM (SELECT id, tokens, i, tokens[i].text |
 parsed AS (SELECT id, list_filter(list_transform(string_split(coalesce(l, ''), chr(9)), lambda x: trim(x, ' ')), lambda x: x <> '') AS f FROM lines WHERE l IS NOT NULL)
 SELECT CASE WHEN len(f) < 2 THEN 'ignored_line' WHEN NOT coalesce(len(f) BETWEEN 3 AND 4 AND try_cast(f[3] AS INTEGER) >= 0 AND try_cast(f[3] AS INTEGER) < 5, false) THEN 'dropped_malformed' END AS issue, count(*) AS n FROM parsed GROUP BY 1""")
 def _(spark, folder):
-    d = table(spark, folder, "annotated_docs").select("id", F.explode("tokens").alias("t"))
+    own = F.coalesce(F.array_max("tokens.sentence_index") + 1, F.lit(0))
+    d = table(spark, folder, "annotated_docs").select("id", own.alias("n_sentences"), F.explode("tokens").alias("t"))
     line = F.concat(F.col("t.text"), F.lit("\t"), F.coalesce("t.pos_tag", F.lit("")), F.lit("\t"), F.coalesce(F.col("t.sentence_index").cast("string"), F.lit("x")))
-    parsed = d.select("id", line.alias("line")).where("line is not null").select(text.answer_line(F.col("line"), F.lit(5)).alias("p"))
+    parsed = d.select("n_sentences", line.alias("line")).where("line is not null").select(text.answer_line(F.col("line"), F.col("n_sentences")).alias("p"))
     return parsed.groupBy(F.col("p.issue").alias("issue")).agg(F.count("*").alias("n"))
 
 

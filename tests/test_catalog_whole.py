@@ -36,3 +36,9 @@ def test_rows_covered_by_any_row(spark, tmp_path):
     sources = ["sentence" if f"{name}#{sentence}" in ids else "document" if name in ids else None for _, name, sentence, part in data if part == "test" and name]
     out = rows(spark, tmp_path, "j20_covered_rows", sentences=(data, "row_id long, document_name string, sentence_id int, split string"))
     assert {r.source: r.n for r in out} == {s: sources.count(s) for s in set(sources) - {None}} and {"sentence", "document"} <= set(sources)
+
+
+def test_answer_lines_of_documents_with_many_sentences(spark, tmp_path):
+    data = [("a", [(f"w{i}", "NN", i) for i in range(12)] + [("x", "NN", None), (" ", "", 3), ("y", "NN", -1)]), ("b", [("w", "NN", 0), (None, "NN", 1)]), ("c", [("w", "NN", None)]), ("d", None)]
+    out = rows(spark, tmp_path, "t18_answer_lines", annotated_docs=(data, "id string, tokens array<struct<text:string,pos_tag:string,sentence_index:int>>"))
+    assert {r.issue: r.n for r in out} == {None: 13, "dropped_malformed": 3, "ignored_line": 1}
