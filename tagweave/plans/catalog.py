@@ -5,6 +5,7 @@ Each runs over whole tables. Names begin with the operator's number in the inven
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -556,7 +557,9 @@ def _(spark, folder):
 @query("a8_acquisition_loop")
 def _(spark, folder):
     w = D.words(spark, folder).where("word is not null").select("row_id", "part", "wid", "word", "gold")
-    results, _ = loop.run(*(w.where(F.col("part") == p).drop("part") for p in ("bootstrap", "pool", "test")), Scratch(spark, "a8"), "row_id", 1000, 100.0, "entropy", 1, most_rounds=2)
+    parts = [w.where(F.col("part") == p).drop("part") for p in ("bootstrap", "pool", "test")]
+    k = max(1, math.ceil(parts[1].count() / 10))  # the whole pool in ten rounds
+    results, _ = loop.run(*parts, Scratch(spark, "a8"), "row_id", k, 100.0, "entropy", 1)
     return results
 
 

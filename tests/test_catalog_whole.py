@@ -42,3 +42,11 @@ def test_answer_lines_of_documents_with_many_sentences(spark, tmp_path):
     data = [("a", [(f"w{i}", "NN", i) for i in range(12)] + [("x", "NN", None), (" ", "", 3), ("y", "NN", -1)]), ("b", [("w", "NN", 0), (None, "NN", 1)]), ("c", [("w", "NN", None)]), ("d", None)]
     out = rows(spark, tmp_path, "t18_answer_lines", annotated_docs=(data, "id string, tokens array<struct<text:string,pos_tag:string,sentence_index:int>>"))
     assert {r.issue: r.n for r in out} == {None: 13, "dropped_malformed": 3, "ignored_line": 1}
+
+
+def test_loop_acquires_the_whole_pool(spark, tmp_path):
+    data = [(i, f"d{i}", 0, part, [f"w{i % 5}", "x", f"y{i % 3}"], ["B-Actor", "O", "O"]) for i, part in enumerate(["bootstrap"] * 3 + ["pool"] * 9 + ["test"] * 3)]
+    out = rows(spark, tmp_path, "a8_acquisition_loop", sentences=(data, "row_id long, document_name string, sentence_id int, split string, tokens array<string>, ner_tags array<string>"))
+    for arm in ("random", "uncertainty"):
+        assert [r.n_acquired for r in sorted((r for r in out if r.arm == arm), key=lambda r: r.round)] == [*range(0, 27, 3), 27]
+        assert max(r.percent_acquired for r in out if r.arm == arm) == 100.0
