@@ -664,8 +664,9 @@ def _(spark, folder):
 
 @query("g35_size_matched")
 def _(spark, folder):
-    rows = D.tagged(spark, folder).where("part = 'pool' and size(gold) > 0").select("row_id", F.size(F.filter("gold", lambda t: t != "O")).alias("inside"), F.size("gold").alias("n"))
-    return P.repeated_draws(rows, 100, 50, F.sum("inside") / F.sum("n"), F.col("row_id"), ["row_id"])
+    t = D.tagged(spark, folder).where("part is not null and size(gold) > 0").withColumn("tokens", F.transform("tokens", lambda t: F.coalesce(t, F.lit(""))))
+    test = t.where("part = 'test'").select("row_id", "tokens", "gold")
+    return P.size_matched_profile(t.where("part != 'test'").select("row_id", "part", "tokens", "gold"), test, Scratch(spark, "g35"), "part", 7)
 
 
 @query("w20_top_surfaces", D.with_ctes(D.TAGGED, D.GOLD, _MENTION_ROWS) + """,

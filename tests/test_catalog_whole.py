@@ -1,5 +1,7 @@
 """Queries that take the whole of their tables, on small tables of their own."""
 
+import math
+
 import __spark_entry__ as entry
 
 
@@ -50,3 +52,15 @@ def test_loop_acquires_the_whole_pool(spark, tmp_path):
     for arm in ("random", "uncertainty"):
         assert [r.n_acquired for r in sorted((r for r in out if r.arm == arm), key=lambda r: r.round)] == [*range(0, 27, 3), 27]
         assert max(r.percent_acquired for r in out if r.arm == arm) == 100.0
+
+
+def test_size_matched_profile(spark, tmp_path):
+    one, two = (["Ann", "stamps", "form", "now"], ["B-Actor", "O", "B-Activity Data", "O"]), (["The", "form", "waits"], ["O", "O", "O"])
+    data = [(1, "d", 0, "bootstrap", *one), (2, "d", 1, "bootstrap", *two), (3, "e", 0, "test", ["Ann", "reads", "form"], ["B-Actor", "O", "B-Activity Data"]), (4, "e", 1, "test", ["Bob"], ["B-Actor"])]
+    data += [(10 + i, "f", i, "pool", *(two if i % 2 else one)) for i in range(12)]
+    out = rows(spark, tmp_path, "g35_size_matched", sentences=(data, "row_id long, document_name string, sentence_id int, split string, tokens array<string>, ner_tags array<string>"))
+    assert len(out) == 18 and {(r.part, r.draws) for r in out} == {("bootstrap", 1), ("pool", 200)}
+    whole = {r.measure: r.mean for r in out if r.part == "bootstrap"}
+    expected = {"entity_share": 2 / 7, "type_entropy": math.log(2) / math.log(7), "rare_share": 1, "multi_word": 0, "mean_words": 1, "capitalised": 0, "unseen_rate": 1 / 3, "ambiguous_share": 2 / 7, "lookup_f1": 0.8}
+    assert {m: round(v, 9) for m, v in whole.items()} == {m: round(v, 9) for m, v in expected.items()}
+    assert all(r.low == r.mean == r.high for r in out if r.part == "bootstrap") and all(r.low <= r.mean + 1e-9 and r.mean <= r.high + 1e-9 for r in out)
