@@ -247,7 +247,7 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, boundaries: S
     known = texts.join(hand, "doc_id")
     rest = texts.join(hand.select("doc_id"), "doc_id", "left_anti").withColumn("subjects", F.array().cast("array<string>"))
     rows = _sampled(known, LABELLED).collect() + _sampled(rest, OTHERS).collect()  # at most (LANGUAGES + 1) * (LABELLED + OTHERS) texts
-    words = [r.text[:30_000] for r in rows] + [a.description or "" for a in areas]
+    words = [r.text for r in rows] + [a.description or "" for a in areas]
     given = np.zeros((len(words), len(names)), bool)
     for i, r in enumerate(rows):
         given[i, [number[x] for x in r.subjects if x in number]] = True

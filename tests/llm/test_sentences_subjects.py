@@ -154,3 +154,16 @@ def test_subjects_of_held_out_documents(spark):
     assert len({(i, s) for i, s in got if i in held and s not in held[i]}) <= 0.03 * len(held)
     assert not {i for i, _ in got} & {900, 901, 902}
     assert J.document_subjects(docs.limit(0), J.fit(docs.limit(0), labels.limit(0), areas, S.fit(docs.limit(0), None))).count() == 0
+
+
+def test_samples_hold_whole_texts(spark, monkeypatch):
+    text = "The clerk stamps the form. " * 2000
+    docs = spark.createDataFrame([(1, text, "a", None)], DOCUMENTS)
+    monkeypatch.setattr(S, "train", lambda parts, labels: parts)
+    assert len(text) == len(S.fit(docs, None)[0].chars.codes) - 2
+    seen = []
+    monkeypatch.setattr(J, "Sentences", lambda texts, boundaries: seen.extend(texts) or 1 / 0)
+    labels, areas = spark.createDataFrame([(1, "Law")], "doc_id long, subject string"), spark.createDataFrame([("Law", "law")], "subject string, description string")
+    with pytest.raises(ZeroDivisionError):
+        J.fit(docs, labels, areas, None)
+    assert seen == [text, "law"]
