@@ -106,51 +106,97 @@ def greedy_matches(predicted: Column, gold: Column) -> Column:
     return F.arrow_udf(greedy_batch, T.ArrayType(T.StringType()))(predicted, gold)
 
 
-def _match_sets(predicted: list[dict], gold: list[dict], exact: bool) -> list[str]:
+def _match_sets(predicted: list[dict], gold: list[dict]) -> list[str]:
     """Gold mentions are found by their tokens, so that documents with many cost no more than their tokens."""
-    sets = [frozenset(g["tokens"] or ()) for g in gold]
     by_token: dict[int, list[int]] = {}
-    for i, tokens in enumerate(sets):
-        for t in tokens:
+    for i, g in enumerate(gold):
+        for t in g["tokens"] or ():
             by_token.setdefault(t, []).append(i)
     taken, out = set(), []
     for p in predicted:
-        own = frozenset(p["tokens"] or ())
-        near = sorted({i for t in own for i in by_token.get(t, ())})
-        for i in near:
-            if i not in taken and gold[i]["type"] == p["type"] and (not exact or sets[i] == own):
-                taken.add(i)
-                out.append(p["type"])
-                break
+        near = sorted({i for t in p["tokens"] or () for i in by_token.get(t, ())})
+        if (hit := next((i for i in near if i not in taken and gold[i]["type"] == p["type"]), None)) is not None:
+            taken.add(hit)
+            out.append(p["type"])
     return out
 
 
-def greedy_set_matches(predicted: Column, gold: Column, exact: bool = False) -> Column:
-    """As greedy_matches for mentions ``(type, tokens)`` whose tokens may have gaps; ``exact`` asks for equal sets."""
+def greedy_set_matches(predicted: Column, gold: Column) -> Column:
+    """As greedy_matches for mentions ``(type, tokens)`` whose tokens may have gaps."""
     def run(p: pa.Array, g: pa.Array) -> pa.Array:
-        return pa.array([_match_sets(a or [], b or [], exact) for a, b in zip(p.to_pylist(), g.to_pylist())], pa.list_(pa.string()))
+        return pa.array([_match_sets(a or [], b or []) for a, b in zip(p.to_pylist(), g.to_pylist())], pa.list_(pa.string()))
 
     return F.arrow_udf(run, T.ArrayType(T.StringType()))(predicted, gold)
 
 
-def _tags(spans: list[dict], n: int) -> list[str]:
-    out = ["O"] * n
-    for s in spans:
-        inside = range(max(0, s["first"]), min(n, s["last"] + 1))
-        if all(out[i] == "O" for i in inside):
-            for i in inside:
-                out[i] = ("B-" if i == s["first"] else "I-") + s["type"]
-    return out
+def _places(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words from each ``first`` to its ``last``, and which span each belongs to."""
+    size = last - first + 1
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[of], of
 
 
-def tags_of(spans: Column, n: Column) -> Column:
-    """Tag sequence of ``n`` words from spans; a span that overlaps an earlier one is dropped."""
-    def run(spans: pa.Array, n: pa.Array) -> pa.Array:
-        return pa.array([_tags(a or [], max(0, b or 0)) for a, b in zip(spans.to_pylist(), n.to_pylist())], pa.list_(pa.string()))
+def apart(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which spans of words share none with a kept one before them.
 
-    return F.arrow_udf(run, T.ArrayType(T.StringType()))(spans, n)
+    All spans go through the same rounds: one that is the foremost on each of its words is kept, those that
+    meet it are dropped, and what is left over goes into the next round.
+    """
+    kept, live, taken = np.zeros(len(first), bool), np.arange(len(first)), np.zeros(n, bool)
+    while len(live):
+        at, of = _places(first[live], last[live])
+        foremost = np.full(n, len(first))
+        np.minimum.at(foremost, at, live[of])
+        heads = np.searchsorted(of, np.arange(len(live)))
+        wins = np.logical_and.reduceat(foremost[at] == live[of], heads)
+        taken[at[wins[of]]] = True
+        kept[live[wins]] = True
+        live = live[~np.logical_or.reduceat(taken[at], heads)]
+    return kept
+
+
+def paint_batch(spans: pa.Array, n: pa.Array) -> pa.Array:
+    """Tag sequences of all rows of a batch at once."""
+    ends = np.cumsum(np.maximum(pc.fill_null(n, 0).to_numpy(zero_copy_only=False).astype(np.int64), 0))
+    starts = np.r_[0, ends[:-1]] if len(ends) else ends
+    rows = pc.list_parent_indices(spans).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(spans)
+    coded = pc.struct_field(flat, [0]).dictionary_encode(null_encoding="encode")
+    first, last = (pc.struct_field(flat, [i]).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+    first, last = starts[rows] + np.maximum(first, 0), np.minimum(starts[rows] + last, ends[rows] - 1)
+    there = np.flatnonzero(first <= last)
+    there = there[apart(first[there], last[there], int(ends[-1]) if len(ends) else 0)]
+    at, of = _places(first[there], last[there])
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[there]
+    tags = np.zeros(ends[-1] if len(ends) else 0, np.int64)
+    tags[at] = 1 + 2 * codes[of] + (at != first[there][of])
+    names = ["O", *(f"{b}-{t or ''}" for t in coded.dictionary.to_pylist() for b in "BI")]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(names).take(pa.array(tags)))
 
 
-def covered_words(words: Column, start: Column, end: Column) -> Column:
-    """Words ``(start, end)`` that a character span overlaps."""
-    return F.filter(words, lambda w: (w["start"] < end) & (w["end"] > start))
+def tags_of(spans: Column, n: Column) -> Column:
+    """Tag sequence of ``n`` words from spans ``(type, first, last)``; a span that overlaps an earlier one is dropped,
+    and so is what lies outside the words."""
+    return F.arrow_udf(paint_batch, T.ArrayType(T.StringType()))(spans, n)
+
+
+def over_words(spans: Column, words: Column) -> Column:
+    """Character spans ``(type, start, end)`` as spans of the words ``(word, start, end)`` that they overlap, in order;
+    those that overlap none are left out."""
+    def run(spans: pa.Array, words: pa.Array) -> pa.Array:
+        row_w, row_s = (pc.list_parent_indices(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, spans))
+        flat_w, flat_s = pc.list_flatten(words), pc.list_flatten(spans)
+        begins, ends = (pc.struct_field(flat_w, [i]).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+        start, end = (pc.struct_field(flat_s, [i]).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+        far = 2 + max(ends.max(initial=0), end.max(initial=0))  # rows lie so far apart on one line
+        first = np.searchsorted(ends + row_w * far, start + row_s * far, side="right")
+        last = np.searchsorted(begins + row_w * far, end + row_s * far, side="left") - 1
+        base = np.searchsorted(row_w, np.arange(len(words) + 1))
+        first, last = np.maximum(first, base[row_s]), np.minimum(last, base[row_s + 1] - 1)
+        keep = np.flatnonzero(first <= last)
+        offsets = np.searchsorted(row_s[keep], np.arange(len(spans) + 1)).astype(np.int32)
+        own = base[row_s[keep]]
+        values = [pc.struct_field(flat_s, [0]).take(pa.array(keep)), pa.array((first[keep] - own).astype(np.int32)), pa.array((last[keep] - own).astype(np.int32))]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(values, ["type", "first", "last"]))
+
+    return F.arrow_udf(run, T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))(spans, words)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,24 +15,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-#: The same pattern where matches with their places are needed, which the JVM's functions don't give.
-_WORD = re.compile(r"(?:[A-Za-z]\.){2,}|\w+(?:['’-]\w+)*|[^\w\s]")
+def gaps(text: Column) -> Column:
+    """What stands before, between and after the words: one more than there are words."""
+    return F.split(text, WORD, -1)
 
 
-def spans_of_words(text: str | None) -> list[tuple[str, int, int]]:
-    return [(m[0], m.start(), m.end()) for m in _WORD.finditer(text or "")]
+def _placed(words: pa.Array, gaps: pa.Array) -> pa.Array:
+    """Words of a batch with their places, from the lengths of the words and of the gaps between them."""
+    n_words, n_gaps = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, gaps))
+    word_len, gap_len = (pc.utf8_length(pc.list_flatten(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, gaps))
+    upto_word, upto_gap = np.r_[0, np.cumsum(word_len)], np.r_[0, np.cumsum(gap_len)]
+    first_word, first_gap = np.cumsum(n_words) - n_words, np.cumsum(n_gaps) - n_gaps
+    row, at = np.repeat(np.arange(len(n_words)), n_words), np.arange(n_words.sum())
+    before = at - first_word[row] + first_gap[row] + 1  # gaps up to and including the one before the word
+    start = upto_gap[before] - upto_gap[first_gap[row]] + upto_word[at] - upto_word[first_word[row]]
+    values = pa.StructArray.from_arrays([pc.list_flatten(words), pa.array(start.astype(np.int32)), pa.array((start + word_len).astype(np.int32))], ["word", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_words)].astype(np.int32)), values)
 
 
 def word_spans(text: Column) -> Column:
     """Words with their character offsets ``(word, start, end)``. Null texts have none."""
-    def run(text: pa.Array) -> pa.Array:
-        rows = [spans_of_words(t) for t in text.to_pylist()]
-        words, starts, ends = ([x[k] for r in rows for x in r] for k in range(3))
-        offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["word", "start", "end"]))
-
     item = T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    return F.arrow_udf(run, T.ArrayType(item))(text)
+    return F.arrow_udf(_placed, T.ArrayType(item))(words(text), gaps(text))
 
 
 def char_offset(text: Column, n_bytes: Column) -> Column:
@@ -80,23 +82,39 @@ def token_char_spans(tokens: Column) -> Column:
     return F.arrow_udf(run, T.ArrayType(item))(tokens)
 
 
-def _inline(tokens: list[str | None], mentions: list[dict]) -> str:
-    out = [t or "" for t in tokens]
-    for k, m in reversed(list(enumerate(mentions))):
-        at = [i for i in m["tokens"] or () if 0 <= i < len(out)]
-        if at:
-            name = (m["type"] or "").lower().replace(" ", "_")
-            out[min(at)] = f"<{name} id={k}> {out[min(at)]}"
-            out[max(at)] = f"{out[max(at)]} </{name}>"
-    return " ".join(out)
+def _inlined(tokens: pa.Array, types: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+    """Texts of a batch: tokens and tags are pieces, put in order by row, token, and the tags' numbers."""
+    rows = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.arange(len(rows)) - (np.cumsum(n) - n)[rows]
+    words = pc.fill_null(pc.list_flatten(tokens), "")
+    of = pc.list_parent_indices(types).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = pc.fill_null(pc.list_value_length(types), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
+    name, first, last = (pc.list_flatten(x) for x in (types, firsts, lasts))
+    there = np.flatnonzero(pc.is_valid(first).to_numpy(zero_copy_only=False))
+    take = pa.array(there)
+    name, of, number = pc.fill_null(name.take(take), ""), of[there], number[there]
+    first, last = (x.take(take).to_numpy(zero_copy_only=False).astype(np.int64) for x in (first, last))
+    opens = pc.binary_join_element_wise("<", name, " id=", pa.array(number).cast(pa.string()), ">", "")
+    closes = pc.binary_join_element_wise("</", name, ">", "")
+    m = len(of)
+    order = np.lexsort((np.r_[np.zeros(len(rows)), number, -number], np.r_[np.ones(len(rows)), np.zeros(m), np.full(m, 2)], np.r_[place, first, last], np.r_[rows, of, of]))
+    pieces = pa.concat_arrays([words, opens, closes]).take(pa.array(order))
+    total = n + 2 * np.bincount(of, minlength=len(n))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(total)].astype(np.int32)), pieces), " ")
 
 
 def inline_tags(tokens: Column, mentions: Column) -> Column:
-    """Tokens joined by blanks, each mention ``(type, tokens)`` in a tag with its number, at its first and last token."""
-    def run(tokens: pa.Array, mentions: pa.Array) -> pa.Array:
-        return pa.array([_inline(t or [], m or []) for t, m in zip(tokens.to_pylist(), mentions.to_pylist())], pa.string())
+    """Tokens joined by blanks, each mention ``(type, tokens)`` in a tag with its number, at its first and last token.
 
-    return F.arrow_udf(run, T.StringType())(tokens, mentions)
+    Null tokens are empty; positions that no token has are left out, as is a mention without any; null arrays are empty.
+    """
+    own = F.coalesce(tokens, F.array().cast("array<string>"))
+    inside = lambda m: F.filter(m["tokens"], lambda i: (i >= 0) & (i < F.size(own)))
+    name = F.transform(mentions, lambda m: F.replace(F.lower(m["type"]), F.lit(" "), F.lit("_")))
+    first, last = (F.transform(mentions, lambda m: f(inside(m)).cast("int")) for f in (F.array_min, F.array_max))
+    return F.arrow_udf(_inlined, T.StringType())(own, name, first, last)
 
 
 def answer_line(line: Column, n_sentences: Column) -> Column:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tagweave.functions import text
+from tagweave.functions import spans, text
 
 SENTENCES = "`document name` string, `sentence-ID` tinyint, tokens array<string>, `ner-tags` array<string>"
 DOCUMENTS = (
@@ -81,31 +80,28 @@ def stand_off(spark: SparkSession, folder: str) -> DataFrame:
     return texts.join(checked.groupBy("document_name").agg(spans.alias("spans")), "document_name", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,type:string>>")))
 
 
-def _tagged_sentences(body: str, spans: list[dict]) -> list[tuple[list[str], list[str]]]:
-    words = text.spans_of_words(body)
-    tags = ["O"] * len(words)
-    for s in sorted(spans, key=lambda s: (s["start"] - s["end"], s["start"])):
-        inside = [i for i, (_, a, b) in enumerate(words) if a < s["end"] and b > s["start"]]
-        if inside and all(tags[i] == "O" for i in inside):
-            for i in inside:
-                tags[i] = ("B-" if i == inside[0] else "I-") + s["type"]
-    cuts = [0, *(i for i in range(1, len(words)) if "\n" in body[words[i - 1][2] : words[i][1]] or words[i - 1][0] in ".!?" and words[i][0] not in ".!?"), len(words)]
-    return [([w for w, _, _ in words[a:b]], tags[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
-
-
 def stand_off_sentences(docs: DataFrame) -> DataFrame:
-    """Tagged sentences of stand-off documents.
+    """Tagged sentences of stand-off documents, in columns: no document is shuffled.
 
-    The longest span comes first, an overlapping one is dropped, one that covers no word too; sentences end
-    after a run of end marks and at line breaks.
+    The longest span comes first, of equally long ones the earlier, and one that shares a word with a span
+    before it is dropped, as is one that covers no word. Sentences end after a run of end marks and at line
+    breaks. A document without words has no sentence.
     """
-    def run(body: pa.Array, spans: pa.Array) -> pa.Array:
-        rows = [[dict(zip(("tokens", "ner_tags"), x)) for x in _tagged_sentences(t or "", s or [])] for t, s in zip(body.to_pylist(), spans.to_pylist())]
-        return pa.array(rows, pa.list_(pa.struct([("tokens", pa.list_(pa.string())), ("ner_tags", pa.list_(pa.string()))])))
-
-    words = T.ArrayType(T.StringType())
-    cut = F.arrow_udf(run, T.ArrayType(T.StructType([T.StructField("tokens", words), T.StructField("ner_tags", words)])))
-    return docs.withColumn("s", cut("text", "spans")).select("document_name", F.posexplode("s").alias("sentence_id", "s")).select("document_name", "sentence_id", "s.*")
+    longest = F.array_sort(F.transform("spans", lambda s: F.struct((s["start"] - s["end"]).alias("shortness"), s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"))))
+    placed = docs.select("document_name", text.words(F.col("text")).alias("w"), text.gaps(F.col("text")).alias("g"), text.word_spans(F.col("text")).alias("at"),
+                         F.transform(longest, lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"))).alias("s"))
+    n = F.size("w")
+    tagged = placed.where(n > 0).select("document_name", "w", "g", spans.tags_of(spans.over_words(F.col("s"), F.col("at")), n).alias("t"))
+
+    def begins(i):
+        mark = lambda k: F.get("w", k).isin(".", "!", "?")
+        return (i == 0) | F.contains(F.get("g", i), F.lit("\n")) | (mark(i - 1) & ~mark(i))
+
+    cut = tagged.withColumn("c", F.filter(F.sequence(F.lit(0), n - 1), begins))
+    part = lambda c, k: F.coalesce(F.get("c", k + 1), n) - c
+    # the tags come from Arrow, which a lambda can take as its argument only
+    found = F.get(F.transform(F.array("t"), lambda t: F.transform("c", lambda c, k: F.struct(F.slice("w", c + 1, part(c, k)).alias("tokens"), F.slice(t, c + 1, part(c, k)).alias("ner_tags")))), 0)
+    return cut.select("document_name", F.posexplode(found).alias("sentence_id", "s")).select("document_name", "sentence_id", "s.*")
 
 
 def results(spark: SparkSession, paths: str | list[str]) -> DataFrame:

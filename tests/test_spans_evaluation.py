@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tagweave.functions import spans
+from tagweave.functions import spans, spans as S
 from tagweave.operators import evaluation as E
 
 TAGS = ["O", "B-A", "I-A", "B-B", "I-B"]
@@ -102,3 +103,17 @@ def test_lookup_takes_the_type_seen_first_of_equal_ones(spark):
     train = spark.createDataFrame([(0, 0, "Bank", "B-X", 0), (0, 1, "bank", "B-Y", 1), (0, 2, "of", "O", 2)], schema)
     test = spark.createDataFrame([(1, 0, "BANK", None, 0), (1, 1, "bank", None, 0), (1, 2, "new", None, 0)], schema)
     assert [r.tag for r in E.lookup_tags(train, test, ["s"]).orderBy("wid").collect()] == ["B-X", "I-X", "O"]
+
+
+def test_spans_apart_are_those_of_a_walk_in_order():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 30))
+        first = rng.integers(0, n, int(rng.integers(0, 12)))
+        last = np.minimum(first + rng.integers(0, 6, len(first)), n - 1)
+        taken, walked = set(), []
+        for a, b in zip(first.tolist(), last.tolist()):
+            words = set(range(a, b + 1))
+            walked.append(not words & taken)
+            taken |= words if walked[-1] else set()
+        assert S.apart(first, last, n).tolist() == walked
