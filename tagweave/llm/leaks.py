@@ -2,9 +2,10 @@
 
 Of each sliding window of word k-grams the one with the smallest hash is kept, in passages and documents
 alike, so every shared run of ``k + window - 1`` words has a common fingerprint. How long a run a leak must
-have follows from the number of words and edits that it may have; k and the window are set to it, so no
-leak is missed. Common fingerprints are extended to whole runs and over one edit; what reaches the least
-length that a leak must have is aligned word by word.
+have follows from the number of words and edits that it may have; k and the window are set to it, class by
+class of passages, so no leak is missed and a short passage doesn't coarsen the search for the others.
+Fingerprints of both sides are tables, joined on their hash. Common ones are extended to whole runs and over
+one edit; what reaches the least length that a leak must have is aligned word by word.
 """
 
 from __future__ import annotations
@@ -12,20 +13,25 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tagweave.llm import characters as C
 from tagweave.llm.characters import Characters, spread, units
 from tagweave.llm.sentences import _classes, _DIGITS, _forward, _SPACES
+from tagweave.plans.runtime import Scratch
 
 #: A leak holds one in so many of the passage's words at least; one word in so many of it may differ.
 PART, EDIT_SHARE = 2, 8
-#: Passages that travel to the tasks at once. More are searched block by block, so a broadcast is never larger.
-BLOCK = 5000
+#: Bits of the map of the passages' windows that travels to the tasks: 8 MB at most, whatever the number of passages.
+LEAST_BITS, MOST_BITS = 20, 26
+#: Parts into which the hits of one fingerprint, and of one passage, are split by document.
+SALTS = 16
 HEADING_WORDS = 6
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = _classes(C.DOT, C.BANG, C.ELLIPSIS, C.CJK_END, C.DANDA, C.NEWLINE, C.CLOSE, C.QUOTE_CLOSE, C.QUOTE_EITHER, C.EDGE)
@@ -83,51 +89,53 @@ def least_runs(sizes: np.ndarray) -> tuple[int, int, int]:
     return max(1, run), max(1, pair), max(1, three)
 
 
-def fingerprints(s: Sequences, k: int, window: int, separator: int) -> np.ndarray:
-    """Places of the k-grams that winnowing keeps."""
-    n = len(s.hash) - k - window + 1
+@cache
+def bounds(n: int) -> tuple[int, int, int, int, int]:
+    """Of a passage of ``n`` words: the least longest run, pair and triple of runs, k and the window."""
+    run, pair, three = least_runs(np.array([n]))
+    k = max(1, min(4, run - 2)) if run > 2 else run
+    return run, pair, three, k, run - k + 1
+
+
+def setting(run: int) -> tuple[int, int]:
+    """k and window of the passages whose leaks have a run of so many words."""
+    k = max(1, min(4, run - 2)) if run > 2 else run
+    return k, run - k + 1
+
+
+def windows(s: Sequences, run: int, separator: int) -> np.ndarray:
+    """Places where ``run`` words of one text begin."""
+    n = len(s.hash) - run + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    gram = s.hash[: n + window - 1]
-    for j in range(1, k):
-        gram = gram * _MULTIPLIER + s.hash[j : j + n + window - 1]
-    gram = spread(gram)
-    low, at = gram[:n].copy(), np.arange(n)
-    for j in range(1, window):
-        less = gram[j : j + n] < low
-        low, at = np.where(less, gram[j : j + n], low), np.where(less, np.arange(j, j + n), at)
-    whole = s.text[:n] == s.text[k + window - 2 : k + window - 2 + n]
-    whole &= s.hash[k + window - 2 : k + window - 2 + n] != np.uint64(separator)
-    return np.unique(at[whole])
+    whole = s.text[:n] == s.text[run - 1 : run - 1 + n]
+    for j in (0, run - 1):
+        whole &= s.hash[j : j + n] != np.uint64(separator)
+    return np.flatnonzero(whole)
+
+
+def fingerprints(s: Sequences, run: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the k-grams that winnowing keeps in the windows that begin at ``starts``."""
+    k, window = setting(run)
+    grams = np.stack([gram_hashes(s, starts + j, k) for j in range(window)]) if len(starts) else np.zeros((window, 0), np.uint64)
+    at = np.unique(starts + grams.argmin(0))
+    return at, gram_hashes(s, at, k)
 
 
 def gram_hashes(s: Sequences, at: np.ndarray, k: int) -> np.ndarray:
     return spread(reduce(lambda g, j: g * _MULTIPLIER + s.hash[at + j], range(1, k), s.hash[at]))
 
 
+def slots(grams: np.ndarray, run: int, bits: int) -> np.ndarray:
+    """The bit of each window of ``run`` words in the map."""
+    return (spread(grams ^ np.uint64(run)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 _DOCUMENT, _PASSAGE = 0, 1
 #: Words that a run is followed for; a longer one is long enough.
 FAR = 48
 
 
-class Passages:
-    """Passages with their fingerprints."""
-
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.seq = sequences(texts, _PASSAGE)
-        self.size = np.bincount(self.seq.text[self.seq.hash != _PASSAGE], minlength=len(texts))[: len(texts)]
-        self.ids = ids
-        self.run, self.pair, self.three = least_runs(self.size[self.size > 0]) if (self.size > 0).any() else (1, 1, 1)
-        self.k = max(1, min(4, self.run - 2)) if self.run > 2 else self.run
-        self.window = self.run - self.k + 1
-        at = fingerprints(self.seq, self.k, self.window, _PASSAGE)
-        h = gram_hashes(self.seq, at, self.k)
-        order = np.argsort(h, kind="stable")
-        self.at, self.hash = at[order], h[order]
-        self.known = np.zeros(1 << 20, bool)
-        self.known[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-
 def _same(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
     """Equal words from places ``i`` of ``a`` and ``j`` of ``b`` on, in the direction ``step``."""
     n, live = np.zeros(len(i), np.int64), np.arange(len(i))
@@ -213,66 +221,172 @@ def alignment(doc: np.ndarray, passage: np.ndarray, at: int, of: int, length: in
     return best
 
 
-def leaks(passages: Passages, texts: list[str]) -> list[tuple[int, int, int, int, float]]:
-    """Text, passage, words and edits of the stretch, and its share of the passage, of every leak into ``texts``."""
-    doc, pas = sequences(texts, _DOCUMENT), passages.seq
-    at = fingerprints(doc, passages.k, passages.window, _DOCUMENT)
-    h = gram_hashes(doc, at, passages.k)
-    maybe = passages.known[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-    at, h = at[maybe], h[maybe]
-    low, high = np.searchsorted(passages.hash, h, "left"), np.searchsorted(passages.hash, h, "right")
-    count = high - low
-    p = np.repeat(at, count)
-    q = passages.at[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
-    right, left = _same(doc.hash, pas.hash, p, q, 1), _same(doc.hash, pas.hash, p - 1, q - 1, -1)
-    run = np.unique(np.stack([p - left, q - left, right + left], 1)[right + left >= passages.run], axis=0)
-    p, q, size = run.T if len(run) else np.zeros((3, 0), np.int64)
-    one = np.maximum(*(_grown(doc.hash, pas.hash, p, q, size, step, 1) for step in (1, -1)))
-    p, q, size = (x[size + one >= passages.pair] for x in (p, q, size))
-    r1, l1 = (_grown(doc.hash, pas.hash, p, q, size, step, 1) for step in (1, -1))
-    r2, l2 = (_grown(doc.hash, pas.hash, p, q, size, step, 2) for step in (1, -1))
-    p, q, size = (x[size + np.maximum(r1 + l1, np.maximum(r2, l2)) >= passages.three] for x in (p, q, size))
-    found: dict[tuple[int, int], tuple[int, int]] = {}
-    for i in np.argsort(-size, kind="stable").tolist():  # the longest run of a text and passage first; the first that holds decides
-        a, b, n = int(p[i]), int(q[i]), int(size[i])
-        text, own = int(doc.text[a]), int(pas.text[b])
-        if (text, own) in found:
-            continue
-        first, start = int(pas.first[own]), int(doc.first[text])
-        end = int(doc.first[text + 1]) - 1 if text + 1 < len(doc.first) else len(doc.hash) - 65
-        if got := alignment(doc.hash[start:end], pas.hash[first : first + int(passages.size[own])], a - start, b - first, n):
-            found[text, own] = got
-    return [(t, o, w, e, w / int(passages.size[o])) for (t, o), (w, e) in sorted(found.items())]
-
-
-def _finder(passages: Passages):
+def _numbered(n: int, seen: int) -> np.ndarray:
+    """Numbers of rows that no other task gives."""
+    return (np.int64(TaskContext.get().partitionId()) << np.int64(40)) + seen + np.arange(n)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
+
+
+_PASSAGES = "no long, passage_id long, run int, words array<long>, at array<int>, prints array<long>, windows array<long>"
+
+
+def _of_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, fingerprints and hashes of all windows of every passage that has words."""
+    seen = 0
+    for batch in batches:
+        s = sequences(batch.column("text").to_pylist(), _PASSAGE)
+        word = s.hash != _PASSAGE
+        size = np.bincount(s.text[word], minlength=batch.num_rows)[: batch.num_rows]
+        run = np.array([bounds(n)[0] if n else 0 for n in size.tolist()], np.int64)
+        parts = []
+        for r in np.unique(run[run > 0]).tolist():
+            starts = windows(s, r, _PASSAGE)
+            starts = starts[run[s.text[starts]] == r]
+            at, prints = fingerprints(s, r, starts)
+            parts.append((starts, gram_hashes(s, starts, r), at, prints))
+        starts, grams, at, prints = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
+        by = [np.argsort(x, kind="stable") for x in (starts, at)]
+        starts, grams, at, prints = starts[by[0]], grams[by[0]], at[by[1]], prints[by[1]]
+        count = lambda x: np.bincount(s.text[x], minlength=batch.num_rows)[: batch.num_rows] if len(x) else np.zeros(batch.num_rows, np.int64)
+        out = pa.RecordBatch.from_arrays([
+            pa.array(_numbered(batch.num_rows, seen)), batch.column("passage_id"), pa.array(run.astype(np.int32)), _lists(s.hash[word].view(np.int64), size),
+            _lists((at - s.first[s.text[at]]).astype(np.int32), count(at)), _lists(prints.view(np.int64), count(at)), _lists(grams.view(np.int64), count(starts))],
+            ["no", "passage_id", "run", "words", "at", "prints", "windows"])
+        seen += batch.num_rows
+        yield out.filter(pa.array(run > 0))
+
+
+def _mapped(bits: int):
+    """Rows of a passage's windows -> 64 bits of the map each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("windows")).to_numpy(zero_copy_only=False)
+            grams = pc.list_flatten(batch.column("windows")).to_numpy(zero_copy_only=False).view(np.uint64)
+            kinds = np.repeat(batch.column("run").to_numpy(zero_copy_only=False), sizes)
+            own = [slots(grams[kinds == r], r, bits) for r in np.unique(kinds).tolist()]
+            at = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["word", "bit"])
+
+    return run
+
+
+_HITS = "row long, doc_id long, words array<long>, run int, print long, at int"
+
+
+def _of_documents(runs: list[int], shared, bits: int):
+    """Documents -> the fingerprints of those of their windows that the map holds, and their words if there are any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = shared.value, 0
         for whole in batches:
             for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
-                rows = leaks(passages, batch.column(1).to_pylist())
-                text, own, words, edits, part = zip(*rows) if rows else ([], [], [], [], [])
+                s = sequences(batch.column(1).to_pylist(), _DOCUMENT)
+                gram, found = s.hash, []
+                for r in range(1, max(runs) + 1):
+                    if r > 1:
+                        gram = gram[:-1] * _MULTIPLIER + s.hash[r - 1 :]
+                    if r in runs:
+                        slot = slots(spread(gram), r, bits)
+                        maybe = np.flatnonzero(known[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                        fits = (s.text[maybe] == s.text[maybe + r - 1]) & (s.hash[maybe + r - 1] != _DOCUMENT) & (s.hash[maybe] != _DOCUMENT)
+                        at, prints = fingerprints(s, r, maybe[fits])
+                        found.append((np.full(len(at), r, np.int32), prints.view(np.int64), at))
+                kinds, prints, at = (np.concatenate(x) for x in zip(*found))
+                number, text = _numbered(batch.num_rows, seen), s.text[at]
+                seen += batch.num_rows
+                n = len(at)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([passages.ids[o] for o in own], pa.int64()), batch.column(0).take(pa.array(text, pa.int64())),
-                    pa.array(words, pa.int32()), pa.array(edits, pa.int32()), pa.array(part, pa.float64())], ["passage_id", "doc_id", "words", "edits", "part"])
+                    pa.array(number[text]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(kinds), pa.array(prints),
+                    pa.array((at - s.first[text]).astype(np.int32))], [f.split()[0] for f in _HITS.split(", ")])
+                own = np.unique(text)
+                last = np.r_[s.first[1:], len(s.hash) - 64] - 1
+                size = (last - s.first)[own]
+                words = s.hash[np.repeat(s.first[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(number[own]), batch.column(0).take(pa.array(own)), _lists(words.view(np.int64), size), *(pa.nulls(len(own), t) for t in (pa.int32(), pa.int64(), pa.int32()))],
+                    [f.split()[0] for f in _HITS.split(", ")])
 
     return run
 
 
-def leaked_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
+def _joined(lists: pa.Array, separator: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all rows in one array, a separator after each; where each row begins, and its number of words."""
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).view(np.uint64)
+    out = np.full(len(flat) + len(size) + 64, np.uint64(separator), np.uint64)
+    out[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)] = flat
+    return out, np.cumsum(size + 1) - size - 1, size
+
+
+def confirm(documents: pa.Array, passages: pa.Array, at: pa.Array, of: pa.Array) -> list[tuple[int, int, int]]:
+    """Row, words and edits of every leak among rows of a document's and a passage's words and the places of their common fingerprints."""
+    doc, doc_first, doc_size = _joined(documents, _DOCUMENT)
+    pas, pas_first, pas_size = _joined(passages, _PASSAGE)
+    row = np.repeat(np.arange(len(doc_size)), pc.list_value_length(at).to_numpy(zero_copy_only=False))
+    p = pc.list_flatten(at).to_numpy(zero_copy_only=False) + doc_first[row]
+    q = pc.list_flatten(of).to_numpy(zero_copy_only=False) + pas_first[row]
+    run, pair, three = (np.array([bounds(n)[i] for n in pas_size.tolist()]) for i in range(3))
+    right, left = _same(doc, pas, p, q, 1), _same(doc, pas, p - 1, q - 1, -1)
+    keep = right + left >= run[row]
+    found = np.unique(np.stack([row, p - left, q - left, right + left], 1)[keep], axis=0)
+    row, p, q, size = found.T if len(found) else np.zeros((4, 0), np.int64)
+    one = np.maximum(*(_grown(doc, pas, p, q, size, step, 1) for step in (1, -1)))
+    row, p, q, size = (x[size + one >= pair[row]] for x in (row, p, q, size))
+    r1, l1 = (_grown(doc, pas, p, q, size, step, 1) for step in (1, -1))
+    r2, l2 = (_grown(doc, pas, p, q, size, step, 2) for step in (1, -1))
+    row, p, q, size = (x[size + np.maximum(r1 + l1, np.maximum(r2, l2)) >= three[row]] for x in (row, p, q, size))
+    out: dict[int, tuple[int, int]] = {}
+    for i in np.argsort(-size, kind="stable").tolist():  # the longest run of a pair first; the first that holds decides
+        r, n = int(row[i]), int(size[i])
+        if r not in out:
+            first, start = int(pas_first[r]), int(doc_first[r])
+            got = alignment(doc[start : start + int(doc_size[r])], pas[first : first + int(pas_size[r])], int(p[i]) - start, int(q[i]) - first, n)
+            if got:
+                out[r] = got
+    return [(r, w, e) for r, (w, e) in sorted(out.items())]
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in (whole.slice(i, 300) for i in range(0, whole.num_rows, 300)):
+            rows = confirm(*(batch.column(c) for c in ("doc_words", "passage_words", "at", "of")))
+            row, words, edits = zip(*rows) if rows else ([], [], [])
+            take = pa.array(row, pa.int64())
+            size = pc.list_value_length(batch.column("passage_words")).take(take)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("passage_id").take(take), batch.column("doc_id").take(take), pa.array(words, pa.int32()), pa.array(edits, pa.int32()),
+                pc.divide(pa.array(words, pa.float64()), size.cast(pa.float64()))], ["passage_id", "doc_id", "words", "edits", "part"])
+
+
+def leaked_passages(documents: DataFrame, passages: DataFrame, scratch: Scratch) -> DataFrame:
     """``passage_id, doc_id, words, edits, part`` of every passage that a document gives away, whole or in part.
 
-    Documents are scanned where they lie, without a shuffle, once for each block of BLOCK passages. Null and
-    blank texts and passages give no row; equal passages each give theirs. An empty table gives an empty result.
+    Documents are scanned once, where they lie, whatever the number of passages; what is shuffled is their
+    fingerprints in windows that some passage may have, and the words of the documents that have any. A hash, or
+    a passage, that many documents share is split by document. Null and blank texts and passages give no row;
+    equal passages, and equal documents, each give theirs. An empty table gives an empty result.
     """
-    rows = passages.where("text is not null").select("passage_id", "text").orderBy("passage_id").toLocalIterator()
-    docs = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = documents.sparkSession
     schema = "passage_id long, doc_id long, words int, edits int, part double"
-    blocks, held = [], []
-    for row in rows:
-        held.append(row)
-        if len(held) == BLOCK:
-            blocks.append(Passages([r[0] for r in held], [r[1] for r in held]))
-            held = []
-    if held or not blocks:
-        blocks.append(Passages([r[0] for r in held], [r[1] for r in held]))
-    return reduce(DataFrame.unionByName, [docs.mapInArrow(_finder(b), schema) for b in blocks])
+    mine = scratch.keep(passages.where("text is not null").select(F.col("passage_id").cast("long").alias("passage_id"), "text").mapInArrow(_of_passages, _PASSAGES))
+    total = mine.groupBy("run").agg(F.sum(F.size("windows")).alias("n")).collect()  # a run has six words at most
+    if not total:
+        return spark.createDataFrame([], schema)
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * sum(r.n for r in total)).bit_length()))
+    words = mine.select("run", "windows").mapInArrow(_mapped(bits), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** (MOST_BITS - 6) rows at most
+    known = np.zeros(1 << (bits - 6), np.int64)
+    known[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(known.view(np.uint8))
+    docs = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = scratch.keep(docs.mapInArrow(_of_documents(sorted(r.run for r in total), shared, bits), _HITS))
+    part = F.pmod(F.col("row"), F.lit(SALTS)).cast("int").alias("salt")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    theirs = found.where("print is not null").select("row", "run", "print", "at", part)
+    prints = mine.select("no", "run", F.explode(F.arrays_zip(F.col("prints").alias("print"), F.col("at").alias("of"))).alias("x")).select("no", "run", "x.print", "x.of", parts)
+    pairs = theirs.join(prints, ["run", "print", "salt"]).groupBy("row", "no").agg(F.collect_list(F.struct("at", "of")).alias("places"))
+    pairs = pairs.join(found.where("words is not null").select("row", "doc_id", F.col("words").alias("doc_words")), "row").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    whole = pairs.join(mine.select("no", "passage_id", F.col("words").alias("passage_words"), parts), ["no", "salt"])
+    columns = whole.select("passage_id", "doc_id", "doc_words", "passage_words", F.col("places.at").alias("at"), F.col("places.of").alias("of"))
+    return columns.mapInArrow(_confirmed, schema)
