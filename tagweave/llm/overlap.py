@@ -29,11 +29,15 @@ TRAINING, EVALUATION = ("bootstrap", "pool"), ("validation", "test")
 #: One word in so many may differ.
 EDIT_SHARE = 8
 #: Counters of word pairs; pairs that share one count together, which only makes a pattern look more frequent.
-COUNTERS = 1 << 18
-#: Words in a pattern at most, patterns in a shard, training texts that a task holds while it goes through the shards.
-PATTERN_WORDS, SHARD_PATTERNS, HELD_TEXTS = 8, 400_000, 400_000
-#: Shards that are scans of their own in the plan; more share one.
-MOST_BRANCHES = 200
+COUNTERS, COUNTER_BLOCK = 1 << 18, 512
+#: Words in a pattern at most, patterns in a shard, training texts that a task scans.
+PATTERN_WORDS, SHARD_PATTERNS, TASK_TEXTS = 8, 400_000, 120_000
+#: Shards that one job scans; more take several jobs, so that no plan grows with the number of shards.
+MOST_BRANCHES = 100
+#: Places of patterns, each with all texts that it belongs to, that are held at once.
+MOST_PLACES = 2_000_000
+#: Rows from which a class of equal texts may be hot, hot classes at most, and the parts that one is split into.
+HOT_ROWS, MOST_HOT, HOT_PARTS = 50_000, 500, 32
 _BITS, _PLACES = 8, 2
 
 
@@ -91,9 +95,17 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs += np.bincount(_pair_counters(flat)[inner[1:]], minlength=COUNTERS)
         out = pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("training"), pa.array(np.diff(starts).astype(np.int32)), pa.array(list(map(" ".join, texts)), pa.string())], ["row_id", "training", "n", "text"])
         yield out.filter(pa.compute.greater(out.column("n"), 0))
-    for kind, counts in ((-1, ones), (-2, pairs)):
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.nulls(len(used), pa.bool_()), pa.array(np.full(len(used), kind, np.int32)), pa.array([str(c) for c in counts[used].tolist()], pa.string())], ["row_id", "training", "n", "text"])
+    blocks = np.concatenate([ones, pairs]).reshape(-1, COUNTER_BLOCK)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.nulls(len(blocks), pa.bool_()), pa.array(np.full(len(blocks), -1, np.int32)), pa.array([" ".join(map(str, b)) for b in blocks.tolist()])], ["row_id", "training", "n", "text"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of counters -> their sums, block by block."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sums[block] = sums.get(block, 0) + np.array(counts.split(" "), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], ["block", "counts"])
 
 
 def information(flat: np.ndarray, starts: np.ndarray, ones: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -171,7 +183,7 @@ def _patterns(ones: np.ndarray, pairs: np.ndarray):
             owner, a, b = telling_spans(information(flat, starts, ones, pairs), starts)
             offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array((x - starts[owner]).astype(np.int32))) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), batch.column("text"), *lists], ["key", "n", "text", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "key2", "n", "text")), *lists], ["key", "key2", "n", "text", "starts", "ends"])
 
     return run
 
@@ -216,7 +228,8 @@ class _Shard:
 
     def __init__(self, data: pa.Table):
         code = _Coded()
-        self.keys, self.n, self.texts = data.column("key").to_pylist(), data.column("n").to_numpy(), data.column("text").to_pylist()
+        self.keys = list(zip(data.column("key").to_pylist(), data.column("key2").to_pylist()))
+        self.n, self.texts = data.column("n").to_numpy(), data.column("text").to_pylist()
         coded = ["".join(map(code.__getitem__, t.split(" "))) for t in self.texts]
         first = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(data.column("starts")).to_numpy())))
         begins, ends = (pa.compute.list_flatten(data.column(c)).to_numpy() for c in ("starts", "ends"))
@@ -234,8 +247,8 @@ class _Shard:
         self.first = np.searchsorted(np.asarray(patterns, np.int64)[order], np.arange(known + 1)).astype(np.int32)
         self.owner, self.begin, self.end = (np.asarray(x, np.int32)[order] for x in (owners, begins, ends))
 
-    def partners(self, held: list[tuple[int, int, str]], code: _Coded) -> Iterator[tuple[int, int, int, float]]:
-        """Row, key, edits and merged coverage of every evaluation text that a held text nearly equals."""
+    def partners(self, held: list[tuple[int, int, str]], code: _Coded) -> Iterator[tuple[int, int, int, int, float]]:
+        """Row, both keys, edits and merged coverage of every evaluation text that a held text nearly equals."""
         if not len(self.owner) or not held:
             return
         coded = ["".join(map(code.__getitem__, text.split(" "))) for _, _, text in held]
@@ -245,15 +258,24 @@ class _Shard:
         of = np.searchsorted(starts, found[:, 0], side="right") - 1
         ends, patterns = (found[:, 0] + 1 - starts[of]) // _PLACES, found[:, 1]
         counts = self.first[patterns + 1] - self.first[patterns]
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[patterns], counts)
-        own, of = self.owner[at], np.repeat(of, counts)
-        n = np.fromiter((x[1] for x in held), np.int64, len(held))[of]
-        edits = np.maximum(self.n[own], n) // EDIT_SHARE
-        marks = _marks(coded)[of]
-        # an edit adds one word at most to either side, so it sets one mark at most that the other text lacks
-        fits = (np.abs(self.n[own] - n) <= edits) & (np.abs(np.repeat(ends, counts) - self.end[at]) <= edits)
-        fits &= (np.bitwise_count(marks & ~self.marks[own]) <= edits) & (np.bitwise_count(self.marks[own] & ~marks) <= edits)
-        at, own, of = at[fits], own[fits], of[fits]
+        marks, all_n = _marks(coded), np.fromiter((x[1] for x in held), np.int64, len(held))
+        kept = []
+        # a pattern that many texts share is gone through in slices, of which only the fitting places are held
+        slice_of = (np.cumsum(counts) - counts) // MOST_PLACES
+        heads = np.flatnonzero(np.r_[True, np.diff(slice_of) != 0]) if len(counts) else np.zeros(0, np.int64)
+        for low, high in zip(heads.tolist(), np.r_[heads[1:], len(counts)].tolist()):
+            c, text = counts[low:high], of[low:high]
+            at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(self.first[patterns[low:high]], c)
+            own, text, place = self.owner[at], np.repeat(text, c), np.repeat(ends[low:high], c)
+            n = all_n[text]
+            edits = np.maximum(self.n[own], n) // EDIT_SHARE
+            # an edit adds one word at most to either side, so it sets one mark at most that the other text lacks
+            fits = (np.abs(self.n[own] - n) <= edits) & (np.abs(place - self.end[at]) <= edits)
+            fits &= (np.bitwise_count(marks[text] & ~self.marks[own]) <= edits) & (np.bitwise_count(self.marks[own] & ~marks[text]) <= edits)
+            kept.append((at[fits], own[fits], text[fits]))
+        if not kept:
+            return
+        at, own, of = (np.concatenate(x) for x in zip(*kept))
         order = np.lexsort((self.begin[at], own, of))
         at, own, of = at[order], own[order], of[order]
         heads = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(of) != 0)]) if len(at) else []
@@ -268,77 +290,92 @@ class _Shard:
                 for a, b in zip(self.begin[at[head:after]].tolist(), self.end[at[head:after]].tolist()):
                     covered += max(0, b - max(a, reached))
                     reached = max(reached, b)
-                yield row_id, self.keys[own[head]], d, covered / len(theirs)
+                yield row_id, *self.keys[own[head]], d, covered / len(theirs)
 
 
-def _scan(uris: list[str]):
-    """Goes through the shards at ``uris`` with each block of texts."""
+_ready: dict[str, _Shard] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, held, shards = _Coded(), [], {}
-
-        def through() -> Iterator[pa.RecordBatch]:
-            for uri in uris:
-                if uri not in shards:
-                    shards.clear()  # one at a time is held
-                    fs, path = pa.fs.FileSystem.from_uri(uri)
-                    shards[uri] = _Shard(pa.parquet.read_table(path, filesystem=fs))
-                rows = [x for i in range(0, len(held), 5000) for x in shards[uri].partners(held[i : i + 5000], code)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("row_id", "key", "edits", "coverage"), r)) for r in rows], schema=pa.schema([("row_id", pa.int64()), ("key", pa.int64()), ("edits", pa.int32()), ("coverage", pa.float64())]))
-            held.clear()
 
-        for batch in batches:
-            held.extend(zip(*(batch.column(c).to_pylist() for c in ("row_id", "n", "text"))))
-            if len(held) >= HELD_TEXTS:
-                yield from through()
-        if held:
-            yield from through()
+def _shard(uri: str) -> _Shard:
+    """The shard of a worker; kept for its next task, one at a time."""
+    if uri not in _ready:
+        _ready.clear()
+        fs, path = pa.fs.FileSystem.from_uri(uri)
+        _ready[uri] = _Shard(pa.parquet.read_table(path, filesystem=fs))
+    return _ready[uri]
+
+
+_HIT = pa.schema([("row_id", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("edits", pa.int32()), ("coverage", pa.float64())])
+
+
+def _scan(uri: str):
+    """Texts -> their partners in the shard at ``uri``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = _Coded()
+        for whole in batches:
+            for batch in (whole.slice(i, 5000) for i in range(0, whole.num_rows, 5000)):
+                held = list(zip(*(batch.column(c).to_pylist() for c in ("row_id", "n", "text"))))
+                rows = list(_shard(uri).partners(held, code))
+                columns = list(zip(*rows)) if rows else [[]] * len(_HIT)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HIT)], schema=_HIT)
 
     return run
 
 
+def _with_members(hits: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``hits`` joined to the rows of their class of equal texts; a class with much of the rows is split in parts."""
+    key = ["key", "key2"]
+    total = classes.agg(F.sum("n_rows")).first()[0] or 0
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    hot = [(r.key, r.key2) for r in classes.where(F.col("n_rows") > limit).select(*key).collect()] if total > limit else []
+    if not hot:
+        return hits.join(members, key)
+    is_hot = reduce(lambda a, b: a | b, ((F.col("key") == k) & (F.col("key2") == k2) for k, k2 in hot))
+    split = members.where(is_hot).withColumn("part", F.pmod("eval_id", F.lit(HOT_PARTS)).cast("int"))
+    copied = hits.where(is_hot).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))))
+    return hits.where(~is_hot).join(members.where(~is_hot), key).unionByName(copied.join(split, [*key, "part"]).drop("part"))
+
+
 def cross_split_pairs(df: DataFrame, scratch: Scratch, id_column: str = "row_id", tokens: str = "tokens", split: str = "split") -> DataFrame:
     """``train_id, eval_id, edits, coverage`` of every training and evaluation row whose words nearly agree.
 
     Of the longer row's words at most one in EDIT_SHARE is replaced, misspelt, dropped or added; ``coverage``
     is the share of the evaluation row's words inside matched patterns. Rows without words or split give no
-    row; equal evaluation texts are searched once and joined back by their class, so a large group of copies
-    costs no more than its pairs. An empty table, or one without either side, gives an empty result.
+    row; equal evaluation texts (by two hashes of 64 bits) are searched once and joined back by their class, so a
+    large group of copies costs no more than its pairs. Training texts are laid out by their number of words, so
+    that a shard's scan reads those that can fit. An empty table, or one without either side, gives an empty result.
     """
     spark = df.sparkSession
     side = F.lower(F.trim(F.regexp_replace(F.col(split), "[\\s\\u00a0]+", " ")))
     known = df.where(F.col(tokens).isNotNull() & side.isin(*TRAINING, *EVALUATION)).select(F.col(id_column).alias("row_id"), side.isin(*TRAINING).alias("training"), F.concat_ws(" ", tokens).alias("joined"))
     rows = scratch.keep(known.mapInArrow(_prepare, "row_id long, training boolean, n int, text string"))
-    counts = rows.where("n < 0").groupBy("n", "row_id").agg(F.sum(F.col("text").cast("long")).alias("c")).toArrow()  # at most 2 * COUNTERS rows
-    tables = []
-    for kind in (-1, -2):
-        of = counts.filter(pa.compute.equal(counts.column("n"), kind))
-        table = np.zeros(COUNTERS, np.int64)
-        table[of.column("row_id").to_numpy()] = of.column("c").to_numpy()
-        tables.append(table)
-    texts = rows.where("n > 0").withColumn("key", F.xxhash64("text"))
-    evaluation = texts.where("not training")
-    classes = evaluation.groupBy("key").agg(F.first("n").alias("n"), F.first("text").alias("text"))
-    n_patterns = evaluation.agg(F.sum(F.expr(f"n div {EDIT_SHARE - 1} + 1"))).first()[0] or 0
-    n_shards = max(1, math.ceil(n_patterns / SHARD_PATTERNS))
-    shards = scratch.keep(classes.repartitionByRange(n_shards, "n", "key").mapInArrow(_patterns(*tables), "key long, n int, text string, starts array<int>, ends array<int>"))
+    blocks = rows.where("n < 0").select(F.col("row_id").alias("block"), "text").repartition(8, "block").mapInArrow(_added, "block long, counts array<long>").toArrow()
+    counts = np.zeros((2 * COUNTERS // COUNTER_BLOCK, COUNTER_BLOCK), np.int64)  # of one size, whatever the input's
+    for block, own in zip(blocks.column("block").to_pylist(), blocks.column("counts").to_pylist()):
+        counts[block] = own
+    texts = rows.where("n > 0")
+    evaluation = texts.where("not training").withColumns({"key": F.xxhash64("text"), "key2": F.xxhash64("text", F.lit(1))})
+    classes = scratch.keep(evaluation.groupBy("key", "key2").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.count("*").alias("n_rows")))
+    n_patterns = classes.agg(F.sum(F.expr(f"n div {EDIT_SHARE - 1} + 1"))).first()[0] or 0
+    lengths = [(r.n, r.c) for r in texts.where("training").groupBy("n").agg(F.count("*").alias("c")).orderBy("n").collect()]  # a row a length
+    if not n_patterns or not lengths:
+        return spark.createDataFrame([], "train_id long, eval_id long, edits int, coverage double")
+    n_shards = math.ceil(n_patterns / SHARD_PATTERNS)
+    shards = scratch.keep(classes.select("key", "key2", "n", "text").repartitionByRange(n_shards, "n", "key").mapInArrow(_patterns(*counts.reshape(2, -1)), "key long, key2 long, n int, text string, starts array<int>, ends array<int>"))
     # shards hold texts of neighbouring lengths: each is scanned by the training texts whose length can fit only
     ranges = shards.groupBy(F.input_file_name().alias("uri")).agg(F.min("n").alias("low"), F.max("n").alias("high")).orderBy("low", "uri").collect()
     training = texts.where("training").select("row_id", "n", "text")
-    # with fewer shards than cores the texts are divided, so that as few automata are built as keep the cores busy
-    size = max(1, -(-len(ranges) // MOST_BRANCHES))
-    groups = [ranges[i : i + size] for i in range(0, len(ranges), size)]
-    parts = max(1, -(-spark.sparkContext.defaultParallelism // max(1, len(groups))))
-
-    def scan(group) -> DataFrame:
-        low, high = min(g.low for g in group), max(g.high for g in group)
-        fits = F.col("n").between(low - low // EDIT_SHARE - 1, high + most_edits(high) + 1)
-        return training.where(fits).coalesce(parts).mapInArrow(_scan([g.uri for g in group]), "row_id long, key long, edits int, coverage double")
-
-    if groups:
-        hits = reduce(DataFrame.unionByName, map(scan, groups))
-    else:
-        hits = spark.createDataFrame([], "row_id long, key long, edits int, coverage double")
-    hits = scratch.keep(hits)
-    members = evaluation.select("key", F.col("row_id").alias("eval_id"))
-    return hits.join(members, "key").select(F.col("row_id").alias("train_id"), "eval_id", "edits", "coverage")
+    if len(ranges) > 1:
+        total = sum(c for _, c in lengths)
+        training = scratch.keep(training.repartitionByRange(max(1, math.ceil(total / TASK_TEXTS)), "n", "row_id").sortWithinPartitions("n"))
+
+    def scan(shard) -> DataFrame:
+        low, high = shard.low - shard.low // EDIT_SHARE - 1, shard.high + most_edits(shard.high) + 1
+        fitting = sum(c for n, c in lengths if low <= n <= high)
+        # as many tasks as the fitting texts ask for: each worker builds the shard's automaton once
+        return training.where(F.col("n").between(low, high)).coalesce(max(1, math.ceil(fitting / TASK_TEXTS))).mapInArrow(_scan(shard.uri), "row_id long, key long, key2 long, edits int, coverage double")
+
+    hits = [scratch.keep(reduce(DataFrame.unionByName, map(scan, ranges[i : i + MOST_BRANCHES]))) for i in range(0, len(ranges), MOST_BRANCHES)]
+    members = evaluation.select("key", "key2", F.col("row_id").alias("eval_id"))
+    return _with_members(reduce(DataFrame.unionByName, hits), members, classes.select("key", "key2", "n_rows")).select(F.col("row_id").alias("train_id"), "eval_id", "edits", "coverage")

@@ -58,8 +58,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     rows = pieces.oversized_pieces(table(spark, folder, "sentences"), "row_id", "tokens")
-    documents = table(spark, folder, "annotated_docs").select("id", F.col("tokens.text").alias("words"), F.col("tokens.sentence_index").alias("indices"))
-    cut = pieces.oversized_pieces(documents, "id", "words", sentence_index="indices")
+    documents = table(spark, folder, "annotated_docs").select("id", "text", F.col("tokens.text").alias("words"), F.col("tokens.sentence_index").alias("indices"))
+    cut = pieces.oversized_pieces(documents, "id", "words", sentence_index="indices", text="text")
     return rows.withColumn("item_table", F.lit("sentences")).unionByName(cut.withColumn("item_table", F.lit("annotated_docs")))
 
 
@@ -73,13 +73,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Evaluation rows with a partner in training, and their pairs, by split and document."""
+    """Evaluation rows with a partner in training, their pairs and the mean of their best coverage, by split and document."""
     rows = table(spark, folder, "sentences")
     scratch = Scratch(spark, "p6")
-    of_row = scratch.keep(overlap.cross_split_pairs(rows, scratch).groupBy("eval_id").agg(F.count("*").alias("n_pairs"), F.min("edits").alias("edits")))
+    of_row = scratch.keep(overlap.cross_split_pairs(rows, scratch).groupBy("eval_id").agg(F.count("*").alias("n_pairs"), F.min("edits").alias("edits"), F.max("coverage").alias("coverage")))
     where = rows.select(F.col("row_id").alias("eval_id"), F.lower(F.trim("split")).alias("split"), entities.document_key_of("document_name").alias("document"))
     return where.join(of_row, "eval_id").groupBy("split", "document").agg(
-        F.count("*").alias("n_rows"), F.sum("n_pairs").alias("n_pairs"), F.sum(F.when(F.col("edits") == 0, 1).otherwise(0)).alias("n_same_rows"))
+        F.count("*").alias("n_rows"), F.sum("n_pairs").alias("n_pairs"), F.sum(F.when(F.col("edits") == 0, 1).otherwise(0)).alias("n_same_rows"), F.round(F.avg("coverage"), 6).alias("coverage"))
 
 
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +113,7 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_passages"))
+    return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_passages"), Scratch(spark, "p8"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

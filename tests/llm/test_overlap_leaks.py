@@ -83,6 +83,13 @@ def test_several_shards_give_the_same(spark, monkeypatch):
     once = {(r.train_id, r.eval_id) for r in overlap.cross_split_pairs(df, Scratch(spark, "t")).collect()}
     monkeypatch.setattr(overlap, "SHARD_PATTERNS", 20)
     assert {(r.train_id, r.eval_id) for r in overlap.cross_split_pairs(df, Scratch(spark, "t")).collect()} == once and len(once) >= 60
+    monkeypatch.setattr(overlap, "MOST_BRANCHES", 2)  # several jobs, small slices of places, and hot classes
+    monkeypatch.setattr(overlap, "MOST_PLACES", 3)
+    monkeypatch.setattr(overlap, "HOT_ROWS", 1)
+    monkeypatch.setattr(overlap, "MOST_HOT", 10**6)
+    copies = df.unionByName(df.withColumn("row_id", df.row_id + 10_000))
+    again = [(r.train_id, r.eval_id) for r in overlap.cross_split_pairs(copies, Scratch(spark, "t")).collect()]
+    assert len(again) == len(set(again)) == 4 * len(once) and {(a % 10_000, b % 10_000) for a, b in again} == once
 
 
 def test_no_side(spark):
@@ -95,7 +102,14 @@ PASSAGE = ("the quiet harbour master signs every third ledger before dawn while
            "visiting surveyor measures the old granary walls with a brass chain so that repairs may begin once the winter storms have passed over the bay again")
 
 
-def test_whole_partial_and_edited_passages_are_found():
+def found(spark, texts, passages):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = leaks.leaked_passages(docs, spark.createDataFrame(list(enumerate(passages)), "passage_id long, text string"), Scratch(spark, "t")).collect()
+    assert len(rows) == len({(r.passage_id, r.doc_id) for r in rows})
+    return {(r.doc_id, r.passage_id) for r in rows}
+
+
+def test_whole_partial_and_edited_passages_are_found(spark):
     w = PASSAGE.split()
     rng = random.Random(4)
     edits = list(w)
@@ -104,8 +118,12 @@ def test_whole_partial_and_edited_passages_are_found():
     texts = [
         "Something else. " + PASSAGE.upper() + "! And more.", " ".join(w[10:36]), " ".join(w[:20]), " ".join(edits), "unrelated words only " * 40,
         " ".join(rng.sample(w, len(w))), "", " ".join(w[:24]) + "\n\nScope and purpose\n\n" + " ".join(w[24:]), ",\n".join(w), " ".join(w[:26]) + ". 3) " + " ".join(w[26:])]
-    p = leaks.Passages([7, 8], [PASSAGE, "another passage entirely made of different tokens that never occur here or anywhere else in these documents at all"])
-    assert {(t, o) for t, o, *_ in leaks.leaks(p, texts)} == {(0, 0), (1, 0), (3, 0), (7, 0), (8, 0), (9, 0)}
+    other = "another passage entirely made of different tokens that never occur here or anywhere else in these documents at all"
+    assert found(spark, texts, [PASSAGE, other]) == {(0, 0), (1, 0), (3, 0), (7, 0), (8, 0), (9, 0)}
+    # a passage of two words, each of them half of it, changes nothing for the others
+    three = found(spark, texts, [PASSAGE, other, "granary zebra"])
+    assert {t for t, o in three if o == 2} == {t for t, text in enumerate(texts) if "granary" in text.lower()}
+    assert {x for x in three if x[1] != 2} == {(0, 0), (1, 0), (3, 0), (7, 0), (8, 0), (9, 0)}
 
 
 def test_numbers_of_long_lists_are_no_words():
@@ -120,20 +138,30 @@ def test_every_shared_run_of_the_bound_has_a_common_fingerprint():
     for _ in range(30):
         shared = " ".join(f"s{rng.randrange(1000)}" for _ in range(6))
         a, b = leaks.sequences(["x1 x2 x3 " + shared + " x4"], 1), leaks.sequences(["y1 " + shared + " y2 y3 y4 y5"], 0)
-        prints = [set(leaks.gram_hashes(s, leaks.fingerprints(s, 4, 3, sep), 4).tolist()) for s, sep in ((a, 1), (b, 0))]
+        prints = [set(leaks.fingerprints(s, 6, leaks.windows(s, 6, sep))[1].tolist()) for s, sep in ((a, 1), (b, 0))]
         assert prints[0] & prints[1]
 
 
 def test_chinese_counts_characters(spark):
     passage = "根据第三条规定质谱图先批准再处理科学假设并抄送档案处备案" * 2
     docs = spark.createDataFrame([(1, "前文。" + passage[:30] + "。后文", None), (2, passage[:12], None), (3, None, None)], "doc_id long, text string, words string")
-    found = leaks.leaked_passages(docs, spark.createDataFrame([(5, passage), (6, None), (None, "")], "passage_id long, text string"))
+    found = leaks.leaked_passages(docs, spark.createDataFrame([(5, passage), (6, None), (None, "")], "passage_id long, text string"), Scratch(spark, "t"))
     assert [(r.passage_id, r.doc_id) for r in found.collect()] == [(5, 1)]
 
 
 def test_no_passages_or_documents(spark):
     docs = spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string")
     passages = spark.createDataFrame([(1, PASSAGE)], "passage_id long, text string")
-    assert leaks.leaked_passages(docs, passages.limit(0)).count() == 0
-    assert leaks.leaked_passages(docs.limit(0), passages).count() == 0
-    assert leaks.leaked_passages(docs, passages.unionByName(passages)).count() == 2
+    assert leaks.leaked_passages(docs, passages.limit(0), Scratch(spark, "t")).count() == 0
+    assert leaks.leaked_passages(docs.limit(0), passages, Scratch(spark, "t")).count() == 0
+    assert leaks.leaked_passages(docs, passages.unionByName(passages), Scratch(spark, "t")).count() == 2
+
+
+def test_many_passages_and_copies_give_each_pair_once(spark):
+    rng = random.Random(1)
+    passages = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(2, 60))) for _ in range(300)]
+    texts = [" ".join(f"v{rng.randrange(50)}" for _ in range(30)) + " " + (passages[i % 300] if i % 2 else "") for i in range(400)]
+    got = found(spark, texts, passages)
+    assert {(i, i % 300) for i in range(1, 400, 2)} <= got
+    same = found(spark, [passages[0]] * 50, [passages[0]] * 40)
+    assert len(same) == 2000
