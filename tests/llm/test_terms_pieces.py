@@ -76,3 +76,25 @@ def test_items_of_tables(spark):
     docs = spark.createDataFrame([("d", ["w"] * 250, [0] * 120 + [None] * 10 + [1] * 120), ("e", ["w"] * 250, [None] * 250)], "id string, words array<string>, idx array<int>")
     assert {(r.item_key, r.cut_kind) for r in pieces.oversized_pieces(docs, "id", "words", sentence_index="idx").collect()} == {("d", "natural"), ("e", "forced")}
     assert pieces.oversized_pieces(df.limit(0), "row_id", "tokens").count() == 0
+
+
+def test_no_piece_is_shorter_than_its_parts_force_it_to_be():
+    assert pieces.cut(600, [[200, 201], []], 200, 20)[0] == [(0, 200), (180, 380), (360, 560), (540, 600)]
+    assert pieces.cut(10, [[3], [5, 7]], 4, 0)[0] == [(0, 3), (3, 7), (7, 10)]
+    assert pieces.cut(0, [[]], 5, 1)[0] == []
+
+
+def test_texts_are_cut_at_sections_paragraphs_sentences_words_and_characters():
+    text = "Scope of use\n\nOne two three. Four five six!\n\nOffice hours\n\nSeven; eight nine. " + "x" * 50 + " ten"
+    out = pieces.cut_text(text, 30)
+    assert "".join(out) == text and max(map(len, out)) <= 30
+    assert out == ["Scope of use\n\nOne two three. ", "Four five six!\n\n", "Office hours\n\n", "Seven; eight nine. ", "x" * 30, "x" * 20 + " ten"]
+    assert all(pieces.cut_text(text, k, min(3, k - 1)) for k in range(1, 40))
+    assert pieces.cut_text("", 5) == [] and pieces.cut_text("一二三。四五六。", 4) == ["一二三。", "四五六。"]
+
+
+def test_layout_tells_sections_from_paragraphs():
+    words = ["A", "b", ".", "Head", "c", ".", "d", "."]
+    text = "A b.\n\nHead\n\nc.\n\nd."
+    assert pieces.layout_levels(words, [3, 4, 6], text) == [[3], [3, 4, 6], [3, 4, 6]]
+    assert pieces.layout_levels(words, [3, 4, 6], None) == pieces.layout_levels(words, [3, 4, 6], "other") == [[], [], [3, 4, 6]]
