@@ -3,15 +3,17 @@
 The unit that is classified is the sentence, since a document deals with a subject if a quarter of its
 sentences do. No sentence is labelled, so weak labels are made first: hand labels say which subjects a
 document has, and an expectation-maximisation over the sample's sentences, each of one subject or of none,
-finds which of them carry these. The names of sources and sections tell nothing about subjects in this
-collection; they are used where they do. The classifiers are then trained on the weak labels, and each
+finds which of them carry these. Where addresses, document names and sections foretell the hand labels of
+documents that they weren't learned from, they also give the other documents' likely subjects; where they
+don't, all are taken for equally likely. The classifiers are then trained on the weak labels, and each
 subject's threshold is set where its documents agree best with the hand labels.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,11 @@ from tagweave.llm import characters as C
 from tagweave.llm import sentences as S
 from tagweave.llm.characters import Characters, spread, units
 
-#: Hashed features; labelled and other documents of each language in the training sample, and languages that are told apart.
+#: Hashed features; labelled and other documents of each language in the training sample. With more languages than
+#: LANGUAGES each has its even share of as many documents, so the sample is bounded and no language is left out.
 WIDTH, LABELLED, OTHERS, LANGUAGES = 1 << 18, 350, 250, 20
+#: Columns that hold addresses and section metadata, and the gain (in nats a held-out document) from which they are used.
+METADATA, LEAST_GAIN = ("source", "doc_name", "category"), 0.05
 #: Share of a document's sentences, headings aside, from which it deals with a subject.
 SHARE = 0.25
 #: Words of a line without end mark, before a blank line, up to which it is a heading.
@@ -118,8 +123,54 @@ def _widespread(s: Sentences, n_subjects: int) -> np.ndarray:
     return (count > np.maximum(MOST_TEXTS / n_subjects * texts, 4)).any(1)
 
 
-def weak_labels(s: Sentences, given: np.ndarray, n_subjects: int) -> np.ndarray:
-    """Share of each sentence in each subject (the last column: none). ``given[text, subject]``: hand labels.
+def metadata_parts(values: Sequence[str | None]) -> set[str]:
+    """What metadata hold: each value, and the parts of its path or name, with the number of its column."""
+    out = set()
+    for k, v in enumerate(values):
+        plain = (v or "").strip().lower()
+        out |= {f"{k}:{x}" for x in [plain, *re.split(r"[\W\d_]+", plain)] if x}
+    return out
+
+
+def metadata_prior(parts: list[set[str]], given: np.ndarray) -> tuple[np.ndarray | None, float]:
+    """How likely each subject is for each text by its metadata alone, and how much better than the subjects' shares it
+    foretells the hand labels of texts that weren't learned from, in nats a text; None if that is less than LEAST_GAIN.
+
+    Naive Bayes over the parts of the metadata, in two folds.
+    """
+    known = np.flatnonzero(given.any(1))
+    k = given.shape[1]
+    if len(known) < 20 or k < 2:
+        return None, 0.0
+    target = given / np.maximum(1, given.sum(1, keepdims=True))
+    number = {x: i for i, x in enumerate(sorted(set().union(*(parts[i] for i in known))))}
+    rows = [[number[x] for x in p if x in number] for p in parts]
+
+    def learned(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        base = (target[own].sum(0) + 0.5) / (target[own].sum() + 0.5 * k)
+        counts = np.zeros((len(number), k))
+        for i in own.tolist():
+            counts[rows[i]] += target[i]
+        return np.log(base), np.log((counts + 5 * base) / (counts.sum(1, keepdims=True) + 5)) - np.log(base)  # towards the shares where little is known
+
+    def told(own: np.ndarray, base: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        logits = np.stack([base + weights[rows[i]].sum(0) for i in own.tolist()])
+        return logits - np.logaddexp.reduce(logits, 1, keepdims=True)
+
+    gain = 0.0
+    for fold in (0, 1):
+        held, own = known[fold::2], known[1 - fold :: 2]
+        base, weights = learned(own)
+        gain += float((target[held] * (told(held, base, weights) - base)).sum())
+    gain /= len(known)
+    if gain < LEAST_GAIN:
+        return None, gain
+    return np.exp(told(np.arange(len(parts)), *learned(known))), gain
+
+
+def weak_labels(s: Sentences, given: np.ndarray, n_subjects: int, likely: np.ndarray | None = None) -> np.ndarray:
+    """Share of each sentence in each subject (the last column: none). ``given[text, subject]``: hand labels;
+    ``likely[text, subject]``: what is likely of the others, if anything is.
 
     An n-gram counts once a text, for the subjects of the sentence it stands in; it is telling if one subject
     has most of it. Sentences are of the subjects of their telling n-grams, texts of those of their sentences,
@@ -129,7 +180,7 @@ def weak_labels(s: Sentences, given: np.ndarray, n_subjects: int) -> np.ndarray:
     """
     n, k = len(s.text), n_subjects
     labelled = given.any(1)
-    prior = np.full((s.n_texts, k), 1 / k)
+    prior = np.full((s.n_texts, k), 1 / k) if likely is None else likely.copy()
     prior[labelled] = 0.01
     prior[given] = 1.0
     prior /= prior.sum(1, keepdims=True)
@@ -220,19 +271,31 @@ class Classifier:
         return shares(s, probabilities(s, self.weights, self.intercepts), self.thresholds), np.bincount(s.text, minlength=len(texts))
 
 
-def _sampled(rows: DataFrame, most: int) -> DataFrame:
+def _sampled(ids: DataFrame, most: int) -> DataFrame:
     """About ``most`` rows of each language, chosen by the hash of ``doc_id``, so that rare languages are learned too.
 
-    Languages are the first two letters of ``lang``; those beyond the LANGUAGES most frequent, and missing
-    ones, count as one.
+    Languages are the first two letters of ``lang``; missing ones count as one. ``ids(doc_id, lang, subjects)``
+    hold no text, so that nothing large is joined or sorted to find the sample.
     """
-    code = F.coalesce(F.lower(F.substring(F.trim("lang"), 1, 2)), F.lit("?"))
-    coded = rows.withColumn("_code", code)
-    counts = coded.groupBy("_code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_code").limit(LANGUAGES).collect()
-    rest = F.lit(min([r.n for r in counts], default=1))
-    n = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["_code"], r.n))), F.col("_code")), rest) if counts else rest
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * n
-    return coded.where(place < F.lit(most * (1 << 20))).drop("_code").limit(most * (LANGUAGES + 1))
+    coded = ids.withColumn("_code", F.coalesce(F.lower(F.substring(F.trim("lang"), 1, 2)), F.lit("?")))
+    counts = coded.groupBy("_code").agg(F.count("*").alias("_n"))
+    n_codes = counts.count()
+    share = most * LANGUAGES // max(LANGUAGES, n_codes)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("_n")
+    return coded.join(counts, "_code").where(place < F.lit(share * (1 << 20))).drop("_code", "_n").limit(most * (LANGUAGES + 1))
+
+
+def sample(documents: DataFrame, labels: DataFrame) -> list:
+    """Rows ``doc_id, subjects, text`` and metadata of the training sample: ids are chosen first, then their texts read."""
+    hand = labels.where("doc_id is not null and subject is not null").select("doc_id", F.lower(F.trim("subject")).alias("subject")).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
+    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
+    ids = documents.where("text is not null and doc_id is not null").select("doc_id", lang.alias("lang")).join(hand, "doc_id", "left")
+    known = _sampled(ids.where("subjects is not null"), LABELLED)
+    rest = _sampled(ids.where("subjects is null"), OTHERS).withColumn("subjects", F.array().cast("array<string>"))
+    chosen = known.unionByName(rest).select("doc_id", "subjects").toArrow()  # at most (LANGUAGES + 1) * (LABELLED + OTHERS) ids
+    few = F.broadcast(documents.sparkSession.createDataFrame(chosen))
+    about = [F.col(c) if c in documents.columns else F.lit(None).cast("string").alias(c) for c in METADATA]
+    return documents.where("text is not null").select("doc_id", "text", *about).join(few, "doc_id").limit(2 * max(1, chosen.num_rows)).collect()
 
 
 def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, boundaries: S.Model) -> Classifier:
@@ -241,20 +304,18 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, boundaries: S
     areas = list({a.subject: a for a in areas}.values())
     names = [a.subject for a in areas]
     number = {a.lower().strip(): i for i, a in enumerate(names)}
-    hand = labels.where("doc_id is not null and subject is not null").select("doc_id", F.lower(F.trim("subject")).alias("subject")).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
-    texts = documents.where("text is not null").select("doc_id", "text", lang.alias("lang"))
-    known = texts.join(hand, "doc_id")
-    rest = texts.join(hand.select("doc_id"), "doc_id", "left_anti").withColumn("subjects", F.array().cast("array<string>"))
-    rows = _sampled(known, LABELLED).collect() + _sampled(rest, OTHERS).collect()  # at most (LANGUAGES + 1) * (LABELLED + OTHERS) texts
+    rows = sorted(sample(documents, labels), key=lambda r: (r.doc_id, r.text))
     words = [r.text for r in rows] + [a.description or "" for a in areas]
     given = np.zeros((len(words), len(names)), bool)
     for i, r in enumerate(rows):
         given[i, [number[x] for x in r.subjects if x in number]] = True
     given[np.arange(len(rows), len(words)), np.arange(len(names))] = True
+    likely, _ = metadata_prior([metadata_parts([r[c] for c in METADATA]) for r in rows], given[: len(rows)])
+    if likely is not None:
+        likely = np.concatenate([likely, np.full((len(areas), len(names)), 1 / max(1, len(names)))])
     s = Sentences(words, boundaries)
     s.only_frequent(LEAST)
-    target = weak_labels(s, given, len(names))[:, :-1]
+    target = weak_labels(s, given, len(names), likely)[:, :-1]
     weights, intercepts = train(s, target)
     return Classifier(names, boundaries, weights, intercepts, calibrate(s, probabilities(s, weights, intercepts), given))
 

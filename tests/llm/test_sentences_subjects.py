@@ -50,8 +50,11 @@ def cut_texts(model, texts):
 @pytest.fixture(scope="module")
 def model():
     rng = np.random.default_rng(0)
-    c = S.candidates(Characters([t for t, _ in make(rng, 500)]))
-    return S.train([c], [S.rule_labels(c)])
+    texts = [t for t, _ in make(rng, 500)]
+    c = S.candidates(Characters(texts))
+    y = S.rule_labels(c)
+    more = list(S.stripped(c, y, texts))
+    return S.train([c, *(x for x, _ in more)], [y, *(x for _, x in more)])
 
 
 def test_held_out_texts(model):
@@ -84,6 +87,35 @@ def test_long_lists(model, mark, after):
     assert cut_texts(model, ["\n".join(items[100:])])[0] == items[100:]
 
 
+def test_shortened_words_are_learned():
+    text = " ".join(f"The clerk of Brontun Ltd. Dispatch sends approx. {k} sheets to St. Tomer{k}. The form is old, etc. The form stays. Then the form waits for the form." for k in range(20))
+    own = S.habits(S.candidates(Characters([text])))
+    assert {"ltd", "approx", "st"} <= own.short and "form" not in own.short and not {"ltd", "approx"} & own.ending
+
+
+def test_ideographs_without_marks_are_cut(model):
+    first, second = ZH[0].rstrip("。").replace("，", ""), "谁把记录作了比较"
+    c = S.candidates(Characters([first + second, ZH[0] + second]))
+    assert (c.text == 0).sum() > 10 and (c.text == 1).sum() < 4
+    y = S.rule_labels(S.candidates(Characters([ZH[0] + ZH[3]])))
+    (spaced, a), (joined, b) = S.stripped(S.candidates(Characters([ZH[0] + ZH[3]])), y, [ZH[0] + ZH[3]])
+    assert a.sum() == b.sum() == 1 and len(b) > 10
+    assert joined.end[b][0] == 1 + sum(ch not in "。.？" for ch in ZH[0])
+
+
+def test_metadata_are_used_where_they_tell():
+    rng = np.random.default_rng(0)
+    truth = rng.integers(0, 3, 200)
+    given = np.eye(3, dtype=bool)[truth]
+    given[120:] = False
+    telling = [J.metadata_parts([f"site-{t if rng.random() < 0.9 else rng.integers(3)}/page/{i}", None, "news"]) for i, t in enumerate(truth)]
+    likely, gain = J.metadata_prior(telling, given)
+    assert gain > 0.3 and (likely.argmax(1)[120:] == truth[120:]).mean() > 0.8 and np.allclose(likely.sum(1), 1)
+    none, gain = J.metadata_prior([J.metadata_parts([f"site-{rng.integers(3)}", None, None]) for _ in truth], given)
+    assert none is None and gain < 0.05
+    assert J.metadata_prior([set()] * 5, np.zeros((5, 3), bool)) == (None, 0.0)
+
+
 def test_viterbi_matches_enumeration():
     rng = np.random.default_rng(2)
     c = S.candidates(Characters(["a. b. c. d. e.\nf. G", "H. i! J", "none"]))
