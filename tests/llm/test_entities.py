@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagweave.llm import entities
 from tagweave.llm.components import connected_components, proportional_splits
@@ -101,3 +102,22 @@ def test_empty_tables(spark):
     s, r = spark.createDataFrame([], SENTENCES), spark.createDataFrame([], REGISTRY)
     assert entities.related_rows(s, r, Scratch(spark, "t")).count() == 0
     assert entities.related_splits(s, r, Scratch(spark, "t"), {"train": 1.0}).count() == 0
+
+
+def test_names_of_one_hash_are_hashed_anew(spark, monkeypatch):
+    names = spark.createDataFrame([("author", "a"), ("author", "b"), ("document", "a")], "kind string, name string")
+    whole = entities._node
+    monkeypatch.setattr(entities, "_node", lambda seed, kind, name: F.lit(1) if seed < 2 else whole(seed, kind, name))
+    assert entities._seed(names) == 2
+    monkeypatch.setattr(entities, "_node", lambda seed, kind, name: F.lit(1))
+    with pytest.raises(RuntimeError):
+        entities._seed(names)
+
+
+def test_worded_missing_names_stay_alone(spark):
+    rows = spark.createDataFrame([(1, "a.txt"), (2, "unknown"), (3, "unknown"), (4, None), (5, "A")], "row_id long, document_name string")
+    registry = spark.createDataFrame([("unknown", "x", None), ("a", "x", None)], "document_name string, author string, source_file string")
+    found = {r.row_id: r.group_id for r in entities.related_rows(rows, registry, Scratch(spark, "t")).collect()}
+    assert found == {1: 1, 5: 1}
+    split = {r.row_id: r.group_id for r in entities.related_splits(rows, registry, Scratch(spark, "t"), {"train": 0.5, "test": 0.5}).collect()}
+    assert split == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
