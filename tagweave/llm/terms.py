@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 RANGE_BITS = 24
 #: Identifiers in one block, and the most of them that are kept as offsets.
 BLOCK_BITS, MOST_OFFSETS = 16, 4096
-#: Pairs of term and record that a task holds before it hands them on.
-HELD = 3_000_000
+#: Pairs of term and record that a task holds before it hands them on, and spellings that it knows by then.
+HELD, MOST_NAMES = 3_000_000, 1_000_000
 _PIECES = "field_name string, term string, part long, occurrences long, block long, bits binary"
 
 
@@ -43,7 +43,12 @@ class _Vertical:
         self.field, self.known, self.names, self._id_of = field, {}, [], {}
         self.clear()
 
+    def full(self) -> bool:
+        return self.held > HELD or len(self.known) > MOST_NAMES
+
     def clear(self) -> None:
+        if len(self.known) > MOST_NAMES:
+            self.known, self.names, self._id_of = {}, [], {}
         self.terms, self.rows, self.counts, self.held = [], [], np.zeros(len(self.names), np.int64), 0
 
     def _term(self, raw: str | None) -> int:
@@ -115,7 +120,7 @@ def _build(fields: list[str], id_column: str):
             ids = batch.column(id_column).to_numpy(zero_copy_only=False).astype(np.int64)
             for one in held:
                 one.add(ids, batch.column(one.field))
-                if one.held > HELD:
+                if one.full():
                     yield from one.pieces()
         for one in held:
             yield from one.pieces()
