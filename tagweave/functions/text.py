@@ -64,7 +64,11 @@ def surface(tokens: Column, first: Column, last: Column) -> Column:
 
 def numbered_lines(sentences: Column) -> Column:
     """One line for each token list: its number, a colon and the tokens."""
-    return F.array_join(F.transform(sentences, lambda s, i: F.concat(i.cast("string"), F.lit(": "), F.array_join(s, " "))), "\n")
+    return F.array_join(F.transform(sentences, lambda s, i: numbered_line(i, s)), "\n")
+
+
+def numbered_line(no: Column, tokens: Column) -> Column:
+    return F.concat(no.cast("string"), F.lit(": "), F.array_join(tokens, " "))
 
 
 def token_char_spans(tokens: Column) -> Column:

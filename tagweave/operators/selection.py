@@ -12,9 +12,13 @@ _STEP, _HALF = 2654435761, 1 << 31
 
 
 def softmax(x: Column) -> Column:
-    shifted = F.transform(x, lambda v: F.exp(v.cast("double") - F.array_max(x).cast("double")))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(shifted, lambda v: v / total)
+    def bound(value: Column, f) -> Column:
+        """``f`` of a value that is computed once, not once an element."""
+        return F.get(F.transform(F.array(value), f), 0)
+
+    shifted = bound(F.array_max(x).cast("double"), lambda m: F.transform(x, lambda v: F.exp(v.cast("double") - m)))
+    total = lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, w: a + w).alias("sum"))
+    return bound(bound(shifted, total), lambda s: F.transform(s["e"], lambda v: v / s["sum"]))
 
 
 def entropy(p: Column) -> Column:
@@ -57,12 +61,17 @@ def top(candidates: DataFrame, k: int, score: str, keys: Sequence[str], within:
         best = candidates.orderBy(*order).limit(k)
         return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
     if cap is not None:
-        own = F.row_number().over(Window.partitionBy(*within, F.lower(form)).orderBy(*order))
-        candidates = candidates.withColumn("_over", (own > cap).cast("int"))
-        order = ["_over", *order]
+        # rank <= cap is cut to its best rows before the shuffle, so a form that much of the table has costs no more
+        form_rank = F.row_number().over(Window.partitionBy(*within, F.lower(form)).orderBy(*order))
         if not within:
-            best = candidates.orderBy(*order).limit(k)
-            return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_over")
+            allowed = candidates.withColumn("_r", form_rank).where(F.col("_r") <= cap).drop("_r").orderBy(*order).limit(k).withColumn("_over", F.lit(0))
+            missing = k - allowed.count()
+            if missing > 0:  # every row within the cap is chosen: what is left was passed over
+                rest = candidates.join(allowed.select(*keys), list(keys), "left_anti").orderBy(*order).limit(missing).withColumn("_over", F.lit(1))
+                allowed = allowed.unionByName(rest)
+            return allowed.withColumn("rank", F.row_number().over(Window.orderBy("_over", *order))).drop("_over")  # k rows
+        candidates = candidates.withColumn("_over", (form_rank > cap).cast("int"))
+        order = ["_over", *order]
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("rank") <= k).drop("_over")
 
 

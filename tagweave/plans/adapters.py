@@ -100,14 +100,14 @@ selections AS (
 
 
 def probabilities(spark: SparkSession, folder: str) -> DataFrame:
-    """Class probabilities: softmax of the first ten numbers of each vector."""
+    """Class probabilities: softmax of each vector."""
     from tagweave.operators.selection import softmax
 
-    return table(spark, folder, "embeddings").select("vec_id", "label", softmax(F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 10)).alias("p"))
+    return table(spark, folder, "embeddings").select("vec_id", "label", softmax(F.transform("embedding", lambda v: v.cast("double"))).alias("p"))
 
 
 PROBABILITIES = """
-logits AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda v: v::DOUBLE) AS x FROM embeddings),
+logits AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
 shifted AS (SELECT vec_id, label, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM logits),
 probabilities AS (SELECT vec_id, label, list_transform(e, lambda v: v / list_sum(e)) AS p FROM shifted)"""
 

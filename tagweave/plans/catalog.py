@@ -14,6 +14,7 @@ from tagweave.functions import spans, text
 from tagweave.operators import annotation, curves as C, evaluation as E, profile as P, quality as V, selection as A, stats as ST, ledger as L
 from tagweave.plans import adapters as D
 from tagweave.operators import loop
+from tagweave.plans.order import numbered
 from tagweave.plans.runtime import Scratch, table
 from tagweave.streaming import live
 
@@ -78,7 +79,21 @@ def _(spark, folder):
     return E._of_types(E.exact_type_counts(D.tagged(spark, folder), ["part"]), ["part"], "entity_").select("part", *r6("entity_precision", "entity_recall", "entity_f1", "entity_macro_f1"))
 
 
-@query("e3_partial_type_counts")
+# Greedy matching, predicted entity by predicted entity: each takes the first gold one of its type that meets it and isn't taken.
+_GREEDY = """
+gold_numbered AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY first) AS m FROM gold_chunks),
+pred_numbered AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY first) AS k FROM pred_chunks),
+choices AS (SELECT p.row_id, p.part, p.type, p.k, coalesce(list(g.m ORDER BY g.m) FILTER (WHERE g.m IS NOT NULL), []) AS near
+            FROM pred_numbered p LEFT JOIN gold_numbered g ON g.row_id = p.row_id AND g.type = p.type AND g.first <= p.last AND g.last >= p.first GROUP BY ALL),
+walk AS (SELECT DISTINCT row_id, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::VARCHAR AS part, NULL::VARCHAR AS type, false AS hit FROM choices
+  UNION ALL SELECT row_id, k, CASE WHEN len(free) > 0 THEN list_append(taken, free[1]) ELSE taken END, part, type, len(free) > 0
+  FROM (SELECT c.row_id, c.k, w.taken, c.part, c.type, list_filter(c.near, lambda m: NOT list_contains(w.taken, m)) AS free FROM walk w JOIN choices c ON c.row_id = w.row_id AND c.k = w.k + 1)),
+partial AS (
+  SELECT part, type, sum(p)::BIGINT AS n_predicted, sum(g)::BIGINT AS n_gold, sum(ok)::BIGINT AS n_ok FROM (
+    SELECT part, type, 1 AS p, 0 AS g, 0 AS ok FROM pred_chunks UNION ALL SELECT part, type, 0, 1, 0 FROM gold_chunks UNION ALL SELECT part, type, 0, 0, 1 FROM walk WHERE hit) GROUP BY part, type)"""
+
+
+@query("e3_partial_type_counts", D.with_ctes(D.TAGGED, D.GOLD, D.PRED, _GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT part, type, n_predicted, n_gold, n_ok FROM partial")
 def _(spark, folder):
     return E.partial_type_counts(D.tagged(spark, folder), ["part"])
 
@@ -88,10 +103,21 @@ def _(spark, folder):
     return E.token_accuracy(D.tagged(spark, folder), ["part"]).select("part", *r6("token_accuracy"))
 
 
-@query("e5_evaluation_row")
+def _of_counts(source: str, prefix: str) -> str:
+    p, r = "CASE WHEN sum(n_predicted) > 0 THEN sum(n_ok) / sum(n_predicted) ELSE 0 END", "CASE WHEN sum(n_gold) > 0 THEN sum(n_ok) / sum(n_gold) ELSE 0 END"
+    return (f"(SELECT coalesce(part, 'none') AS part, round({p}, 6) AS {prefix}precision, round({r}, 6) AS {prefix}recall, round(CASE WHEN sum(n_ok) > 0 THEN 2.0::DOUBLE * sum(n_ok) / (sum(n_predicted) + sum(n_gold)) ELSE 0 END, 6) AS {prefix}f1, "
+            f"round(avg(CASE WHEN n_ok > 0 THEN 2.0::DOUBLE * n_ok / (n_predicted + n_gold) ELSE 0 END), 6) AS {prefix}macro_f1 FROM {source} GROUP BY part)")
+
+
+_EVALUATION = ["token_accuracy", *(f"entity_{p}{n}" for p in ("", "partial_") for n in ("precision", "recall", "f1", "macro_f1"))]
+
+
+@query("e5_evaluation_row", D.with_ctes(D.TAGGED, D.WORDS, D.GOLD, D.PRED, _TYPE_COUNTS, _GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT a.part, {", ".join(_EVALUATION)} FROM (SELECT coalesce(part, 'none') AS part, round(sum(CASE WHEN gold = pred THEN 1 ELSE 0 END) / count(*), 6) AS token_accuracy FROM words GROUP BY 1) a
+JOIN {_of_counts("counts", "entity_")} e ON a.part = e.part JOIN {_of_counts("partial", "entity_partial_")} p ON a.part = p.part""")
 def _(spark, folder):
     rows = D.tagged(spark, folder).withColumn("part", F.coalesce("part", F.lit("none")))
-    return E.evaluation(rows, ["part"])
+    return E.evaluation(rows, ["part"]).select("part", *r6(*_EVALUATION))
 
 
 @query("e7_entity_listing", ALL + """
@@ -116,7 +142,16 @@ def _(spark, folder):
     return counts.groupBy("type").agg(*(F.sum(c).alias(c) for c in ("n_predicted", "n_gold", "n_ok")))
 
 
-@query("e8_mention_counts_overlap")
+_GREEDY_SETS = """
+choices AS (SELECT p.id, p.type, row_number() OVER (PARTITION BY p.id ORDER BY p.no) AS k, coalesce((SELECT list(g.no ORDER BY g.no) FROM gold_mentions g WHERE g.id = p.id AND g.type = p.type AND list_has_any(g.tokens, p.tokens)), []) AS near FROM pred_mentions p),
+walk AS (SELECT DISTINCT id, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::VARCHAR AS type, false AS hit FROM choices
+  UNION ALL SELECT id, k, CASE WHEN len(free) > 0 THEN list_append(taken, free[1]) ELSE taken END, type, len(free) > 0
+  FROM (SELECT c.id, c.k, w.taken, c.type, list_filter(c.near, lambda m: NOT list_contains(w.taken, m)) AS free FROM walk w JOIN choices c ON c.id = w.id AND c.k = w.k + 1))"""
+
+
+@query("e8_mention_counts_overlap", D.with_ctes(D.MENTIONS, _GREEDY_SETS).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT type, sum(p)::BIGINT AS n_predicted, sum(g)::BIGINT AS n_gold, sum(ok)::BIGINT AS n_ok FROM (
+  SELECT type, 1 AS p, 0 AS g, 0 AS ok FROM pred_mentions UNION ALL SELECT type, 0, 1, 0 FROM gold_mentions UNION ALL SELECT type, 0, 0, 1 FROM walk WHERE hit) GROUP BY type""")
 def _(spark, folder):
     counts = E.mention_counts(D.documents_of_mentions(spark, folder), ["id"], predicted="predicted")
     return counts.groupBy("type").agg(*(F.sum(c).alias(c) for c in ("n_predicted", "n_gold", "n_ok")))
@@ -141,17 +176,29 @@ def _(spark, folder):
     return rows.groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query("e13_documents_from_sentences", D.with_ctes(D.TAGGED, D.GOLD) + """,
-numbered AS (SELECT row_id, document_name, len(tokens) AS n, sum(len(tokens)) OVER (PARTITION BY document_name ORDER BY row_id) - len(tokens) AS start FROM tagged WHERE document_name IS NOT NULL),
+_ORDERED = """
+ordered AS (SELECT document_name FROM tagged WHERE document_name IS NOT NULL GROUP BY document_name HAVING min(sentence_id) = 0 AND count(*) = count(DISTINCT sentence_id) AND max(sentence_id) = count(*) - 1)"""
+
+
+@query("e13_documents_from_sentences", D.with_ctes(D.TAGGED, D.GOLD, _ORDERED) + """,
+numbered AS (SELECT row_id, document_name, len(tokens) AS n, sum(len(tokens)) OVER (PARTITION BY document_name ORDER BY sentence_id) - len(tokens) AS start FROM tagged WHERE document_name IN (FROM ordered)),
 found AS (SELECT n.document_name, count(*) AS n_mentions, sum(n.start + g.first)::BIGINT AS first_tokens FROM numbered n JOIN gold_chunks g ON n.row_id = g.row_id GROUP BY 1)
 SELECT t.document_name, t.n_tokens, coalesce(f.n_mentions, 0) AS n_mentions, coalesce(f.first_tokens, 0) AS first_tokens FROM (SELECT document_name, sum(n)::BIGINT AS n_tokens FROM numbered GROUP BY 1) t LEFT JOIN found f ON t.document_name = f.document_name""")
 def _(spark, folder):
     rows = D.tagged(spark, folder).where("document_name is not null")
-    order = Window.partitionBy("document_name").orderBy("row_id")
-    numbered = rows.select("document_name", (F.row_number().over(order) - 1).alias("sentence_id"), "tokens", F.col("gold").alias("tags"))
-    docs = annotation.documents_from_sentences(numbered)
-    firsts = F.aggregate("mentions", F.lit(0).cast("long"), lambda a, m: a + F.array_min(m["tokens"]))
-    return docs.select("document_name", F.size("tokens").cast("long").alias("n_tokens"), F.size("mentions").cast("long").alias("n_mentions"), firsts.alias("first_tokens"))
+    whole = rows.groupBy("document_name").agg(F.min("sentence_id").alias("a"), F.max("sentence_id").alias("b"), F.count("*").alias("n"), F.count_distinct("sentence_id").alias("k")).where("a = 0 and n = k and b = n - 1")
+    ordered = rows.join(whole.select("document_name"), "document_name", "left_semi").select("document_name", "sentence_id", "tokens", F.col("gold").alias("tags"))
+    docs = annotation.document_parts(ordered, Scratch(spark, "e13"))
+    firsts = F.aggregate("mentions", F.lit(0).cast("long"), lambda a, m: a + m["first"])
+    return docs.groupBy("document_name").agg(F.sum(F.size("tokens")).alias("n_tokens"), F.sum(F.size("mentions")).alias("n_mentions"), F.sum(firsts).alias("first_tokens"))
+
+
+@query("e13_number_rule", D.with_ctes(D.TAGGED, _ORDERED) + "SELECT (document_name IN (FROM ordered)) AS whole, count(*) AS n FROM (SELECT DISTINCT document_name FROM tagged WHERE document_name IS NOT NULL) GROUP BY 1")
+def _(spark, folder):
+    """Which documents have sentences 0, 1, ... each once, by the rule that makes the operator refuse the others."""
+    rows = D.tagged(spark, folder).where("document_name is not null").select("document_name", "sentence_id", "tokens", F.col("gold").alias("tags"))
+    placed = annotation.document_parts(rows, Scratch(spark, "e13"), strict=False)
+    return placed.groupBy("document_name").agg(F.every(F.col("in_order")).alias("whole")).groupBy("whole").agg(F.count("*").alias("n"))
 
 
 @query("e14_lookup_baseline", D.with_ctes(D.TAGGED, D.WORDS) + """,
@@ -272,7 +319,12 @@ def _(spark, folder):
     return out.select("dataset", "series", *r6("geometric_mean", "least", "most"), "lower_bound", "n", "missed")
 
 
-_CEILING = "ceiling AS (SELECT dataset, model, avg(entity_f1) AS ceiling, stddev_samp(entity_f1) AS ceiling_sd, count(entity_f1) AS ceiling_n FROM curves WHERE round >= 25 AND dataset = 'd0' GROUP BY ALL)"
+_CEILING = "ceiling AS (SELECT dataset, model, avg(entity_f1) AS ceiling, stddev_samp(entity_f1) AS ceiling_sd, count(entity_f1) AS ceiling_n FROM (SELECT *, max(round) OVER (PARTITION BY dataset, model, uq_metric, seed, arm) AS last FROM curves) WHERE arm = 'uncertainty' AND round = last GROUP BY ALL)"
+
+
+def _supervised(curves):
+    """Stands for supervised runs: the last rounds of the uncertain arm."""
+    return curves.withColumn("_last", F.max("round").over(Window.partitionBy(*RUN))).where("arm = 'uncertainty' and round = _last").drop("_last")
 
 
 @query("g13_floor_and_ceiling", D.with_ctes(D.CURVES, _CEILING) + """
@@ -280,7 +332,7 @@ SELECT dataset, model, round(floor, 6) AS floor, round(ceiling, 6) AS ceiling, r
 FROM (SELECT dataset, model, avg(entity_f1) AS floor FROM curves WHERE round = 0 AND arm = 'random' GROUP BY ALL) FULL JOIN ceiling USING (dataset, model)""")
 def _(spark, folder):
     c = D.curves(spark, folder)
-    out = C.floor_and_ceiling(c, c.where("round >= 25 and dataset = 'd0'"), ["dataset", "model"], "entity_f1")
+    out = C.floor_and_ceiling(c, _supervised(c), ["dataset", "model"], "entity_f1")
     return out.select("dataset", "model", *r6("floor", "ceiling", "ceiling_sd"), F.coalesce("ceiling_n", F.lit(0)).alias("ceiling_n"))
 
 
@@ -310,7 +362,7 @@ rooms AS (SELECT p.dataset, budget, avg(u - r) AS gap, count(*) AS pairs, avg(c.
 SELECT dataset, budget, round(gap, 6) AS gap, pairs, round(headroom, 6) AS headroom, round(CASE WHEN headroom > 0 THEN gap / headroom END, 6) AS closed FROM rooms""")
 def _(spark, folder):
     c = D.curves(spark, folder)
-    ceiling = C.floor_and_ceiling(c, c.where("round >= 25 and dataset = 'd0'"), ["dataset", "model"], "entity_f1").where("ceiling is not null")
+    ceiling = C.floor_and_ceiling(c, _supervised(c), ["dataset", "model"], "entity_f1").where("ceiling is not null")
     at = C.at_budgets(c, RUN, "percent_acquired", "entity_f1", BUDGETS)
     out = C.headroom(at, ceiling, ["dataset"], SETTING, ["dataset", "model"], "entity_f1")
     return out.select("dataset", "budget", *r6("gap", "headroom", "closed"), "pairs")
@@ -396,15 +448,91 @@ def _lexicon(spark, folder):
     return P.lexicon(D.tagged(spark, folder), ["row_id", "part"])
 
 
-@query("st4_window_ranks")
+_RANKS = ["bootstrap", "pool", "validation", "test"]
+# Two-sided p of a normal deviate by Simpson's rule, and of t with whole degrees of freedom by its finite series.
+_NORMAL_P = """greatest(0, 1 - 2 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(least({z}, 12) * i / 2000, 2) / 2))) * least({z}, 12) / 6000 / sqrt(2 * pi()))"""
+_T_IN = """(CASE WHEN {df} % 2 = 1 THEN 2 / pi() * (atan({t} / sqrt({df})) + CASE WHEN {df} > 1 THEN sin(atan({t} / sqrt({df}))) * cos(atan({t} / sqrt({df})))
+  * list_sum(list_transform(range(0, ({df} - 1) // 2), lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * pow(cos(atan({t} / sqrt({df}))), 2 * j))) ELSE 0 END)
+  ELSE sin(atan({t} / sqrt({df}))) * list_sum(list_transform(range(0, {df} // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos(atan({t} / sqrt({df}))), 2 * j))) END)"""
+
+
+def _quantiles(df: str, source: str) -> str:
+    """97.5 % quantiles of t for the degrees of freedom ``df`` in ``source``, by halving."""
+    return f"""
+halving AS (SELECT DISTINCT {df} AS df, 0.0::DOUBLE AS low, 1000.0::DOUBLE AS high, 0 AS i FROM {source} WHERE {df} > 0
+  UNION ALL SELECT df, CASE WHEN {_T_IN.format(t="((low + high) / 2)", df="df")} < 0.95 THEN (low + high) / 2 ELSE low END,
+                       CASE WHEN {_T_IN.format(t="((low + high) / 2)", df="df")} < 0.95 THEN high ELSE (low + high) / 2 END, i + 1 FROM halving WHERE i < 60),
+quantiles AS (SELECT df, high AS q FROM halving WHERE i = 60)"""
+
+
+def _recursive(*ctes: str) -> str:
+    return D.with_ctes(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_INTERVAL = ", means AS (SELECT dataset, model, avg(gap_auc) AS mean, coalesce(stddev_samp(gap_auc), 0) AS sd, count(gap_auc) AS n FROM gaps GROUP BY ALL)," + _quantiles("n - 1", "means") + """
+SELECT dataset, model, round(mean, 6) AS mean, round(mean - coalesce(q, 0) * sd / sqrt(n), 6) AS low, round(mean + coalesce(q, 0) * sd / sqrt(n), 6) AS high, n FROM means LEFT JOIN quantiles ON df = n - 1"""
+
+
+@query("st1_mean_interval", _recursive(D.CURVES, _AREAS, _GAPS) + _INTERVAL)
 def _(spark, folder):
-    w = P.window_ttr(_lexicon(spark, folder).where("part is not null"), ["part"], ["row_id", "wid"], 100)
-    return ST.adjusted(ST.pairwise_mann_whitney(w, "part", "ttr", ["bootstrap", "pool", "validation", "test"]).withColumn("all", F.lit(1)), ["all"], None, tie=["first", "second"]).drop("all")
+    return ST.mean_interval(_seed_scores(spark, folder), ["dataset", "model"], "gap_auc").select("dataset", "model", *r6("mean", "low", "high"), "n")
 
 
-@query("st5_wilcoxon")
+@query("st2_gap_ttests", D.with_ctes(D.CURVES, _AREAS, _GAPS) + """
+SELECT dataset, model, uq_metric, round(avg(gap_auc), 6) AS mean, count(gap_auc) AS n, round(CASE WHEN stddev_samp(gap_auc) > 0 THEN avg(gap_auc) / (stddev_samp(gap_auc) / sqrt(count(gap_auc))) END, 4) AS t FROM gaps GROUP BY ALL HAVING count(gap_auc) > 1""")
 def _(spark, folder):
-    return ST.wilcoxon(_seed_scores(spark, folder), ["dataset"], "gap_auc")
+    return ST.t_tests(_seed_scores(spark, folder), SETTING, "gap_auc").select(*SETTING, *r6("mean"), "n", F.round("t", 4).alias("t"))
+
+
+_HOLM = """
+t AS (SELECT dataset, model, uq_metric, avg(gap_auc) AS mean, count(gap_auc) AS n, avg(gap_auc) / (stddev_samp(gap_auc) / sqrt(count(gap_auc))) AS t FROM gaps GROUP BY ALL HAVING count(gap_auc) > 1),
+p AS (SELECT *, 1 - """ + _T_IN.format(t="abs(t)", df="(n - 1)") + """ AS p FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY dataset, model ORDER BY p, uq_metric) AS k FROM p),
+holm AS (SELECT *, least(1, 3 * p) AS bonferroni, max(least(1, p * (3 - k + 1))) OVER (PARTITION BY dataset, model ORDER BY k) AS holm FROM k)"""
+
+
+def _holm(spark, folder):
+    return ST.adjusted(ST.t_tests(_seed_scores(spark, folder), SETTING, "gap_auc"), ["dataset", "model"], 3, tie=["uq_metric"])
+
+
+@query("st3_holm", D.with_ctes(D.CURVES, _AREAS, _GAPS, _HOLM) + "SELECT dataset, model, uq_metric, round(p, 6) AS p, round(bonferroni, 6) AS bonferroni, round(holm, 6) AS holm FROM holm")
+def _(spark, folder):
+    return _holm(spark, folder).select(*SETTING, *r6("p", "bonferroni", "holm"))
+
+
+_TTR = """
+lexicon AS (SELECT row_id, part, wid, lower(word) AS word, gold AS tag, gold <> 'O' AS entity FROM words WHERE regexp_matches(word, '[\\p{L}\\p{N}]')),
+windows AS (SELECT part, w, count(DISTINCT word) / count(*) AS ttr FROM (SELECT *, (row_number() OVER (PARTITION BY part ORDER BY row_id, wid) - 1) // 100 AS w FROM lexicon) GROUP BY part, w HAVING count(*) = 100)"""
+
+
+def _lexicon(spark, folder):
+    return P.lexicon(D.tagged(spark, folder), ["row_id", "part"])
+
+
+@query("st4_window_ranks", D.with_ctes(D.TAGGED, D.WORDS, _TTR) + """,
+ordered AS (SELECT list_position(['bootstrap', 'pool', 'validation', 'test'], part) AS o, part, ttr FROM windows WHERE part IN ('bootstrap', 'pool', 'validation', 'test')),
+pairs AS (SELECT a.part AS first, b.part AS second, x.part AS own, x.ttr FROM (SELECT DISTINCT part, o FROM ordered) a JOIN (SELECT DISTINCT part, o FROM ordered) b ON a.o < b.o JOIN ordered x ON x.part IN (a.part, b.part)),
+ranked AS (SELECT *, rank() OVER (PARTITION BY first, second ORDER BY ttr) + (count(*) OVER (PARTITION BY first, second, ttr) - 1) / 2 AS r, count(*) OVER (PARTITION BY first, second, ttr) AS t FROM pairs),
+sums AS (SELECT first, second, count(*) FILTER (WHERE own = first) AS n1, count(*) FILTER (WHERE own = second) AS n2, sum(CASE WHEN own = first THEN r END) AS s, sum(t * t - 1)::DOUBLE AS ties, count(*)::DOUBLE AS n FROM ranked GROUP BY first, second),
+z AS (SELECT *, s - n1 * (n1 + 1) / 2 AS u, greatest(0, (abs(s - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))))) AS z FROM sums),
+p AS (SELECT *, """ + _NORMAL_P.format(z="z") + """ AS p FROM z),
+k AS (SELECT *, row_number() OVER (ORDER BY p, first, second) AS k, count(*) OVER () AS m FROM p)
+SELECT first, second, n1, n2, round(u, 4) AS u, round(p, 5) AS p, round(least(1, m * p), 5) AS bonferroni, round(max(least(1, p * (m - k + 1))) OVER (ORDER BY k), 5) AS holm FROM k""")
+def _(spark, folder):
+    scratch = Scratch(spark, "st4")
+    w = P.window_ttr(_lexicon(spark, folder).where("part is not null"), ["part"], ["row_id", "wid"], 100, scratch)
+    tests = ST.pairwise_mann_whitney(w, "part", "ttr", _RANKS, scratch).withColumn("all", F.lit(1))
+    return ST.adjusted(tests, ["all"], None, tie=["first", "second"]).select("first", "second", "n1", "n2", F.round("u", 4).alias("u"), *(F.round(c, 5).alias(c) for c in ("p", "bonferroni", "holm")))
+
+
+@query("st5_wilcoxon", _recursive(D.CURVES, _AREAS, _GAPS) + """,
+ranked AS (SELECT dataset, gap_auc, rank() OVER (PARTITION BY dataset ORDER BY abs(gap_auc)) AS r FROM gaps WHERE gap_auc <> 0),
+sums AS (SELECT dataset, count(*) AS n, least(sum(CASE WHEN gap_auc > 0 THEN r ELSE 0 END), count(*) * (count(*) + 1) / 2 - sum(CASE WHEN gap_auc > 0 THEN r ELSE 0 END)) AS w FROM ranked GROUP BY dataset),
+ways AS (SELECT 0 AS k, [1::DOUBLE] AS ways UNION ALL
+  SELECT k + 1, list_transform(range(0, (k + 1) * (k + 2) // 2 + 1), lambda s: (CASE WHEN s < len(ways) THEN ways[s + 1] ELSE 0 END) + (CASE WHEN s >= k + 1 THEN ways[s - k] ELSE 0 END)) FROM ways WHERE k < 50)
+SELECT dataset, n, round(w, 4) AS w, round(least(1, 2 * list_sum(ways[1 : CAST(floor(w) AS INTEGER) + 1]) / pow(2, n)), 6) AS p FROM sums JOIN ways ON k = n""")
+def _(spark, folder):
+    return ST.wilcoxon(_seed_scores(spark, folder), ["dataset"], "gap_auc", Scratch(spark, "st5")).select("dataset", "n", F.round("w", 4).alias("w"), *r6("p"))
 
 
 @query("st6_spearman", """
@@ -412,7 +540,7 @@ WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY
                   rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS y FROM lineitem)
 SELECT l_returnflag, round(corr(x, y), 6) AS rho, count(*) AS n FROM r GROUP BY l_returnflag""")
 def _(spark, folder):
-    return ST.spearman(table(spark, folder, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").select("l_returnflag", *r6("rho"), "n")
+    return ST.spearman(table(spark, folder, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice", Scratch(spark, "st6")).select("l_returnflag", *r6("rho"), "n")
 
 
 @query("st7_exact_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 4) AS low, round(median(l_extendedprice), 4) AS middle, round(quantile_cont(l_extendedprice, 0.975), 4) AS high FROM lineitem GROUP BY l_returnflag")
@@ -577,7 +705,7 @@ def _(spark, folder):
 
 @query("w7_window_ttr", LEX + "SELECT part, w AS window, round(ttr, 6) AS ttr FROM windows")
 def _(spark, folder):
-    return P.window_ttr(_lexicon(spark, folder), ["part"], ["row_id", "wid"], 100).select("part", "window", *r6("ttr"))
+    return P.window_ttr(_lexicon(spark, folder), ["part"], ["row_id", "wid"], 100, Scratch(spark, "w7")).select("part", "window", *r6("ttr"))
 
 
 @query("w6_entity_contexts", LEX + """
@@ -688,10 +816,15 @@ def _(spark, folder):
     return table(spark, folder, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_letters"))
 
 
-@query("t2_word_offsets")
+@query("t2_word_offsets", f"""
+WITH w AS (SELECT id, regexp_extract_all(text, '{_W}') AS w, regexp_split_to_array(text, '{_W}') AS g FROM annotated_docs WHERE text IS NOT NULL),
+e AS (SELECT id, i, length(w[i]) AS n, length(g[i]) AS gap FROM (SELECT id, w, g, unnest(range(1, len(w) + 1)) AS i FROM w)),
+s AS (SELECT id, n, sum(n + gap) OVER (PARTITION BY id ORDER BY i) AS e FROM e)
+SELECT id, count(*) AS n_words, sum(n)::BIGINT AS n_letters, sum(e - n)::BIGINT AS starts FROM s GROUP BY id""")
 def _(spark, folder):
     docs = table(spark, folder, "annotated_docs").where("text is not null")
-    return docs.select("id", F.explode(text.word_spans(F.col("text"))).alias("w")).groupBy("id").agg(F.count("*").alias("n_words"), F.sum(F.col("w.end") - F.col("w.start")).alias("n_letters"))
+    found = docs.select("id", F.explode(text.word_spans(F.col("text"))).alias("w")).groupBy("id")
+    return found.agg(F.count("*").alias("n_words"), F.sum(F.col("w.end") - F.col("w.start")).alias("n_letters"), F.sum("w.start").alias("starts"))
 
 
 @query("t4_byte_offsets", "SELECT doc_id, length(decode(encode(text))) AS chars FROM documents")
@@ -710,19 +843,25 @@ def _(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.padded_plain(F.col("text")).alias("plain"))
 
 
-_DOC_SENTENCES = """
-doc_sentences AS (SELECT document_name, list(tokens ORDER BY row_id) AS s FROM (SELECT document_name, row_id, list_transform(tokens, lambda t: coalesce(t, '')) AS tokens FROM sentences WHERE tokens IS NOT NULL AND document_name IS NOT NULL) GROUP BY document_name)"""
-
-
-@query("t16_numbered_lines", D.with_ctes(_DOC_SENTENCES) + "SELECT document_name, md5(array_to_string(list_transform(s, lambda x, i: (i - 1) || ': ' || array_to_string(x, ' ')), chr(10))) AS digest FROM doc_sentences")
+@query("t16_numbered_lines", """
+WITH lines AS (SELECT document_name, (row_number() OVER (PARTITION BY document_name ORDER BY row_id) - 1) || ': ' || array_to_string(list_transform(tokens, lambda t: coalesce(t, '')), ' ') AS line FROM sentences WHERE tokens IS NOT NULL AND document_name IS NOT NULL)
+SELECT document_name, count(*) AS n_lines, min(md5(line)) AS first_digest, max(md5(line)) AS last_digest FROM lines GROUP BY document_name""")
 def _(spark, folder):
     rows = table(spark, folder, "sentences").where("tokens is not null and document_name is not null")
-    plain = F.transform("tokens", lambda t: F.coalesce(t, F.lit("")))
-    docs = rows.groupBy("document_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", plain.alias("t")))), lambda x: x["t"]).alias("s"))
-    return docs.select("document_name", F.md5(text.numbered_lines(F.col("s"))).alias("digest"))
+    plain = rows.select("document_name", "row_id", F.transform("tokens", lambda t: F.coalesce(t, F.lit(""))).alias("tokens"))
+    lines = numbered(plain, ["document_name"], ["row_id"], "no", Scratch(spark, "t16")).select("document_name", F.md5(text.numbered_line(F.col("no"), F.col("tokens"))).alias("d"))
+    return lines.groupBy("document_name").agg(F.count("*").alias("n_lines"), F.min("d").alias("first_digest"), F.max("d").alias("last_digest"))
 
 
-@query("t17_inline_tags")
+@query("t17_inline_tags", """
+WITH d AS (SELECT id, tokens, list_transform(mentions, lambda m: replace(lower(m.mention_type), ' ', '_')) AS names,
+             list_transform(mentions, lambda m: list_min(list_filter(m.token_document_indices, lambda i: i >= 0 AND i < len(tokens)))) AS firsts,
+             list_transform(mentions, lambda m: list_max(list_filter(m.token_document_indices, lambda i: i >= 0 AND i < len(tokens)))) AS lasts FROM annotated_docs WHERE mentions IS NOT NULL),
+w AS (SELECT id, i, array_to_string(list_concat(
+    list_transform(list_filter(range(1, len(names) + 1), lambda k: firsts[k] = i), lambda k: '<' || coalesce(names[k], '') || ' id=' || (k - 1) || '>'), [coalesce(tokens[i + 1].text, '')],
+    list_transform(list_reverse(list_filter(range(1, len(names) + 1), lambda k: lasts[k] = i)), lambda k: '</' || coalesce(names[k], '') || '>')), ' ') AS piece
+  FROM (SELECT *, unnest(range(0, len(tokens))) AS i FROM d))
+SELECT id, md5(string_agg(piece, ' ' ORDER BY i)) AS digest FROM w GROUP BY id""")
 def _(spark, folder):
     d = table(spark, folder, "annotated_docs").where("mentions is not null")
     m = F.transform("mentions", lambda m: F.struct(m["mention_type"].alias("type"), m["token_document_indices"].alias("tokens")))
@@ -742,7 +881,11 @@ def _(spark, folder):
     return parsed.groupBy(F.col("p.issue").alias("issue")).agg(F.count("*").alias("n"))
 
 
-@query("l5_clusters")
+@query("l5_clusters", """
+WITH l AS (SELECT id, len(mentions) AS n, unnest(mentions).token_document_indices AS t FROM annotated_docs WHERE mentions IS NOT NULL),
+f AS (SELECT id, n, list_filter(t, lambda i: i < n) AS t FROM l WHERE n > 0),
+c AS (SELECT id, count(*) FILTER (WHERE len(t) > 0) AS used, list_distinct(flatten(coalesce(list(t) FILTER (WHERE len(t) > 1), []))) AS named, any_value(n) AS n FROM f GROUP BY id)
+SELECT d.id, coalesce(used + n - len(named), 0)::INTEGER AS n_clusters FROM (SELECT id FROM annotated_docs WHERE mentions IS NOT NULL) d LEFT JOIN c ON c.id = d.id""")
 def _(spark, folder):
     d = table(spark, folder, "annotated_docs").where("mentions is not null")
     answer = F.concat_ws("\n", F.transform("mentions", lambda m: F.array_join(F.transform(m["token_document_indices"], lambda t: t.cast("string")), " ")))
@@ -761,12 +904,11 @@ def _(spark, folder):
 # ---- documents, calls, sweeps
 
 @query("j13_interval_overlap", """
-WITH m AS (SELECT id, list_min(mentions[i].token_document_indices) AS a, list_max(mentions[i].token_document_indices) AS b, i FROM (SELECT id, mentions, unnest(range(1, len(mentions) + 1)) AS i FROM annotated_docs WHERE mentions IS NOT NULL))
-SELECT x.id, count(*) AS n FROM m x JOIN m y ON x.id = y.id AND x.i < y.i AND x.a <= y.b AND x.b >= y.a GROUP BY x.id""")
+WITH m AS (SELECT document_id, vote_id, list_min(token_document_indices) AS a, list_max(token_document_indices) AS b FROM mention_votes)
+SELECT x.document_id, count(*) AS n FROM m x JOIN m y ON x.document_id = y.document_id AND x.vote_id < y.vote_id AND x.a <= y.b AND x.b >= y.a GROUP BY x.document_id""")
 def _(spark, folder):
-    m = table(spark, folder, "annotated_docs").select("id", F.posexplode("mentions").alias("i", "m")).select("id", "i", F.array_min("m.token_document_indices").alias("a"), F.array_max("m.token_document_indices").alias("b"))
-    other = m.select("id", *(F.col(c).alias(f"{c}2") for c in ("i", "a", "b")))
-    return m.join(other, "id").where("i < i2 and a <= b2 and b >= a2").groupBy("id").agg(F.count("*").alias("n"))
+    m = table(spark, folder, "mention_votes").where("document_id is not null").select("document_id", F.array_min("token_document_indices").alias("a"), F.array_max("token_document_indices").alias("b"))
+    return annotation.overlap_counts(m, ["document_id"], "a", "b").where("n > 0")
 
 
 @query("w17_sentence_groups", """
@@ -917,11 +1059,13 @@ def _(spark, folder):
     return V.gaps_in_ids(table(spark, folder, "sentences"), ["document_name"], "sentence_id")
 
 
-@query("v4_prompt_leaks")
+@query("v4_prompt_leaks", """
+WITH p AS (SELECT passage_id AS text_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') || ' ' AS plain FROM eval_passages),
+d AS (SELECT doc_id AS prompt_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') || ' ' AS plain FROM documents)
+SELECT text_id, prompt_id FROM p JOIN d ON contains(d.plain, p.plain) WHERE len(string_split(trim(p.plain, ' '), ' ')) >= 5""")
 def _(spark, folder):
-    prompts = table(spark, folder, "subject_areas").select(F.col("subject").alias("prompt_id"), F.col("description").alias("prompt"))
-    texts = table(spark, folder, "sentences").where("tokens is not null").select(F.col("row_id").alias("text_id"), F.array_join("tokens", " ").alias("text"))
-    return V.contained_texts(texts, prompts)
+    prompts = table(spark, folder, "documents").select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"))
+    return V.contained_texts(table(spark, folder, "eval_passages").select(F.col("passage_id").alias("text_id"), "text"), prompts)
 
 
 @query("v5_table_difference", "SELECT side, count(*) AS n FROM (SELECT 'left' AS side FROM (SELECT document_name, author FROM doc_registry EXCEPT ALL SELECT DISTINCT document_name, author FROM doc_registry) UNION ALL SELECT 'right' FROM (SELECT DISTINCT document_name, author FROM doc_registry EXCEPT ALL SELECT document_name, author FROM doc_registry)) GROUP BY side")

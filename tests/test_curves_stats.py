@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import curves as C, stats as ST
+from tagweave.plans.runtime import Scratch
 
 CURVE = "ds string, metric string, seed int, arm string, round int, x double, y double"
 
@@ -89,8 +90,8 @@ def test_rank_tests():
 
 def test_rank_tests_on_tables(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3)] + [("b", float(v)) for v in (4, 5, 6)] + [("c", None)], "g string, v double")
-    out = ST.pairwise_mann_whitney(df, "g", "v", ["a", "b", "c"]).collect()
+    out = ST.pairwise_mann_whitney(df, "g", "v", ["a", "b", "c"], Scratch(spark, "t")).collect()
     assert [(r.first, r.second, r.u, round(r.p, 4)) for r in out] == [("a", "b", 0.0, 0.1)]
     signed = spark.createDataFrame([("g", float(v)) for v in (1, 2, 3, 4, 5, 0)], "g string, d double")
-    assert [(r.n, r.w, round(r.p, 4)) for r in ST.wilcoxon(signed, ["g"], "d").collect()] == [(5, 0.0, 0.0625)]
-    assert ST.spearman(spark.createDataFrame([("g", 1.0, 1.0), ("g", 2.0, 1.0)], "g string, x double, y double"), ["g"], "x", "y").first().rho is None
+    assert [(r.n, r.w, round(r.p, 4)) for r in ST.wilcoxon(signed, ["g"], "d", Scratch(spark, "t")).collect()] == [(5, 0.0, 0.0625)]
+    assert ST.spearman(spark.createDataFrame([("g", 1.0, 1.0), ("g", 2.0, 1.0)], "g string, x double, y double"), ["g"], "x", "y", Scratch(spark, "t")).first().rho is None

@@ -89,10 +89,10 @@ def test_placed_mentions(spark):
 
 def test_documents_need_ids_without_a_gap(spark):
     schema = "document_name string, sentence_id int, tokens array<string>, tags array<string>"
-    good = annotation.documents_from_sentences(spark.createDataFrame([("d", 1, ["x", "y"], ["O", "B-Actor"]), ("d", 0, ["a"], ["B-Task"])], schema)).first()
+    good = annotation.documents_from_sentences(spark.createDataFrame([("d", 1, ["x", "y"], ["O", "B-Actor"]), ("d", 0, ["a"], ["B-Task"])], schema), Scratch(spark, "t")).first()
     assert [tuple(m) for m in good.mentions] == [("task", [0]), ("actor", [2])] and [t.text for t in good.tokens] == ["a", "x", "y"]
     with pytest.raises(Exception, match="in order"):
-        annotation.documents_from_sentences(spark.createDataFrame([("d", 1, ["x"], ["O"])], schema)).collect()
+        annotation.documents_from_sentences(spark.createDataFrame([("d", 1, ["x"], ["O"])], schema), Scratch(spark, "t")).collect()
 
 
 def test_annotate_stops_after_failures(spark):
@@ -115,7 +115,7 @@ def test_templates():
 
 def test_windows_leave_out_a_short_tail(spark):
     words = spark.createDataFrame([("d", i, w, True) for i, w in enumerate("a a b c c".split())], "ds string, wid int, word string, entity boolean")
-    assert [(r.window, r.ttr) for r in profile.window_ttr(words, ["ds"], ["wid"], 2).orderBy("window").collect()] == [(0, 0.5), (1, 1.0)]
+    assert [(r.window, r.ttr) for r in profile.window_ttr(words, ["ds"], ["wid"], 2, Scratch(spark, "t")).orderBy("window").collect()] == [(0, 0.5), (1, 1.0)]
 
 
 def test_loop_draws_without_replacement_and_arms_share_round_0(spark):

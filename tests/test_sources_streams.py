@@ -128,11 +128,12 @@ def test_job_order_and_blocking(spark):
 def test_checks(spark):
     df = spark.createDataFrame([(1, ["a", None, " "], ["O", "I-X", "B_X"]), (2, None, ["O"]), (3, ["a"], ["O", "O"])], "id int, tokens array<string>, ner_tags array<string>")
     assert {r.check: r.observed for r in quality.tagged_audit(df).collect()} == {"null_arrays": 1, "unequal_lengths": 1, "blank_words": 2, "stray_inside": 1, "damaged_tags": 1}
-    with pytest.raises(ValueError):
-        quality.require_unique(df.unionByName(df), ["id"])
+    assert quality.require_unique(df, ["id"]).count() == 3
+    with pytest.raises(Exception, match="repeat"):
+        quality.require_unique(df.unionByName(df), ["id"]).collect()
     assert quality.difference(df.select("id"), df.select("id").where("id > 1")).first().side == "left"
     assert quality.ordinal_difference(df.select("id", "ner_tags"), df.select("id", F.array(F.lit("O")).alias("ner_tags")), "id").count() == 2
     prompts = spark.createDataFrame([("p", "Say: The clerk stamps the old form! End"), ("q", "nothing")], "prompt_id string, prompt string")
-    texts = spark.createDataFrame([(1, "the clerk, stamps the old form"), (2, "the clerk")], "text_id int, text string")
-    assert [tuple(r) for r in quality.contained_texts(texts, prompts).collect()] == [(1, "p")]
+    texts = spark.createDataFrame([(1, "the clerk, stamps the old form"), (2, "the clerk"), (3, "The clerk stamps the old form!"), (4, None), (5, "the clerk stamps the old forms")], "text_id int, text string")
+    assert sorted(tuple(r) for r in quality.contained_texts(texts, prompts.unionByName(spark.createDataFrame([("n", None)], prompts.schema))).collect()) == [(1, "p"), (3, "p")]
     assert quality.all_checks([quality.check(df, "rows", F.count("*"), 3), quality.check(df, "none", F.count("*"))]).where("status = 'pass'").count() == 1
