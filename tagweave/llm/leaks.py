@@ -4,8 +4,9 @@ Of each sliding window of word k-grams the one with the smallest hash is kept, i
 alike, so every shared run of ``k + window - 1`` words has a common fingerprint. How long a run a leak must
 have follows from the number of words and edits that it may have; k and the window are set to it, class by
 class of passages, so no leak is missed and a short passage doesn't coarsen the search for the others.
-Fingerprints of both sides are tables, joined on their hash. Common ones are extended to whole runs and over
-one edit; what reaches the least length that a leak must have is aligned word by word.
+Fingerprints of both sides are joined on their hash: in the scan of the documents, where the passages have
+few enough words to travel to the tasks, else as tables. Common ones are extended to whole runs and over one
+edit; what reaches the least length that a leak must have is aligned word by word.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from tagweave.plans.runtime import Scratch
 PART, EDIT_SHARE = 2, 8
 #: Bits of the map of the passages' windows that travels to the tasks: 8 MB at most, whatever the number of passages.
 LEAST_BITS, MOST_BITS = 20, 26
+#: Words of all passages up to which they travel to the tasks (32 MB with their fingerprints); with more, tables are joined.
+HELD_WORDS = 2_000_000
 #: Parts into which the hits of one fingerprint, and of one passage, are split by document.
 SALTS = 16
 HEADING_WORDS = 6
@@ -273,44 +276,49 @@ def _mapped(bits: int):
     return run
 
 
+def _held_windows(s: Sequences, runs: list[int], known: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length of runs, the places and hashes of the fingerprints in windows that the map holds."""
+    gram = s.hash
+    for r in range(1, max(runs) + 1):
+        if r > 1:
+            gram = gram[:-1] * _MULTIPLIER + s.hash[r - 1 :]
+        if r in runs:
+            slot = slots(spread(gram), r, bits)
+            maybe = np.flatnonzero(known[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            fits = (s.text[maybe] == s.text[maybe + r - 1]) & (s.hash[maybe + r - 1] != _DOCUMENT) & (s.hash[maybe] != _DOCUMENT)
+            yield r, *fingerprints(s, r, maybe[fits])
+
+
 _HITS = "row long, doc_id long, words array<long>, run int, print long, at int"
 
 
 def _of_documents(runs: list[int], shared, bits: int):
     """Documents -> the fingerprints of those of their windows that the map holds, and their words if there are any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = shared.value, 0
+        names, seen = [f.split()[0] for f in _HITS.split(", ")], 0
         for whole in batches:
             for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 s = sequences(batch.column(1).to_pylist(), _DOCUMENT)
-                gram, found = s.hash, []
-                for r in range(1, max(runs) + 1):
-                    if r > 1:
-                        gram = gram[:-1] * _MULTIPLIER + s.hash[r - 1 :]
-                    if r in runs:
-                        slot = slots(spread(gram), r, bits)
-                        maybe = np.flatnonzero(known[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-                        fits = (s.text[maybe] == s.text[maybe + r - 1]) & (s.hash[maybe + r - 1] != _DOCUMENT) & (s.hash[maybe] != _DOCUMENT)
-                        at, prints = fingerprints(s, r, maybe[fits])
-                        found.append((np.full(len(at), r, np.int32), prints.view(np.int64), at))
+                found = [(np.full(len(at), r, np.int32), prints.view(np.int64), at) for r, at, prints in _held_windows(s, runs, shared.value, bits)]
                 kinds, prints, at = (np.concatenate(x) for x in zip(*found))
-                number, text = _numbered(batch.num_rows, seen), s.text[at]
+                number, text, n = _numbered(batch.num_rows, seen), s.text[at], len(at)
                 seen += batch.num_rows
-                n = len(at)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(number[text]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(kinds), pa.array(prints),
-                    pa.array((at - s.first[text]).astype(np.int32))], [f.split()[0] for f in _HITS.split(", ")])
+                    pa.array((at - s.first[text]).astype(np.int32))], names)
                 own = np.unique(text)
-                last = np.r_[s.first[1:], len(s.hash) - 64] - 1
-                size = (last - s.first)[own]
+                size = _sizes(s)[own]
                 words = s.hash[np.repeat(s.first[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(number[own]), batch.column(0).take(pa.array(own)), _lists(words.view(np.int64), size), *(pa.nulls(len(own), t) for t in (pa.int32(), pa.int64(), pa.int32()))],
-                    [f.split()[0] for f in _HITS.split(", ")])
+                    pa.array(number[own]), batch.column(0).take(pa.array(own)), _lists(words.view(np.int64), size), *(pa.nulls(len(own), t) for t in (pa.int32(), pa.int64(), pa.int32()))], names)
 
     return run
 
 
+def _sizes(s: Sequences) -> np.ndarray:
+    return np.r_[s.first[1:], len(s.hash) - 64] - 1 - s.first
+
+
 def _joined(lists: pa.Array, separator: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of all rows in one array, a separator after each; where each row begins, and its number of words."""
     size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -320,58 +328,110 @@ def _joined(lists: pa.Array, separator: int) -> tuple[np.ndarray, np.ndarray, np
     return out, np.cumsum(size + 1) - size - 1, size
 
 
-def confirm(documents: pa.Array, passages: pa.Array, at: pa.Array, of: pa.Array) -> list[tuple[int, int, int]]:
-    """Row, words and edits of every leak among rows of a document's and a passage's words and the places of their common fingerprints."""
-    doc, doc_first, doc_size = _joined(documents, _DOCUMENT)
-    pas, pas_first, pas_size = _joined(passages, _PASSAGE)
-    row = np.repeat(np.arange(len(doc_size)), pc.list_value_length(at).to_numpy(zero_copy_only=False))
-    p = pc.list_flatten(at).to_numpy(zero_copy_only=False) + doc_first[row]
-    q = pc.list_flatten(of).to_numpy(zero_copy_only=False) + pas_first[row]
-    run, pair, three = (np.array([bounds(n)[i] for n in pas_size.tolist()]) for i in range(3))
-    right, left = _same(doc, pas, p, q, 1), _same(doc, pas, p - 1, q - 1, -1)
-    keep = right + left >= run[row]
-    found = np.unique(np.stack([row, p - left, q - left, right + left], 1)[keep], axis=0)
-    row, p, q, size = found.T if len(found) else np.zeros((4, 0), np.int64)
-    one = np.maximum(*(_grown(doc, pas, p, q, size, step, 1) for step in (1, -1)))
-    row, p, q, size = (x[size + one >= pair[row]] for x in (row, p, q, size))
-    r1, l1 = (_grown(doc, pas, p, q, size, step, 1) for step in (1, -1))
-    r2, l2 = (_grown(doc, pas, p, q, size, step, 2) for step in (1, -1))
-    row, p, q, size = (x[size + np.maximum(r1 + l1, np.maximum(r2, l2)) >= three[row]] for x in (row, p, q, size))
-    out: dict[int, tuple[int, int]] = {}
+@dataclass
+class Held:
+    """Words of many texts in one array, where each text begins, and its number of words."""
+
+    hash: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+
+def confirm(doc: Held, pas: Held, text: np.ndarray, own: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Text, passage, words and edits of every leak, from the places ``p`` and ``q`` of common fingerprints of a text and a passage."""
+    run, pair, three = np.array([bounds(n)[:3] if n else (1, 1, 1) for n in pas.size.tolist()], np.int64).reshape(-1, 3).T
+    right, left = _same(doc.hash, pas.hash, p, q, 1), _same(doc.hash, pas.hash, p - 1, q - 1, -1)
+    found = np.unique(np.stack([text, own, p - left, q - left, right + left], 1)[right + left >= run[own]], axis=0)
+    text, own, p, q, size = found.T if len(found) else np.zeros((5, 0), np.int64)
+    one = np.maximum(*(_grown(doc.hash, pas.hash, p, q, size, step, 1) for step in (1, -1)))
+    text, own, p, q, size = (x[size + one >= pair[own]] for x in (text, own, p, q, size))
+    r1, l1 = (_grown(doc.hash, pas.hash, p, q, size, step, 1) for step in (1, -1))
+    r2, l2 = (_grown(doc.hash, pas.hash, p, q, size, step, 2) for step in (1, -1))
+    text, own, p, q, size = (x[size + np.maximum(r1 + l1, np.maximum(r2, l2)) >= three[own]] for x in (text, own, p, q, size))
+    out: dict[tuple[int, int], tuple[int, int]] = {}
     for i in np.argsort(-size, kind="stable").tolist():  # the longest run of a pair first; the first that holds decides
-        r, n = int(row[i]), int(size[i])
-        if r not in out:
-            first, start = int(pas_first[r]), int(doc_first[r])
-            got = alignment(doc[start : start + int(doc_size[r])], pas[first : first + int(pas_size[r])], int(p[i]) - start, int(q[i]) - first, n)
+        t, o = int(text[i]), int(own[i])
+        if (t, o) not in out:
+            first, start = int(pas.first[o]), int(doc.first[t])
+            got = alignment(doc.hash[start : start + int(doc.size[t])], pas.hash[first : first + int(pas.size[o])], int(p[i]) - start, int(q[i]) - first, int(size[i]))
             if got:
-                out[r] = got
-    return [(r, w, e) for r, (w, e) in sorted(out.items())]
+                out[t, o] = got
+    return [(t, o, w, e) for (t, o), (w, e) in sorted(out.items())]
+
+
+@dataclass
+class Index:
+    """All passages with their fingerprints, sorted by hash for each length of runs."""
+
+    ids: list[int | None]
+    words: Held
+    prints: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _index(mine: pa.Table) -> Index:
+    mine = mine.combine_chunks()
+    lists = {c: mine.column(c).combine_chunks() for c in ("words", "at", "prints")}
+    held = Held(*_joined(lists["words"], _PASSAGE))
+    owner = np.repeat(np.arange(mine.num_rows), pc.list_value_length(lists["at"]).to_numpy(zero_copy_only=False))
+    at, prints = (pc.list_flatten(lists[c]).to_numpy(zero_copy_only=False) for c in ("at", "prints"))
+    kind, of = mine.column("run").to_numpy()[owner], {}
+    for r in np.unique(kind).tolist():
+        own = np.flatnonzero(kind == r)
+        own = own[np.argsort(prints[own].view(np.uint64), kind="stable")]
+        of[r] = prints[own].view(np.uint64), owner[own], held.first[owner[own]] + at[own]
+    return Index(mine.column("passage_id").to_pylist(), held, of)
+
+
+def _found(shared_index, shared, bits: int):
+    """Documents -> leaks, with all passages at hand."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared_index.value
+        for whole in batches:
+            for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                s = sequences(batch.column(1).to_pylist(), _DOCUMENT)
+                places = []
+                for r, at, prints in _held_windows(s, sorted(index.prints), shared.value, bits):
+                    hashes, owner, of = index.prints[r]
+                    low, high = np.searchsorted(hashes, prints, "left"), np.searchsorted(hashes, prints, "right")
+                    count = high - low
+                    hit = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+                    places.append((np.repeat(at, count), owner[hit], of[hit]))
+                p, own, q = (np.concatenate(x) for x in zip(*places))
+                yield _leaks_of(confirm(Held(s.hash, s.first, _sizes(s)), index.words, s.text[p], own, p, q), batch.column(0), pa.array(index.ids, pa.int64()), index.words.size)
+
+    return run
+
+
+def _leaks_of(rows: list[tuple[int, int, int, int]], doc_ids: pa.Array, passage_ids: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+    text, own, words, edits = zip(*rows) if rows else ([], [], [], [])
+    take = pa.array(own, pa.int64())
+    return pa.RecordBatch.from_arrays([
+        passage_ids.take(take), doc_ids.take(pa.array(text, pa.int64())), pa.array(words, pa.int32()), pa.array(edits, pa.int32()),
+        pa.array(np.array(words, np.float64) / sizes[np.array(own, np.int64)])], ["passage_id", "doc_id", "words", "edits", "part"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a document's and a passage's words and the places of their common fingerprints -> leaks."""
     for whole in batches:
         for batch in (whole.slice(i, 300) for i in range(0, whole.num_rows, 300)):
-            rows = confirm(*(batch.column(c) for c in ("doc_words", "passage_words", "at", "of")))
-            row, words, edits = zip(*rows) if rows else ([], [], [])
-            take = pa.array(row, pa.int64())
-            size = pc.list_value_length(batch.column("passage_words")).take(take)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("passage_id").take(take), batch.column("doc_id").take(take), pa.array(words, pa.int32()), pa.array(edits, pa.int32()),
-                pc.divide(pa.array(words, pa.float64()), size.cast(pa.float64()))], ["passage_id", "doc_id", "words", "edits", "part"])
+            doc, pas = Held(*_joined(batch.column("doc_words"), _DOCUMENT)), Held(*_joined(batch.column("passage_words"), _PASSAGE))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("at")).to_numpy(zero_copy_only=False))
+            p, q = (pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False) + side.first[row] for c, side in (("at", doc), ("of", pas)))
+            yield _leaks_of(confirm(doc, pas, row, row, p, q), batch.column("doc_id"), batch.column("passage_id"), pas.size)
 
 
 def leaked_passages(documents: DataFrame, passages: DataFrame, scratch: Scratch) -> DataFrame:
     """``passage_id, doc_id, words, edits, part`` of every passage that a document gives away, whole or in part.
 
-    Documents are scanned once, where they lie, whatever the number of passages; what is shuffled is their
-    fingerprints in windows that some passage may have, and the words of the documents that have any. A hash, or
-    a passage, that many documents share is split by document. Null and blank texts and passages give no row;
+    Documents are scanned once, where they lie, whatever the number of passages. With more than HELD_WORDS words
+    in the passages, the documents' fingerprints in windows that some passage may have, and the words of those
+    that have any, are shuffled; a hash, or a passage, that many documents share is split by document. Null and blank texts and passages give no row;
     equal passages, and equal documents, each give theirs. An empty table gives an empty result.
     """
     spark = documents.sparkSession
     schema = "passage_id long, doc_id long, words int, edits int, part double"
     mine = scratch.keep(passages.where("text is not null").select(F.col("passage_id").cast("long").alias("passage_id"), "text").mapInArrow(_of_passages, _PASSAGES))
-    total = mine.groupBy("run").agg(F.sum(F.size("windows")).alias("n")).collect()  # a run has six words at most
+    total = mine.groupBy("run").agg(F.sum(F.size("windows")).alias("n"), F.sum(F.size("words")).alias("n_words")).collect()  # a run has six words at most
     if not total:
         return spark.createDataFrame([], schema)
     bits = min(MOST_BITS, max(LEAST_BITS, (32 * sum(r.n for r in total)).bit_length()))
@@ -380,6 +440,9 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, scratch: Scratch)
     known[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     shared = spark.sparkContext.broadcast(known.view(np.uint8))
     docs = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if sum(r.n_words for r in total) <= HELD_WORDS:
+        index = spark.sparkContext.broadcast(_index(mine.select("passage_id", "run", "words", "at", "prints").toArrow()))
+        return docs.mapInArrow(_found(index, shared, bits), schema)
     found = scratch.keep(docs.mapInArrow(_of_documents(sorted(r.run for r in total), shared, bits), _HITS))
     part = F.pmod(F.col("row"), F.lit(SALTS)).cast("int").alias("salt")
     parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from tagweave.llm import leaks, overlap
@@ -104,7 +105,13 @@ PASSAGE = ("the quiet harbour master signs every third ledger before dawn while
 
 def found(spark, texts, passages):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = leaks.leaked_passages(docs, spark.createDataFrame(list(enumerate(passages)), "passage_id long, text string"), Scratch(spark, "t")).collect()
+    both = []
+    for held in (leaks.HELD_WORDS, 0):  # with the passages in the tasks, and with tables
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(leaks, "HELD_WORDS", held)
+            both.append(leaks.leaked_passages(docs, spark.createDataFrame(list(enumerate(passages)), "passage_id long, text string"), Scratch(spark, "t")).collect())
+    rows, tables = both
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, tables))
     assert len(rows) == len({(r.passage_id, r.doc_id) for r in rows})
     return {(r.doc_id, r.passage_id) for r in rows}
 
