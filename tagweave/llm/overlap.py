@@ -30,8 +30,8 @@ TRAINING, EVALUATION = ("bootstrap", "pool"), ("validation", "test")
 EDIT_SHARE = 8
 #: Counters of word pairs; pairs that share one count together, which only makes a pattern look more frequent.
 COUNTERS, COUNTER_BLOCK = 1 << 18, 512
-#: Words in a pattern at most, patterns in a shard, training texts that a task scans.
-PATTERN_WORDS, SHARD_PATTERNS, TASK_TEXTS = 8, 400_000, 120_000
+#: Words in a pattern at most, patterns in a shard, training texts in a file, which a task scans.
+PATTERN_WORDS, SHARD_PATTERNS, TASK_TEXTS = 8, 400_000, 200_000
 #: Shards that one job scans; more take several jobs, so that no plan grows with the number of shards.
 MOST_BRANCHES = 100
 #: Places of patterns, each with all texts that it belongs to, that are held at once.
@@ -358,8 +358,8 @@ def cross_split_pairs(df: DataFrame, scratch: Scratch, id_column: str = "row_id"
     evaluation = texts.where("not training").withColumns({"key": F.xxhash64("text"), "key2": F.xxhash64("text", F.lit(1))})
     classes = scratch.keep(evaluation.groupBy("key", "key2").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.count("*").alias("n_rows")))
     n_patterns = classes.agg(F.sum(F.expr(f"n div {EDIT_SHARE - 1} + 1"))).first()[0] or 0
-    lengths = [(r.n, r.c) for r in texts.where("training").groupBy("n").agg(F.count("*").alias("c")).orderBy("n").collect()]  # a row a length
-    if not n_patterns or not lengths:
+    n_training = texts.where("training").count()
+    if not n_patterns or not n_training:
         return spark.createDataFrame([], "train_id long, eval_id long, edits int, coverage double")
     n_shards = math.ceil(n_patterns / SHARD_PATTERNS)
     shards = scratch.keep(classes.select("key", "key2", "n", "text").repartitionByRange(n_shards, "n", "key").mapInArrow(_patterns(*counts.reshape(2, -1)), "key long, key2 long, n int, text string, starts array<int>, ends array<int>"))
@@ -367,14 +367,12 @@ def cross_split_pairs(df: DataFrame, scratch: Scratch, id_column: str = "row_id"
     ranges = shards.groupBy(F.input_file_name().alias("uri")).agg(F.min("n").alias("low"), F.max("n").alias("high")).orderBy("low", "uri").collect()
     training = texts.where("training").select("row_id", "n", "text")
     if len(ranges) > 1:
-        total = sum(c for _, c in lengths)
-        training = scratch.keep(training.repartitionByRange(max(1, math.ceil(total / TASK_TEXTS)), "n", "row_id").sortWithinPartitions("n"))
+        # a file holds a task's texts; where none of them can fit a shard, it is passed over by its statistics
+        training = scratch.keep(training.repartitionByRange(math.ceil(n_training / TASK_TEXTS), "n", "row_id").sortWithinPartitions("n"))
 
     def scan(shard) -> DataFrame:
-        low, high = shard.low - shard.low // EDIT_SHARE - 1, shard.high + most_edits(shard.high) + 1
-        fitting = sum(c for n, c in lengths if low <= n <= high)
-        # as many tasks as the fitting texts ask for: each worker builds the shard's automaton once
-        return training.where(F.col("n").between(low, high)).coalesce(max(1, math.ceil(fitting / TASK_TEXTS))).mapInArrow(_scan(shard.uri), "row_id long, key long, key2 long, edits int, coverage double")
+        fits = F.col("n").between(shard.low - shard.low // EDIT_SHARE - 1, shard.high + most_edits(shard.high) + 1)
+        return training.where(fits).mapInArrow(_scan(shard.uri), "row_id long, key long, key2 long, edits int, coverage double")
 
     hits = [scratch.keep(reduce(DataFrame.unionByName, map(scan, ranges[i : i + MOST_BRANCHES]))) for i in range(0, len(ranges), MOST_BRANCHES)]
     members = evaluation.select("key", "key2", F.col("row_id").alias("eval_id"))
