@@ -76,8 +76,8 @@ class Sentences:
             same = (of[at] >= 0) & (of[at] == of[at + size - 1])
             fits = same & (u.single[at] & u.single[at + size - 1] if size > 2 else (~u.single[at] if size == 1 else True))
             at = at[fits]
-            grams.append((joined[at] >> np.uint64(40)).astype(np.int64) % WIDTH)
-            owner.append(of[at])
+            grams.append(((joined[at] >> np.uint64(40)).astype(np.int64) % WIDTH).astype(np.int32))
+            owner.append(of[at].astype(np.int32))
         owner, grams = np.concatenate(owner), np.concatenate(grams)
         order = np.argsort(owner, kind="stable")
         code = chars.codes[u.start[np.minimum(first + (after - first) // 2, max(0, len(u.start) - 1))]].astype(np.int64) if n else np.zeros(0, np.int64)
@@ -88,7 +88,7 @@ class Sentences:
 
     def only_frequent(self, least: int) -> None:
         """Drops n-grams in fewer than ``least`` texts."""
-        pairs = np.unique(self.grams * self.n_texts + self.text[self.owner])
+        pairs = np.unique(self.grams.astype(np.int64) * self.n_texts + self.text[self.owner])
         keep = np.bincount(pairs // self.n_texts, minlength=WIDTH)[self.grams] >= least
         self.owner, self.grams = self.owner[keep], self.grams[keep]
 
@@ -103,6 +103,17 @@ class Sentences:
         return out
 
 
+def sentences_of(texts: list[str], model: S.Model, block: int = 1000) -> Sentences:
+    """The sentences of many texts, made block by block, as their characters take far more memory than their n-grams."""
+    parts = [Sentences(texts[i : i + block], model) for i in range(0, len(texts), block)] or [Sentences([], model)]
+    out, before = parts[0], np.cumsum([0, *(len(p.text) for p in parts)])
+    out.text = np.concatenate([p.text + i * block for i, p in enumerate(parts)])
+    out.owner = np.concatenate([p.owner + np.int32(n) for p, n in zip(parts, before)])
+    out.grams, out.script = (np.concatenate([getattr(p, c) for p in parts]) for c in ("grams", "script"))
+    out.n_texts = len(texts)
+    return out
+
+
 def _languages(s: Sentences) -> np.ndarray:
     """A number for each sentence's language, by small words or by script: near enough to count a language's texts."""
     votes = np.zeros((WIDTH, len(SMALL_WORDS)))
@@ -118,7 +129,7 @@ def _widespread(s: Sentences, n_subjects: int) -> np.ndarray:
     _, language = np.unique(_languages(s), return_inverse=True)
     n = int(language.max(initial=0)) + 1
     texts = np.bincount(np.unique(language * s.n_texts + s.text) // s.n_texts, minlength=n)
-    pairs = np.unique((s.grams * n + language[s.owner]) * s.n_texts + s.text[s.owner]) // s.n_texts
+    pairs = np.unique((s.grams.astype(np.int64) * n + language[s.owner]) * s.n_texts + s.text[s.owner]) // s.n_texts
     count = np.bincount(pairs, minlength=WIDTH * n).reshape(WIDTH, n)
     return (count > np.maximum(MOST_TEXTS / n_subjects * texts, 4)).any(1)
 
@@ -185,7 +196,7 @@ def weak_labels(s: Sentences, given: np.ndarray, n_subjects: int, likely: np.nda
     prior[given] = 1.0
     prior /= prior.sum(1, keepdims=True)
     strength = np.where(labelled, 3.0, 0.3)[:, None]
-    pair = s.grams * s.n_texts + s.text[s.owner]
+    pair = s.grams.astype(np.int64) * s.n_texts + s.text[s.owner]
     _, of, times = np.unique(pair, return_inverse=True, return_counts=True)
     once = 1.0 / times[of]
     may = ~_widespread(s, k)[:, None]
@@ -313,7 +324,7 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, boundaries: S
     likely, _ = metadata_prior([metadata_parts([r[c] for c in METADATA]) for r in rows], given[: len(rows)])
     if likely is not None:
         likely = np.concatenate([likely, np.full((len(areas), len(names)), 1 / max(1, len(names)))])
-    s = Sentences(words, boundaries)
+    s = sentences_of(words, boundaries)
     s.only_frequent(LEAST)
     target = weak_labels(s, given, len(names), likely)[:, :-1]
     weights, intercepts = train(s, target)
