@@ -59,3 +59,27 @@ def test_no_votes_or_items(spark):
     none = consensus.Consensus(items, votes.limit(0), Scratch(spark, "t"))
     assert [r.mention_type for r in none.labels().collect()] == [None] * 3 and none.reliability().count() == 0
     assert consensus.Consensus(items.limit(0), votes, Scratch(spark, "t")).labels().count() == 0
+
+
+def test_parameters_in_a_table_give_the_same(spark, monkeypatch):
+    items, votes, _ = panel(120, 3)
+    monkeypatch.setattr(consensus, "ROUNDS", 4)
+    items, votes = spark.createDataFrame(items, ITEMS), spark.createDataFrame(votes, VOTES)
+    both = []
+    for held in (consensus.HELD, 0):
+        monkeypatch.setattr(consensus, "HELD", held)
+        model = consensus.Consensus(items, votes, Scratch(spark, "t"))
+        both.append(([(r.item_id, r.mention_type, round(r.confidence, 9)) for r in model.labels().orderBy("item_id").collect()],
+                     [(r.config_name, r.n_items, round(r.kappa, 9), round(r.mean_ability, 9)) for r in model.reliability().orderBy("config_name").collect()]))
+    assert model.table is not None and both[0] == both[1]
+
+
+def test_more_types_and_annotators_than_are_held(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "HELD", 0)
+    monkeypatch.setattr(consensus, "ROUNDS", 2)
+    rng = np.random.default_rng(5)
+    items = [(i, "d", [i], None, None) for i in range(220)]
+    votes = [(len(items) * w + i, "d", f"a{(i * 7 + w * 131) % 60}", 1, f"type {i % 205}" if rng.random() < 0.9 else "type 0", [i], None, None, None) for i in range(220) for w in range(6)]
+    model = consensus.Consensus(spark.createDataFrame(items, ITEMS), spark.createDataFrame(votes, VOTES), Scratch(spark, "t"))
+    labels = {r.item_id: r.mention_type for r in model.labels().collect()}
+    assert model.table is not None and sum(labels[i] == f"type {i % 205}" for i in labels) > 205
