@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -121,6 +123,28 @@ def inline_tags(tokens: Column, mentions: Column) -> Column:
     return F.arrow_udf(_inlined, T.StringType())(own, name, first, last)
 
 
+def html(text: Column) -> Column:
+    """Marks of markup escaped."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+#: Marks that LaTeX reads as commands, and how they are written.
+LATEX = {"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\\": r"\textbackslash{}"}
+
+
+def latex(text: Column) -> Column:
+    """Marks of LaTeX escaped, each once: a text's characters are gone through, not the text again and again."""
+    names = F.create_map(*(F.lit(x) for kv in LATEX.items() for x in kv))
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
+
+
+def between(text: Column, prefix: str, marker: str) -> Column:
+    """What stands before the first ``marker``, without the prefix."""
+    return F.regexp_replace(F.substring_index(text, marker, 1), "^" + re.escape(prefix), "")
+
+
 def answer_line(line: Column, n_sentences: Column) -> Column:
     """A line of a model's answer: text, type and sentence number in three or four fields split by tabs.
 

@@ -368,6 +368,12 @@ def _(spark, folder):
     return out.select("dataset", "budget", *r6("gap", "headroom", "closed"), "pairs")
 
 
+def _paired_rounds(curves):
+    """Rounds that both arms have."""
+    n = F.count("*").over(Window.partitionBy(*SETTING, "seed", "round"))
+    return curves.withColumn("_n", n).where("_n = 2").drop("_n")
+
+
 @query("pv1_gap_curves", CU + """
 SELECT dataset, model, uq_metric, seed, round, round(u, 6) AS uncertainty, round(r, 6) AS random, round(u - r, 6) AS gap FROM (
   SELECT dataset, model, uq_metric, seed, round, max(CASE WHEN arm = 'uncertainty' THEN entity_f1 END) AS u, max(CASE WHEN arm = 'random' THEN entity_f1 END) AS r FROM curves GROUP BY ALL) WHERE u IS NOT NULL AND r IS NOT NULL""")
