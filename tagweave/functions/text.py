@@ -22,6 +22,15 @@ def gaps(text: Column) -> Column:
     return F.split(text, WORD, -1)
 
 
+def begins_sentence(words: Column, gaps: Column):
+    """For the number of a word: whether a sentence begins there, the first word, one after a run of end marks, or on a new line."""
+    def begins(i):
+        mark = lambda k: F.get(words, k).isin(".", "!", "?")
+        return (i == 0) | F.contains(F.get(gaps, i), F.lit("\n")) | (mark(i - 1) & ~mark(i))
+
+    return begins
+
+
 def _placed(words: pa.Array, gaps: pa.Array) -> pa.Array:
     """Words of a batch with their places, from the lengths of the words and of the gaps between them."""
     n_words, n_gaps = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, gaps))

@@ -93,11 +93,7 @@ def stand_off_sentences(docs: DataFrame) -> DataFrame:
     n = F.size("w")
     tagged = placed.where(n > 0).select("document_name", "w", "g", spans.tags_of(spans.over_words(F.col("s"), F.col("at")), n).alias("t"))
 
-    def begins(i):
-        mark = lambda k: F.get("w", k).isin(".", "!", "?")
-        return (i == 0) | F.contains(F.get("g", i), F.lit("\n")) | (mark(i - 1) & ~mark(i))
-
-    cut = tagged.withColumn("c", F.filter(F.sequence(F.lit(0), n - 1), begins))
+    cut = tagged.withColumn("c", F.filter(F.sequence(F.lit(0), n - 1), text.begins_sentence(F.col("w"), F.col("g"))))
     part = lambda c, k: F.coalesce(F.get("c", k + 1), n) - c
     # the tags come from Arrow, which a lambda can take as its argument only
     found = F.get(F.transform(F.array("t"), lambda t: F.transform("c", lambda c, k: F.struct(F.slice("w", c + 1, part(c, k)).alias("tokens"), F.slice(t, c + 1, part(c, k)).alias("ner_tags")))), 0)

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import shutil
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
 
+from tagweave.plans import files
+
 
 def _published(df: DataFrame, path: str, write) -> None:
     """Writes beside ``path`` and moves it there, so that readers never see half a table."""
     staged = f"{path}.{uuid.uuid4().hex}"
     write(df, staged)
-    target = Path(path)
-    if target.is_dir():
-        shutil.rmtree(target)
-    Path(staged).rename(target)
+    files.replace_folder(df.sparkSession, staged, path)
 
 
 def run(df: DataFrame, folder: str, kind: str) -> None:
@@ -45,6 +42,37 @@ def documents(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "errorifexists").json(path)
 
 
+def test_predictions(predicted: DataFrame, path: str) -> bool:
+    """Tags put on test sentences (see testsplit.on_test_sentences) as JSON lines; nothing, and false, if any has none."""
+    if not predicted.where("tags is null").isEmpty():
+        return False
+    rows = predicted.select(F.col("document_name").alias("document name"), F.col("sentence_id").alias("sentence-ID"), "tokens", F.col("tags").alias("ner-tags"))
+    _published(rows, path, lambda d, p: d.write.json(p))
+    return True
+
+
+def progress(df: DataFrame, path: str) -> None:
+    """The rows so far, in the place of those of the round before."""
+    _published(df, path, lambda d, p: d.write.parquet(p))
+
+
+def metrics(scores: DataFrame, path: str) -> None:
+    """One row of scores as a JSON object."""
+    import json
+
+    rows = scores.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("metrics are of one run")
+    files.write_text(scores.sparkSession, path, json.dumps(rows[0].asDict(recursive=True), indent=2, sort_keys=True))
+
+
+def heatmap(marked: DataFrame, path: str) -> None:
+    """Words of each sentence with their marks and scores, a JSON line a sentence: ``row_id, words``."""
+    word = F.struct(*(c for c in marked.columns if c != "row_id"))
+    nested = marked.groupBy("row_id").agg(F.array_sort(F.collect_list(word)).alias("words"))
+    _published(nested, path, lambda d, p: d.write.json(p))
+
+
 def table_csv(df: DataFrame, path: str) -> None:
     """A small table as CSV, replaced as a whole."""
     _published(df, path, lambda d, p: d.coalesce(1).write.option("header", True).csv(p))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import ledger, quality
+from tagweave.plans.runtime import Scratch
 from tagweave.sources import readers, writers
 from tagweave.streaming import live
 
@@ -104,15 +105,15 @@ def test_ledger(spark, tmp_path):
             raise RuntimeError("no memory")
         return 0.5
 
-    ledger.run_pending(tmp_path, plan[:2], run)
+    ledger.run_pending(spark, tmp_path, plan[:2], run)
     table = ledger.ledger(spark, tmp_path, range(3))
     assert [(r.config_id, r.status, r.score, r.error) for r in table.collect()] == [(0, "complete", 0.5, None), (1, "failed", None, "RuntimeError: no memory"), (2, "pending", None, None)]
     counts = ledger.status_counts(table.withColumn("s", F.lit(1)), ["s"]).first()
     assert (counts.planned, counts.complete, counts.failed, counts.done) == (3, 1, 1, False)
-    ledger.publish(tmp_path / "p.json", {"a": 1}, keep=True)
-    ledger.publish(tmp_path / "p.json", {"a": 1}, keep=True)
+    ledger.publish(spark, tmp_path / "p.json", {"a": 1}, keep=True)
+    ledger.publish(spark, tmp_path / "p.json", {"a": 1}, keep=True)
     with pytest.raises(ValueError):
-        ledger.publish(tmp_path / "p.json", {"a": 2}, keep=True)
+        ledger.publish(spark, tmp_path / "p.json", {"a": 2}, keep=True)
 
 
 def test_job_order_and_blocking(spark):
@@ -122,7 +123,7 @@ def test_job_order_and_blocking(spark):
         ledger.job_order({"a": 1, "b": 1}, {"a": ["b"], "b": ["a"]})
     jobs = spark.createDataFrame([(j,) for j in "abcd"], "job string")
     edges = spark.createDataFrame([("b", "a"), ("c", "b")], "job string, needed string")
-    assert sorted(r.job for r in ledger.blocked(jobs, edges, jobs.where("job = 'a'")).collect()) == ["b", "c"]
+    assert sorted(r.job for r in ledger.blocked(jobs, edges, jobs.where("job = 'a'"), Scratch(spark, "t")).collect()) == ["b", "c"]
 
 
 def test_checks(spark):
