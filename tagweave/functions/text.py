@@ -13,6 +13,11 @@ from pyspark.sql import Column, functions as F, types as T
 WORD = r"(?:[A-Za-z]\.){2,}|[\p{L}\p{N}_]+(?:['’-][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s\p{Z}\x{85}]"
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it, in lambdas too."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -120,6 +125,11 @@ def _inlined(tokens: pa.Array, types: pa.Array, firsts: pa.Array, lasts: pa.Arra
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(total)].astype(np.int32)), pieces), " ")
 
 
+def only_types(mentions: Column, types: list[str]) -> Column:
+    """Mentions of some types, however these are written."""
+    return F.filter(mentions, lambda m: F.lower(F.trim(m["type"])).isin([t.strip().lower() for t in types]))
+
+
 def inline_tags(tokens: Column, mentions: Column) -> Column:
     """Tokens joined by blanks, each mention ``(type, tokens)`` in a tag with its number, at its first and last token.
 

@@ -7,15 +7,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tagweave.functions.text import bound
+
 #: Multiplier and modulus of the draw that both this engine and SQL can compute.
 _STEP, _HALF = 2654435761, 1 << 31
 
 
 def softmax(x: Column) -> Column:
-    def bound(value: Column, f) -> Column:
-        """``f`` of a value that is computed once, not once an element."""
-        return F.get(F.transform(F.array(value), f), 0)
-
     shifted = bound(F.array_max(x).cast("double"), lambda m: F.transform(x, lambda v: F.exp(v.cast("double") - m)))
     total = lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, w: a + w).alias("sum"))
     return bound(bound(shifted, total), lambda s: F.transform(s["e"], lambda v: v / s["sum"]))

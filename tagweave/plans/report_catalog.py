@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tagweave.functions import text
-from tagweave.operators import curves as C, profile as P, reports as R, selection as A, stats as ST, testsplit as T
+from tagweave.functions import spans, text
+from tagweave.operators import annotation, curves as C, profile as P, reports as R, selection as A, stats as ST, testsplit as T
 from tagweave.plans import adapters as D, catalog as K
 from tagweave.plans.catalog import RUN, SETTING, r6
 from tagweave.plans.runtime import Scratch, table
-from tagweave.sources import writers
+from tagweave.sources import readers, runs, writers
+from tagweave.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -445,3 +446,92 @@ def _(spark, folder):
 def _(spark, folder):
     t = D.trials(spark, folder).withColumn("_s", F.struct("score", "o_orderkey"))
     return T.best_by(t, ["sweep"], "_s").select("sweep", "score", "o_orderkey")
+
+
+# ---- smaller operators
+
+@query("t3_plain_sentences", f"""
+WITH w AS (SELECT id, regexp_extract_all(text, '{K._W}') AS w, regexp_split_to_array(text, '{K._W}') AS g FROM annotated_docs WHERE text IS NOT NULL),
+e AS (SELECT id, i, w[i] AS word, g[i] AS gap, CASE WHEN i > 1 THEN w[i - 1] END AS before FROM (SELECT id, w, g, unnest(range(1, len(w) + 1)) AS i FROM w))
+SELECT id, count(*) AS n_tokens, count(*) FILTER (WHERE i = 1 OR contains(gap, chr(10)) OR (before IN ('.', '!', '?') AND word NOT IN ('.', '!', '?'))) AS n_sentences FROM e GROUP BY id""")
+def _(spark, folder):
+    docs = table(spark, folder, "annotated_docs").where("text is not null").select(*runs.document_of(F.col("id"), F.col("text")))
+    return docs.where(F.size("tokens") > 0).select("id", F.size("tokens").cast("long").alias("n_tokens"), (F.array_max("tokens.sentence_index") + 1).cast("long").alias("n_sentences"))
+
+
+@query("g23_best_configs", D.with_ctes(D.CALLS) + """,
+per_run AS (SELECT config_name, run_no, avg(num_predicted) AS predicted FROM calls GROUP BY ALL),
+means AS (SELECT config_name, avg(predicted) AS f1, stddev_samp(predicted) AS sd, count(*) AS n_runs FROM per_run GROUP BY config_name),
+named AS (SELECT c.dataset, m.* FROM means m JOIN run_configs c ON c.config_name = m.config_name)
+SELECT dataset, config_name, round(f1, 6) AS f1, round(f1 - coalesce(sd, 0), 6) AS low, round(f1 + coalesce(sd, 0), 6) AS high, n_runs FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(f1, 9) DESC, config_name DESC) AS r FROM named) WHERE r = 1""")
+def _(spark, folder):
+    per_run = D.calls(spark, folder).groupBy("config_name", "run_no").agg(F.avg("num_predicted").alias("predicted"))
+    means = annotation.run_summary(per_run, ["config_name"], ["predicted"]).join(table(spark, folder, "run_configs").select("config_name", "dataset"), "config_name")
+    best = T.best_by(means.withColumn("_order", F.struct(F.round("predicted", 9), "config_name")), ["dataset"], "_order")
+    sd = F.coalesce("predicted_sd_runs", F.lit(0.0))
+    return best.select("dataset", "config_name", F.round("predicted", 6).alias("f1"), F.round(F.col("predicted") - sd, 6).alias("low"), F.round(F.col("predicted") + sd, 6).alias("high"), "n_runs")
+
+
+@query("g49_scores_so_far", D.with_ctes(D.CALLS) + """
+SELECT config_name, count(DISTINCT document_id) AS documents, count(*) FILTER (WHERE error IS NULL) AS calls, sum(num_predicted) FILTER (WHERE error IS NULL)::BIGINT AS predicted, sum(cached) FILTER (WHERE error IS NULL)::BIGINT AS cached,
+       count(*) FILTER (WHERE finish = 'actor' AND error IS NULL) AS truncated FROM calls GROUP BY config_name""")
+def _(spark, folder):
+    return live.scores_so_far(D.calls(spark, folder), ["config_name"], "document_id", F.col("error").isNull(), ["num_predicted", "cached"], F.col("finish") == "actor").select(
+        "config_name", "documents", "calls", F.col("num_predicted").alias("predicted"), "cached", "truncated")
+
+
+@query("j11_means_beside_supervised", D.with_ctes(D.CURVES, K._SERIES, K._REACH, _SUPERVISED) + """
+SELECT m.dataset, m.model, m.series, m.round, round(m.entity_f1, 6) AS entity_f1, round(s.f1, 6) AS supervised FROM means m LEFT JOIN (SELECT dataset, model, avg(entity_f1) AS f1 FROM supervised WHERE dataset = 'd1' GROUP BY ALL) s ON s.dataset = m.dataset AND s.model = m.model""")
+def _(spark, folder):
+    c = D.curves(spark, folder)
+    supervised = K._supervised(c).groupBy("dataset", "model").agg(F.avg("entity_f1").alias("supervised")).where("dataset = 'd1'")  # one that the other dataset lacks
+    return K._means(spark, folder).join(supervised, ["dataset", "model"], "left").select("dataset", "model", "series", "round", *r6("entity_f1", "supervised"))
+
+
+@query("j12_types_by_split", D.with_ctes(D.TAGGED, D.GOLD) + """
+SELECT type, n, n_documents, round(mean_words, 6) AS mean_words, bootstrap, pool, test FROM (SELECT type, count(*) AS n, count(DISTINCT document_name) AS n_documents, avg(last - first + 1) AS mean_words,
+  count(*) FILTER (WHERE part = 'bootstrap') AS bootstrap, count(*) FILTER (WHERE part = 'pool') AS pool, count(*) FILTER (WHERE part = 'test') AS test FROM gold_chunks GROUP BY type)""")
+def _(spark, folder):
+    found = D.tagged(spark, folder).select("part", "document_name", F.explode(spans.chunks(F.col("gold"))).alias("e")).select("part", "document_name", "e.type", (F.col("e.last") - F.col("e.first") + 1).alias("words"))
+    stats = found.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("document_name").alias("n_documents"), F.round(F.avg("words"), 6).alias("mean_words"))
+    counts = found.groupBy("type").pivot("part", ["bootstrap", "pool", "test"]).count().na.fill(0)
+    return stats.join(counts, "type")
+
+
+@query("w16_consecutive_rounds", K.W_SEL + """
+SELECT seed, arm, label, round, next_round FROM (SELECT *, lead(round) OVER (PARTITION BY seed, arm, label ORDER BY round) AS next_round FROM (SELECT DISTINCT seed, arm, label, round FROM selections)) WHERE next_round = round + 1""")
+def _(spark, folder):
+    from tagweave.operators import loop
+
+    return loop.consecutive(D.selections(spark, folder).select(*K._RUN, "label", "round").distinct(), [*K._RUN, "label"])
+
+
+@query("o10_first_occurrences", """
+SELECT row_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT row_id, list_filter(k, lambda x, i: list_position(k, x) = i) AS t FROM (SELECT row_id, list_filter(tokens, lambda x: x IS NOT NULL) AS k FROM sentences WHERE tokens IS NOT NULL))""")
+def _(spark, folder):
+    rows = table(spark, folder, "sentences").where("tokens is not null").select("row_id", F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())).alias("t"))
+    return rows.select("row_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query("proj2_nested_prefix", D.with_ctes(D.TAGGED) + """,
+placed AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place, count(*) OVER () AS n FROM tagged WHERE part = 'pool')
+SELECT percent, count(*) AS n, sum(row_id)::BIGINT AS ids FROM placed, (SELECT unnest([12.5, 25.0, 50.0])::DOUBLE AS percent) WHERE place < round_even(n * percent / 100, 0) GROUP BY percent""")
+def _(spark, folder):
+    """Rows of the first shares of the pool, each within the next; a half is rounded to the even number."""
+    placed = K.numbered(D.tagged(spark, folder).where("part = 'pool'").select("row_id"), [], ["row_id"], "place", Scratch(spark, "p2"))
+    parts = [A.prefix(placed, "place", p).agg(F.lit(p).alias("percent"), F.count("*").alias("n"), F.sum("row_id").alias("ids")) for p in (12.5, 25.0, 50.0)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("proj13_only_types", D.with_ctes(D.MENTIONS) + "SELECT id, count(*) AS n FROM gold_mentions WHERE type IN ('actor', 'activity') GROUP BY id")
+def _(spark, folder):
+    kept = D.documents_of_mentions(spark, folder).select("id", F.explode(text.only_types(F.col("gold"), ["Actor", "ACTIVITY"])).alias("m"))
+    return kept.groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("e15_decoded_tags", D.with_ctes(D.TAGGED) + "SELECT row_id, md5(array_to_string(gold, ' ')) AS digest FROM tagged")
+def _(spark, folder):
+    rows = D.tagged(spark, folder)
+    labels = sorted(r[0] for r in rows.select(F.explode("gold").alias("t")).distinct().collect())  # a closed vocabulary
+    coded = rows.select("row_id", F.transform("gold", lambda t: readers.tag_number(t, labels)).alias("codes"))
+    return coded.select("row_id", F.md5(F.array_join(F.transform("codes", lambda n: readers.tag_of(n, labels)), " ")).alias("digest"))

@@ -33,6 +33,11 @@ def tag_number(tag: Column, tags: list[str]) -> Column:
     return F.when(place > 0, place - 1).otherwise(F.raise_error(F.concat(F.lit("unknown tag "), F.coalesce(tag, F.lit("null"))))).cast("int")
 
 
+def tag_of(number: Column, tags: list[str]) -> Column:
+    """The tag that tag_number gave a number to; a number of none is an error."""
+    return F.coalesce(F.get(F.array(*map(F.lit, tags)), number.cast("int")), F.raise_error(F.concat(F.lit("unknown tag number "), number.cast("string"))).cast("string"))
+
+
 def integer_tagged(spark: SparkSession, paths: list[str], types: list[str]) -> DataFrame:
     """Sentences with numbers for tags, from several files: 0 is 'O', odd numbers begin and even ones continue a type."""
     schema = "document_unique_id string, document_id string, sentence_id int, tokens array<string>, ner_tags array<int>"

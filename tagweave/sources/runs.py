@@ -149,8 +149,18 @@ def demo_run(spark: SparkSession, words: int = 99, k: int = 9, seeds: Sequence[i
 
 def document_of(id: Column, body: Column) -> tuple[Column, ...]:
     """Columns of a document made of a plain text: its words, numbered, with their sentences; no tags of speech."""
-    w, n = text.words(body), F.size(text.words(body))
-    cuts = F.when(n > 0, F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), text.begins_sentence(w, text.gaps(body)))).otherwise(F.array().cast("array<int>"))
-    sentences = F.transform(cuts, lambda c, k: F.transform(F.slice(w, c + 1, F.coalesce(F.get(cuts, k + 1), n) - c), lambda t: F.struct(t.alias("text"), k.cast("int").alias("sentence_index"))))
-    tokens = F.transform(F.flatten(sentences), lambda t, i: F.struct(t["text"].alias("text"), i.cast("int").alias("index"), F.lit("").alias("pos_tag"), t["sentence_index"].alias("sentence_index")))
+    def numbered(s):
+        def part(c, k):
+            words = F.slice(s["w"], c + 1, F.coalesce(F.get(s["c"], k + 1), F.size(s["w"])) - c)
+            return F.transform(words, lambda t: F.struct(t.alias("text"), k.cast("int").alias("sentence_index")))
+
+        return F.flatten(F.transform(s["c"], part))
+
+    def cut(s):
+        n = F.size(s["w"])
+        places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.struct(s["w"].alias("w"), F.filter(places, text.begins_sentence(s["w"], s["g"])).alias("c"))
+
+    words = F.struct(text.words(body).alias("w"), text.gaps(body).alias("g"))
+    tokens = F.transform(text.bound(text.bound(words, cut), numbered), lambda t, i: F.struct(t["text"].alias("text"), i.cast("int").alias("index"), F.lit("").alias("pos_tag"), t["sentence_index"].alias("sentence_index")))
     return id.alias("id"), body.alias("text"), tokens.alias("tokens")

@@ -102,7 +102,7 @@ def test_annotate_stops_after_failures(spark):
         return body.upper()
 
     todo = spark.createDataFrame([(str(i), b) for i, b in enumerate(["a", "bad", "bad", "b", "bad", "bad", "bad", "c"])], "id string, body string").coalesce(1)
-    out = {r.id: (r.answer, r.error) for r in annotation.annotate(todo, annotator).collect()}
+    out = {r.id: (r.answer, r.error) for r in annotation.annotate(todo, annotator, Scratch(spark, "t"), wave=7).collect()}
     assert out["0"] == ("A", None) and out["1"] == (None, "OSError: down") and out["3"] == ("B", None) and out["7"] == (None, "stopped")
 
 
