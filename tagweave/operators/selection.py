@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagweave.functions.text import bound
 
+#: Rows chosen that may be held on the driver.
+FEW = 10_000
 #: Multiplier and modulus of the draw that both this engine and SQL can compute.
 _STEP, _HALF = 2654435761, 1 << 31
 
@@ -63,6 +65,8 @@ def top(candidates: DataFrame, k: int, score: str, keys: Sequence[str], within:
         form_rank = F.row_number().over(Window.partitionBy(*within, F.lower(form)).orderBy(*order))
         if not within:
             allowed = candidates.withColumn("_r", form_rank).where(F.col("_r") <= cap).drop("_r").orderBy(*order).limit(k).withColumn("_over", F.lit(0))
+            if k <= FEW:
+                allowed = candidates.sparkSession.createDataFrame(allowed.toArrow(), allowed.schema)  # chosen once, not once more for its number
             missing = k - allowed.count()
             if missing > 0:  # every row within the cap is chosen: what is left was passed over
                 rest = candidates.join(allowed.select(*keys), list(keys), "left_anti").orderBy(*order).limit(missing).withColumn("_over", F.lit(1))

@@ -209,7 +209,7 @@ tags AS (SELECT gold, CASE WHEN type = 'O' THEN 'O' WHEN lag(type) OVER (PARTITI
 SELECT tag, count(*) AS n, sum(CASE WHEN tag = gold THEN 1 ELSE 0 END)::BIGINT AS n_right FROM tags GROUP BY tag""")
 def _(spark, folder):
     w = D.words(spark, folder).withColumn("ord", F.col("row_id") * 1000000 + F.col("wid"))
-    found = E.lookup_tags(w.where("part in ('bootstrap', 'pool') and word is not null"), w.where("part in ('validation', 'test')"), ["row_id"])
+    found = E.lookup_tags(w.where("part in ('bootstrap', 'pool') and word is not null"), w.where("part in ('validation', 'test')"), ["row_id"], Scratch(spark, "e14"))
     return found.groupBy("tag").agg(F.count("*").alias("n"), F.sum((F.col("tag") == F.col("gold")).cast("long")).alias("n_right"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import spans, spans as S
 from tagweave.operators import evaluation as E
+from tagweave.plans.runtime import Scratch
 
 TAGS = ["O", "B-A", "I-A", "B-B", "I-B"]
 
@@ -102,7 +103,7 @@ def test_lookup_takes_the_type_seen_first_of_equal_ones(spark):
     schema = "s int, wid int, word string, gold string, ord int"
     train = spark.createDataFrame([(0, 0, "Bank", "B-X", 0), (0, 1, "bank", "B-Y", 1), (0, 2, "of", "O", 2)], schema)
     test = spark.createDataFrame([(1, 0, "BANK", None, 0), (1, 1, "bank", None, 0), (1, 2, "new", None, 0)], schema)
-    assert [r.tag for r in E.lookup_tags(train, test, ["s"]).orderBy("wid").collect()] == ["B-X", "I-X", "O"]
+    assert [r.tag for r in E.lookup_tags(train, test, ["s"], Scratch(spark, "t")).orderBy("wid").collect()] == ["B-X", "I-X", "O"]
 
 
 def test_spans_apart_are_those_of_a_walk_in_order():
