@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from tagweave.functions.text import bound
 from tagweave.plans import files
 
 
@@ -25,17 +29,33 @@ def run(df: DataFrame, folder: str, kind: str) -> None:
 
 def packed_predictions(df: DataFrame, column: str = "predicted") -> DataFrame:
     """Tag arrays as numbers into the row's sorted distinct tags (256 at most) with the sentences' lengths."""
-    labels = F.array_sort(F.array_distinct(F.flatten(F.col(column))))
-    checked = F.when(F.size(labels) <= 256, labels).otherwise(F.raise_error(F.lit("more than 256 tags")).cast("array<string>"))
-    return df.withColumn("labels", checked).withColumn("lengths", F.transform(F.col(column), F.size)).withColumn(
-        "codes", F.transform(F.flatten(F.col(column)), lambda t: (F.array_position("labels", t) - 1).cast("smallint"))).drop(column)
+    def checked(labels):
+        return F.when(F.size(labels) <= 256, labels).otherwise(F.raise_error(F.lit("more than 256 tags")).cast("array<string>"))
+
+    def coded(s):
+        return F.struct(s["labels"].alias("labels"), F.transform(s["tags"], lambda t: (F.array_position(s["labels"], t) - 1).cast("smallint")).alias("codes"))
+
+    flat = F.flatten(F.col(column))
+    both = bound(flat, lambda tags: F.struct(checked(F.array_sort(F.array_distinct(tags))).alias("labels"), tags.alias("tags")))
+    out = df.withColumn("_p", bound(both, coded)).withColumn("lengths", F.transform(F.col(column), F.size))
+    return out.withColumns({"labels": F.col("_p.labels"), "codes": F.col("_p.codes")}).drop(column, "_p")
+
+
+def _unpacked(labels: pa.Array, lengths: pa.Array, codes: pa.Array) -> pa.Array:
+    """Tag arrays of a batch's rows, all at once."""
+    sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (labels, lengths)]
+    row = pc.list_parent_indices(codes).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = (np.cumsum(sizes[0]) - sizes[0])[row] + pc.list_flatten(codes).to_numpy(zero_copy_only=False)
+    tags = pc.list_flatten(labels).take(pa.array(at.astype(np.int64)))
+    ends = np.cumsum(pc.list_flatten(lengths).to_numpy(zero_copy_only=False))
+    sentences = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), tags)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes[1])].astype(np.int32)), sentences)
 
 
 def unpacked_predictions(df: DataFrame, column: str = "predicted") -> DataFrame:
     """The reverse of packed_predictions."""
-    ends = F.transform("lengths", lambda n, i: F.aggregate(F.slice("lengths", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
-    tags = F.transform("codes", lambda c: F.get("labels", c.cast("int")))
-    return df.withColumn("_t", tags).withColumn("_e", ends).withColumn(column, F.zip_with("lengths", "_e", lambda n, e: F.slice(F.col("_t"), e - n + 1, n))).drop("_t", "_e", "labels", "lengths", "codes")
+    tags = F.arrow_udf(_unpacked, T.ArrayType(T.ArrayType(T.StringType())))
+    return df.withColumn(column, tags("labels", "lengths", "codes")).drop("labels", "lengths", "codes")
 
 
 def documents(df: DataFrame, path: str, append: bool = False) -> None:
