@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tagweave.operators.selection import uniform
 from tagweave.plans.runtime import Scratch
 
 #: Edges of one node from which its smallest neighbour travels by broadcast instead of through the shuffle.
@@ -86,7 +87,7 @@ def proportional_splits(groups: DataFrame, shares: dict[str, float], seed: int =
     split. Shares that don't add up to 1 are scaled; a group larger than a share stays whole.
     """
     spark = groups.sparkSession
-    placed = groups.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "group_id"), F.lit(RANGES)).cast("int"))
+    placed = groups.withColumn("place", F.floor(uniform(seed, F.col("group_id")) * RANGES).cast("int"))
     weight = {r.place: r.n for r in placed.groupBy("place").agg(F.sum("n_rows").alias("n")).collect()}  # RANGES rows at most
     total, names = sum(weight.values()), list(shares)
     scale = total / sum(shares.values()) if total else 0

@@ -158,12 +158,16 @@ def _plain(x: str) -> str:
     return f"regexp_replace(lower(trim(regexp_replace(nfc_normalize({x}), '{_BLANK}+', ' ', 'g'), ' ')), '[‐-―−]', '-', 'g')"
 
 
+# Fixed values, written out once more so that SQL and query don't share a mistake: how a missing value is put in words.
+_NO_NAMES = "'', '?', '-', '--', '<na>', '(none)', '(not given)', '(unknown)', 'missing', 'n.a.', 'n/a', 'na', 'nan', 'nil', 'none', 'not given', 'null', 'tbd', 'unbekannt', 'unknown'"
+
+
 def _known(plain: str, x: str) -> str:
-    return f"CASE WHEN {plain} NOT IN ({', '.join(map(repr, sorted(entities.MISSING)))}) THEN {x} END"
+    return f"CASE WHEN {plain} NOT IN ({_NO_NAMES}) THEN {x} END"
 
 
 def _shorter(x: str) -> str:
-    ending = r"\.(?:" + "|".join(entities.EXTENSIONS) + r")$"
+    ending = r"\.(?:ann|conll|csv|html|jsonl?|md|tsv|txt|xml)$"
     mark = r"(?:rev(?:ision)?|v(?:ersion)?)[\s._\-]*\d+"
     return f"regexp_replace(regexp_replace({x}, '{ending}', ''), '[\\s_.\\-]*\\(\\s*{mark}\\s*\\)$|[\\s_.\\-]+{mark}$', '')"
 
@@ -192,9 +196,20 @@ SELECT s.row_id, groups.group_id FROM s JOIN groups ON s.d = groups.d WHERE n_na
 """
 
 
+# A draw within (0, 1) for a whole number, and the splits of 4096 ranges of it: 0.8, 0.1 and 0.1 of the rows.
+_DRAW = "((((({0}) % 2147483648) * 2654435761) % 4294967296 % 2147483648 * 1103515245 + 12345) % 2147483648 + 0.5::DOUBLE) / 2147483648"
+_SPLITS = _RELATED.replace("SELECT s.row_id, groups.group_id FROM s JOIN groups ON s.d = groups.d WHERE n_names > 1", f"""SELECT * FROM (
+  WITH own AS (SELECT a.row_id, coalesce(groups.group_id, a.row_id) AS group_id FROM sentences a LEFT JOIN s ON a.row_id = s.row_id LEFT JOIN groups ON s.d = groups.d),
+  ranged AS (SELECT row_id, group_id, floor({_DRAW.format("group_id")} * 4096) AS place FROM own),
+  weights AS (SELECT place, count(*) AS n, sum(count(*)) OVER (ORDER BY place) AS upto, sum(count(*)) OVER () AS total FROM ranged GROUP BY place)
+  SELECT row_id, group_id, CASE WHEN upto - n / 2 < 0.8 * total THEN 'train' WHEN upto - n / 2 < 0.9 * total THEN 'validation' ELSE 'test' END AS split FROM ranged JOIN weights USING (place))""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _RELATED,
+        "p1_splits": _SPLITS,
+        "p1_split_sizes": f"SELECT split, count(*) AS n_rows, count(DISTINCT group_id) AS n_groups FROM ({_SPLITS}) GROUP BY split",
         "p3_terms": _TERMS + "SELECT field_name, term, n_occurrences, n_rows, mark FROM marked",
         "p3_found": _TERMS + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
         "p5_found": _PIECES,
