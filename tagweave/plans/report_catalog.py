@@ -367,13 +367,19 @@ def _(spark, folder):
 
 @query("e6_rescored_runs", K.SQL["e5_evaluation_row"])
 def _(spark, folder):
-    """Tags packed as a saved run has them, unpacked and scored again: the same as the scores of the tags themselves."""
+    """Tags packed as a saved run has them, unpacked and scored again: the same as the scores of the tags themselves.
+
+    A run is packed in blocks of 256 sentences, the gold and the predicted tags of each in one go: gathered apart, they come in different orders.
+    """
     rows = D.tagged(spark, folder).withColumn("part", F.coalesce("part", F.lit("none")))
-    runs = rows.groupBy("part", (F.col("row_id") % 97).alias("run")).agg(F.collect_list("gold").alias("gold"), F.collect_list("pred").alias("predicted"))
-    both = runs.select("part", "run", "gold", "predicted")
+    block = F.floor(F.col("row_id") / (97 * 256))
+    runs = rows.groupBy("part", (F.col("row_id") % 97).alias("run"), block.alias("block")).agg(F.collect_list(F.struct("gold", "pred")).alias("s"))
+    both = runs.select("part", F.col("s.gold").alias("gold"), F.col("s.pred").alias("predicted"))
+    packed = ("labels", "codes", "lengths")
+    for side in ("gold", "predicted"):
+        both = writers.packed_predictions(both, side).withColumnsRenamed({c: f"{side}_{c}" for c in packed})
     for side in ("gold", "predicted"):
-        packed = writers.packed_predictions(both.select("part", "run", side), side)
-        both = both.drop(side).join(writers.unpacked_predictions(packed, side), ["part", "run"])
+        both = writers.unpacked_predictions(both.withColumnsRenamed({f"{side}_{c}": c for c in packed}), side)
     return T.rescored(both, ["part"]).select("part", *r6(*K._EVALUATION))
 
 

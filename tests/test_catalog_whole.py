@@ -2,6 +2,8 @@
 
 import math
 
+from pyspark.sql import functions
+
 import __spark_entry__ as entry
 
 
@@ -64,3 +66,14 @@ def test_size_matched_profile(spark, tmp_path):
     expected = {"entity_share": 2 / 7, "type_entropy": math.log(2) / math.log(7), "rare_share": 1, "multi_word": 0, "mean_words": 1, "capitalised": 0, "unseen_rate": 1 / 3, "ambiguous_share": 2 / 7, "lookup_f1": 0.8}
     assert {m: round(v, 9) for m, v in whole.items()} == {m: round(v, 9) for m, v in expected.items()}
     assert all(r.low == r.mean == r.high for r in out if r.part == "bootstrap") and all(r.low <= r.mean + 1e-9 and r.mean <= r.high + 1e-9 for r in out)
+
+
+def test_rescored_runs_whatever_order_sentences_come_in(spark, tmp_path, monkeypatch):
+    tags = [["B-Actor", "O", "B-Activity Data", "I-Activity Data"][: 1 + i % 4] for i in range(400)]
+    data = [(i * 97, "d", i, "pool" if i % 3 else None, ["w"] * len(t), t) for i, t in enumerate(tags)]
+    schema = "row_id long, document_name string, sentence_id int, split string, tokens array<string>, ner_tags array<string>"
+    expected = {r.part or "none": tuple(r)[1:] for r in rows(spark, tmp_path, "e5_evaluation_row", sentences=(data, schema))}
+    listed = functions.collect_list
+    monkeypatch.setattr(functions, "collect_list", lambda c: functions.shuffle(listed(c)))
+    out = rows(spark, tmp_path, "e6_rescored_runs", sentences=(data, schema))
+    assert {r.part: tuple(r)[1:] for r in out} == expected and len(expected) == 2
