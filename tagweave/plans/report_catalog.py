@@ -247,8 +247,7 @@ FROM words w LEFT JOIN marks m ON w.row_id = m.row_id AND w.wid = m.wid GROUP BY
 def _(spark, folder):
     from tagweave.operators import loop
 
-    marked = loop.suggestion_marks(D.selections(spark, folder), D.words(spark, folder), 3, ["row_id", "wid"])
-    return loop.suggestion_counts(marked, ["part"])
+    return loop.sentence_suggestion_counts(D.selections(spark, folder), D.tagged(spark, folder).select("row_id", "part", "gold"), 3, ["row_id"], ["part"])
 
 
 @query("g56_throughput", """

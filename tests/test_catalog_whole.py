@@ -77,3 +77,31 @@ def test_rescored_runs_whatever_order_sentences_come_in(spark, tmp_path, monkeyp
     monkeypatch.setattr(functions, "collect_list", lambda c: functions.shuffle(listed(c)))
     out = rows(spark, tmp_path, "e6_rescored_runs", sentences=(data, schema))
     assert {r.part: tuple(r)[1:] for r in out} == expected and len(expected) == 2
+
+
+
+def moved(node):
+    """Rows that the shuffles of a plan wrote."""
+    kind, children = node.nodeName(), node.children()
+    own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "Exchange" else 0
+    inner = [node.executedPlan()] if kind == "AdaptiveSparkPlan" else [node.plan()] if kind.endswith("QueryStage") else [children.apply(i) for i in range(children.size())]
+    return own + sum(map(moved, inner))
+
+
+def long_sentences(spark, tmp_path, query):
+    data = [(i, "d", i, "pool" if i % 3 else None, ["w"] * (i * 4), ["O" if j % 9 == 8 else "B-Actor" for j in range(i * 4)]) for i in range(60)]
+    spark.createDataFrame(data, "row_id long, document_name string, sentence_id int, split string, tokens array<string>, ner_tags array<string>").write.parquet(f"{tmp_path}/sentences.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables that are too large
+    try:
+        df = entry.queries()[query](spark, str(tmp_path))
+        out = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return data, {r[0]: tuple(r)[1:] for r in out}, moved(df._jdf.queryExecution().executedPlan())
+
+
+def test_suggestions_are_counted_without_moving_every_word(spark, tmp_path):
+    data, out, n = long_sentences(spark, tmp_path, "g55_suggestion_counts")
+    places = [(part, (i * 13 + j * 5) % 10, t != "O") for i, _, _, part, _, tags in data for j, t in enumerate(tags)]
+    assert out == {p: (len(own := [(r, e) for q, r, e in places if q == p]), sum(e and r <= 3 for r, e in own), sum(e and r == 4 for r, e in own), sum(e and r == 4 for r, e in own)) for p in ("pool", None)}
+    assert 0 < n < len(places) / 10
