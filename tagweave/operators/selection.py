@@ -100,8 +100,13 @@ def remaining(candidates: DataFrame, acquired: DataFrame, keys: Sequence[str]) -
 
 
 def reveal(selected: DataFrame, labels: DataFrame, sentences: DataFrame, sentence: Sequence[str]) -> DataFrame:
-    """Labels and sentence tokens of the selected words only."""
-    return selected.join(labels, [*sentence, "wid"]).join(sentences, list(sentence))
+    """Labels and sentence tokens of the selected words only.
+
+    ``labels`` hold the tags ``gold`` of a sentence as an array: a row a sentence is moved, not one a word.
+    """
+    sized = labels.withColumn("_n", F.size("gold"))
+    found = selected.join(sized, list(sentence)).where("wid >= 0 and wid < _n").drop("_n")
+    return found.withColumn("gold", F.get("gold", F.col("wid").cast("int"))).join(sentences, list(sentence))
 
 
 def prefix(ordered: DataFrame, order: str, percent: float) -> DataFrame:

@@ -685,8 +685,9 @@ def _(spark, folder):
 @query("j23_reveal", W_SEL + "SELECT s.label, count(*) AS n, sum(len(t.tokens))::BIGINT AS context FROM selections s JOIN words w ON s.row_id = w.row_id AND s.wid = w.wid JOIN tagged t ON t.row_id = s.row_id WHERE s.round = 0 GROUP BY s.label")
 def _(spark, folder):
     chosen = D.selections(spark, folder).where("round = 0").select("row_id", "wid", "label")
-    out = A.reveal(chosen, D.words(spark, folder).select("row_id", "wid", "gold"), D.tagged(spark, folder).select("row_id", "tokens"), ["row_id"])
-    return out.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("context"))
+    rows = D.tagged(spark, folder)
+    out = A.reveal(chosen, rows.select("row_id", "gold"), rows.select("row_id", F.size("tokens").alias("n_tokens")), ["row_id"])
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("context"))
 
 
 @query("a8_acquisition_loop")

@@ -105,3 +105,10 @@ def test_suggestions_are_counted_without_moving_every_word(spark, tmp_path):
     places = [(part, (i * 13 + j * 5) % 10, t != "O") for i, _, _, part, _, tags in data for j, t in enumerate(tags)]
     assert out == {p: (len(own := [(r, e) for q, r, e in places if q == p]), sum(e and r <= 3 for r, e in own), sum(e and r == 4 for r, e in own), sum(e and r == 4 for r, e in own)) for p in ("pool", None)}
     assert 0 < n < len(places) / 10
+
+
+def test_labels_are_revealed_without_moving_every_word(spark, tmp_path):
+    data, out, n = long_sentences(spark, tmp_path, "j23_reveal")
+    chosen = [len(tags) for i, _, _, _, _, tags in data for j, t in enumerate(tags) if t != "O" and (i * 13 + j * 5) % 10 == 0]
+    assert out == {"Actor": (len(chosen), sum(chosen))}
+    assert 0 < n < sum(len(tags) for *_, tags in data) / 4
