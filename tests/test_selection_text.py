@@ -33,6 +33,21 @@ def test_draws_do_not_depend_on_partitioning(spark):
     assert abs(u[0] - 0.5) < 0.02 and 0 < u[1] and u[2] < 1
 
 
+def test_first_rows_of_many_equal_ones(spark, monkeypatch):
+    monkeypatch.setattr(A, "FEW", 7)
+    rows = spark.range(600).select(F.when(F.col("id") % 5 > 0, (F.col("id") % 4) / 8).alias("x"), F.when(F.col("id") > 30, (F.col("id") * 7) % 601).alias("k"), "id")
+    for n in (0, 1, 60, 121, 300, 599, 600, 700):
+        assert sorted(r.id for r in rows.where(A.first_rows(rows, n, ["x", "k", "id"], 16)).collect()) == sorted(r.id for r in rows.orderBy("x", "k", "id").limit(n).collect())
+
+
+def test_rounds_of_a_loop_are_evaluated_together(spark, monkeypatch):
+    calls, evaluated = [], loop.evaluation.evaluation
+    monkeypatch.setattr(loop.evaluation, "evaluation", lambda *a: calls.append(1) or evaluated(*a))
+    df = spark.createDataFrame([(s, w, f"f{(s * 3 + w) % 6}", "B-Actor" if w else "O") for s in range(10) for w in range(3)], "s int, wid int, word string, gold string")
+    results, chosen = loop.run(df.where("s < 1"), df.where("s between 1 and 7"), df.where("s > 7"), Scratch(spark, "t"), "s", 5, 50.0, "entropy", 1)
+    assert len(calls) == 1 and results.count() == 6 and chosen.count() == 20
+
+
 def test_splits_are_exact_in_size(spark):
     parts = {r.part: r["count"] for r in A.split_rows(spark.range(417), F.col("id"), ["id"], 0.2, 5, 3407).groupBy("part").count().collect()}
     assert parts == {"test": 84, "bootstrap": 5, "pool": 328}
