@@ -3,8 +3,9 @@
 Every evaluation text is cut into one span more than the edits that a partner may have, so that one span
 at least stands unaltered in any partner. Spans are cut to hold equal information, measured by word pair
 counts over all rows; the most telling words of each span are the patterns of Aho-Corasick automata over
-shards of the evaluation texts, which scan every training text. Intervals that match at a fitting place are
-merged into the coverage of the evaluation text, and each candidate is then compared word by word.
+shards of the evaluation texts, which scan the training texts: all of them if the shards are few, else each
+text only in the shards that hold a pattern of its own words, found by the patterns' hashes. Intervals that match
+at a fitting place are merged into the coverage of the evaluation text, and each candidate is then compared word by word.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
 import pyarrow.fs
 import pyarrow.parquet
 from pyspark.sql import DataFrame, functions as F
@@ -32,8 +34,11 @@ EDIT_SHARE = 8
 COUNTERS, COUNTER_BLOCK = 1 << 18, 512
 #: Words in a pattern at most, patterns in a shard, training texts in a file, which a task scans.
 PATTERN_WORDS, SHARD_PATTERNS, TASK_TEXTS = 8, 400_000, 200_000
-#: Shards that one job scans; more take several jobs, so that no plan grows with the number of shards.
-MOST_BRANCHES = 100
+#: Shards up to which every training text is scanned in each that its length fits; with more, texts are sent to the
+#: shards that hold a pattern of theirs, so that the work doesn't grow with texts times shards.
+MOST_BRANCHES = 3
+#: Bits of a filter for each pattern at least, and the growth of lengths from one band of texts to the next.
+FILTER_BITS, BAND = 16, 1.15
 #: Places of patterns, each with all texts that it belongs to, that are held at once.
 MOST_PLACES = 2_000_000
 #: Rows from which a class of equal texts may be hot, hot classes at most, and the parts that one is split into.
@@ -308,21 +313,159 @@ def _shard(uri: str) -> _Shard:
 _HIT = pa.schema([("row_id", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("edits", pa.int32()), ("coverage", pa.float64())])
 
 
+def _hits(uri: str, batch: pa.RecordBatch, code: _Coded) -> Iterator[pa.RecordBatch]:
+    """Partners of a batch's texts in the shard at ``uri``."""
+    for part in (batch.slice(i, 5000) for i in range(0, batch.num_rows, 5000)):
+        held = list(zip(*(part.column(c).to_pylist() for c in ("row_id", "n", "text"))))
+        rows = list(_shard(uri).partners(held, code))
+        columns = list(zip(*rows)) if rows else [[]] * len(_HIT)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HIT)], schema=_HIT)
+
+
 def _scan(uri: str):
     """Texts -> their partners in the shard at ``uri``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _Coded()
-        for whole in batches:
-            for batch in (whole.slice(i, 5000) for i in range(0, whole.num_rows, 5000)):
-                held = list(zip(*(batch.column(c).to_pylist() for c in ("row_id", "n", "text"))))
-                rows = list(_shard(uri).partners(held, code))
-                columns = list(zip(*rows)) if rows else [[]] * len(_HIT)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HIT)], schema=_HIT)
+        for batch in batches:
+            yield from _hits(uri, batch, code)
+
+    return run
+
+
+def _scan_own(uris: list[str]):
+    """Texts, each with the ``shard`` that it is sent to and in order of these -> their partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = _Coded()
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            heads = np.flatnonzero(np.diff(shards, prepend=-1)).tolist()
+            for a, b in zip(heads, [*heads[1:], len(shards)]):
+                yield from _hits(uris[shards[a]], batch.slice(a, b - a), code)
+
+    return run
+
+
+def _grams(flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of words in a pattern: it, the places where so many words stand in one text, and their hashes."""
+    with np.errstate(over="ignore"):
+        x = (flat + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        left = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(flat))
+        h = x
+        for size in range(1, PATTERN_WORDS + 1):
+            if size > 1:
+                h = h[:-1] * np.uint64(0xD6E8FEB86659FD93) + x[size - 1 :]
+            at = np.flatnonzero(left[: len(h)] >= size)
+            own = (h[at] ^ np.uint64(size)) * np.uint64(0xFF51AFD7ED558CCD)
+            yield size, at, own ^ (own >> np.uint64(32))
+
+
+def _word_marks(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64 marks for each text (none may be empty), each of its words setting one."""
+    return np.bitwise_or.reduceat(np.uint64(1) << (flat % np.uint64(64)), starts[:-1])
+
+
+def _routes(shard_of: dict[str, int]):
+    """Patterns of shards -> their hashes, with the length and marks of their text and the place of their end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _Numbered()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shards = np.array([shard_of[u] for u in batch.column("uri").to_pylist()], np.int32)
+            flat, starts = _flat_numbers([t.split(" ") for t in batch.column("text").to_pylist()], number)
+            of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(batch.column("starts")).to_numpy())
+            begins, ends = (pa.compute.list_flatten(batch.column(c)).to_numpy() for c in ("starts", "ends"))
+            marks, n, first = _word_marks(flat, starts).view(np.int64), np.diff(starts).astype(np.int32), starts[of] + begins
+            for size, at, hashes in _grams(flat, starts):
+                use = np.flatnonzero(ends - begins == size)
+                own = hashes[np.searchsorted(at, first[use])].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shards[of[use]], own, n[of[use]], ends[use].astype(np.int32), marks[of[use]])], ["shard", "hash", "own_n", "end", "own_marks"])
 
     return run
 
 
+class _Filter:
+    """Tells of hashes whether a pattern may have them: two bits each."""
+
+    def __init__(self, most: int):
+        self.shift = np.uint64(64 - max(16, math.ceil(math.log2(FILTER_BITS * max(1, most)))))
+        self.bits = np.zeros(1 << (61 - int(self.shift)), np.uint8)
+
+    def _places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
+        with np.errstate(over="ignore"):
+            yield hashes >> self.shift
+            yield (hashes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def add(self, hashes: np.ndarray) -> None:
+        for at in self._places(hashes):
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        own = np.arange(len(hashes))
+        for at in self._places(hashes):
+            own = own[(self.bits[at[own] >> np.uint64(3)] >> (at[own] & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        return own
+
+
+_filters: dict[tuple[str, int], _Filter] = {}
+
+
+def _filter(uri: str, band: int, sizes: list[tuple[int, int, int]]) -> _Filter:
+    """The filter of all patterns that a text of a band of lengths may have; kept for a worker's next task, one at a time."""
+    if (uri, band) not in _filters:
+        _filters.clear()
+        low, high = int(BAND**band) - 1, int(BAND ** (band + 1)) + 1
+        low, high = low - low // EDIT_SHARE - 1, high + most_edits(high) + 1
+        made = _Filter(sum(count for a, b, count in sizes if a <= high and b >= low))
+        fs, path = pa.fs.FileSystem.from_uri(uri)
+        table = pa.dataset.dataset(path, filesystem=fs, format="parquet")
+        for batch in table.to_batches(columns=["hash"], filter=(pa.dataset.field("own_n") <= high) & (pa.dataset.field("own_n") >= low), batch_readahead=1, fragment_readahead=1):
+            made.add(batch.column(0).to_numpy().view(np.uint64))
+        _filters[uri, band] = made
+    return _filters[uri, band]
+
+
+def _own_grams(uri: str, sizes: list[tuple[int, int, int]]):
+    """Texts -> their runs of words that may be a pattern, with the place of the end, by the filter of their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _Numbered()
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            bands = np.floor(np.log(n) / math.log(BAND)).astype(int)
+            for band in np.unique(bands).tolist():
+                own = batch.filter(pa.array(bands == band))
+                flat, starts = _flat_numbers([t.split(" ") for t in own.column("text").to_pylist()], number)
+                text, made = np.repeat(np.arange(own.num_rows), np.diff(starts)), _filter(uri, band, sizes)
+                marks = pa.array(_word_marks(flat, starts).view(np.int64))
+                for size, at, hashes in _grams(flat, starts):
+                    kept = made.has(hashes)
+                    place, of = at[kept], text[at[kept]]
+                    yield pa.RecordBatch.from_arrays([own.column("row_id").take(pa.array(of)), own.column("n").take(pa.array(of)), pa.array(hashes[kept].view(np.int64)), pa.array((place + size - starts[of]).astype(np.int32)), marks.take(pa.array(of))], ["row_id", "n", "hash", "place", "marks"])
+
+    return run
+
+
+def _sent(training: DataFrame, shards: DataFrame, ranges: list, scratch: Scratch) -> DataFrame:
+    """Each training text with the shards that hold one of its runs of words as a pattern of a text that it can fit.
+
+    A pair within the edits has a pattern unaltered, and passes the tests of length, place and marks that ``partners``
+    makes too, so no pair is lost."""
+    shard_of = {r.uri: i for i, r in enumerate(ranges)}
+    routes = scratch.keep(shards.select(F.input_file_name().alias("uri"), "text", "starts", "ends").mapInArrow(_routes(shard_of), "shard int, hash long, own_n int, end int, own_marks long"))
+    sizes = [(r.low, r.high, r.n) for r in routes.groupBy("shard").agg(F.min("own_n").alias("low"), F.max("own_n").alias("high"), F.count("*").alias("n")).collect()]
+    runs = training.mapInArrow(_own_grams(scratch.path(routes), sizes), "row_id long, n int, hash long, place int, marks long")
+    most = F.expr(f"greatest(n, own_n) div {EDIT_SHARE}")
+    fits = (F.abs(F.col("n") - F.col("own_n")) <= most) & (F.abs(F.col("place") - F.col("end")) <= most)
+    lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b))) <= most
+    own = runs.join(routes, "hash").where(fits & lacks("marks", "own_marks") & lacks("own_marks", "marks")).select("row_id", "shard").distinct()
+    return scratch.keep(training.join(own, "row_id"))
+
+
 def _with_members(hits: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
     """``hits`` joined to the rows of their class of equal texts; a class with much of the rows is split in parts."""
     key = ["key", "key2"]
@@ -343,8 +486,7 @@ def cross_split_pairs(df: DataFrame, scratch: Scratch, id_column: str = "row_id"
     Of the longer row's words at most one in EDIT_SHARE is replaced, misspelt, dropped or added; ``coverage``
     is the share of the evaluation row's words inside matched patterns. Rows without words or split give no
     row; equal evaluation texts (by two hashes of 64 bits) are searched once and joined back by their class, so a
-    large group of copies costs no more than its pairs. Training texts are laid out by their number of words, so
-    that a shard's scan reads those that can fit. An empty table, or one without either side, gives an empty result.
+    large group of copies costs no more than its pairs. Training texts are laid out by their number of words. An empty table, or one without either side, gives an empty result.
     """
     spark = df.sparkSession
     side = F.lower(F.trim(F.regexp_replace(F.col(split), "[\\s\\u00a0]+", " ")))
@@ -369,11 +511,12 @@ def cross_split_pairs(df: DataFrame, scratch: Scratch, id_column: str = "row_id"
     if len(ranges) > 1:
         # a file holds a task's texts; where none of them can fit a shard, it is passed over by its statistics
         training = scratch.keep(training.repartitionByRange(math.ceil(n_training / TASK_TEXTS), "n", "row_id").sortWithinPartitions("n"))
-
-    def scan(shard) -> DataFrame:
-        fits = F.col("n").between(shard.low - shard.low // EDIT_SHARE - 1, shard.high + most_edits(shard.high) + 1)
-        return training.where(fits).mapInArrow(_scan(shard.uri), "row_id long, key long, key2 long, edits int, coverage double")
-
-    hits = [scratch.keep(reduce(DataFrame.unionByName, map(scan, ranges[i : i + MOST_BRANCHES]))) for i in range(0, len(ranges), MOST_BRANCHES)]
+    hit = "row_id long, key long, key2 long, edits int, coverage double"
+    if len(ranges) > MOST_BRANCHES:
+        sent = _sent(training, shards, ranges, scratch)
+        laid = sent.repartitionByRange(len(ranges), "shard", "row_id").sortWithinPartitions("shard")
+        hits = scratch.keep(laid.mapInArrow(_scan_own([r.uri for r in ranges]), hit))
+    else:
+        hits = scratch.keep(reduce(DataFrame.unionByName, (training.where(F.col("n").between(r.low - r.low // EDIT_SHARE - 1, r.high + most_edits(r.high) + 1)).mapInArrow(_scan(r.uri), hit) for r in ranges)))
     members = evaluation.select("key", "key2", F.col("row_id").alias("eval_id"))
-    return _with_members(reduce(DataFrame.unionByName, hits), members, classes.select("key", "key2", "n_rows")).select(F.col("row_id").alias("train_id"), "eval_id", "edits", "coverage")
+    return _with_members(hits, members, classes.select("key", "key2", "n_rows")).select(F.col("row_id").alias("train_id"), "eval_id", "edits", "coverage")

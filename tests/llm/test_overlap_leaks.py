@@ -93,6 +93,27 @@ def test_several_shards_give_the_same(spark, monkeypatch):
     assert len(again) == len(set(again)) == 4 * len(once) and {(a % 10_000, b % 10_000) for a, b in again} == once
 
 
+def test_texts_are_sent_only_to_shards_that_may_hold_a_partner(spark, monkeypatch):
+    rng = random.Random(5)
+    phrase = [f"p{i}" for i in range(9)]  # a run of words that every text has, so that many share its pattern
+    data = [(i, phrase + [f"w{rng.randrange(10**6)}" for _ in range(20)], "test" if i % 2 else "pool", *[None] * 4) for i in range(200)]
+    data += [(1000 + r[0], edited(r[1], 2, rng), "pool", *r[3:]) for r in data if r[0] % 20 == 1]
+    monkeypatch.setattr(overlap, "SHARD_PATTERNS", 20)
+    scratch, sent = Scratch(spark, "t"), []
+    keep = scratch.keep
+
+    def kept(df):
+        out = keep(df)
+        if {"shard", "text"} <= set(out.columns):
+            sent.append(out)
+        return out
+
+    monkeypatch.setattr(scratch, "keep", kept)
+    found = {(r.train_id, r.eval_id) for r in overlap.cross_split_pairs(spark.createDataFrame(data, SCHEMA), scratch).collect()}
+    assert found == {(1000 + i, i) for i in range(1, 200, 20)}
+    assert len(sent) == 1 and 10 <= sent[0].count() < 20  # of 110 training texts and about 25 shards
+
+
 def test_no_side(spark):
     df = spark.createDataFrame([(1, ["a"], "pool", *[None] * 4)], SCHEMA)
     assert overlap.cross_split_pairs(df, Scratch(spark, "t")).count() == 0
