@@ -147,6 +147,55 @@ def test_tables(spark):
     assert empty.count() == 0
 
 
+def test_every_text_is_trained_on(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('The clerk waits for form ', id, '. The form stays.') as text")
+    notes = docs.selectExpr("cast(doc_id as string) as id", "'One. Two.' as text", "array(named_struct('text', 'One.', 'sentence_index', 0), named_struct('text', 'Two.', 'sentence_index', 1)) as tokens")
+    monkeypatch.setattr(S, "train", lambda parts, labels: parts)
+    plain, *_, loud, known = S.fit(docs, notes)
+    assert [len(c.chars.starts) for c in (plain, loud, known)] == [3000] * 3
+    assert (plain.weight, loud.weight) == (1.0, S.LOUD) and known.weight * 3000 == pytest.approx(S.KNOWN * 3000)
+
+
+def test_tasks_learn_what_the_driver_does(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [t for t, _ in make(rng, 200)] + [f"Sent to St. Tomer{k} of Ltd. Dispatch by the clerk. The old form, etc. The form is ca. {k} long." for k in range(20)]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)] + [(None, None, None, None)], DOCUMENTS).repartition(3)
+    notes = spark.createDataFrame([("a", "One two. Three.", [("One", 0), ("two", 0), (".", 0), ("Three", 1), (".", 1)]), ("b", None, None)], ANNOTATED)
+    one = S.fit(docs, notes)
+    found, own = S.table_habits(docs.where("text is not null").select("text"), S.Scratch(spark, "test")), S.habits(S.candidates(Characters(texts)))
+    assert found == own and own.short and own.ending | own.counted
+    monkeypatch.setattr(S, "LOCAL", sum(map(len, texts)) // 3)
+    monkeypatch.setattr(S, "BLOCK", 3000)
+    seen = cut_texts(S.fit(docs, notes), texts)
+    assert sum(a == b for a, b in zip(seen, cut_texts(one, texts))) >= 0.98 * len(texts)
+    monkeypatch.setattr(S, "PARTS", 1)
+    same = S.fit(docs, notes)
+    assert np.allclose(same.weights, one.weights, atol=1e-4) and np.allclose(same.pairs, one.pairs, atol=1e-4)
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 64])
+def test_gradient_matches_enumeration(monkeypatch, stretch):
+    monkeypatch.setattr(S, "STRETCH", stretch)
+    rng = np.random.default_rng(4)
+    c = S.candidates(Characters(["a. b. c. d. e.\nf. G", "none", "H. i! J"]))
+    w, pairs, labels = rng.normal(size=S.WIDTH), rng.normal(size=(3, 2, 2)), rng.random(len(c.end)) < 0.5
+    f, far, expected = S.features(c), S._distance(c), np.zeros(S.WIDTH + 13)
+    expected[-1] = len(c.end)
+    for text in np.unique(c.text):
+        at = np.flatnonzero(c.text == text)
+        every = [[int(x) for x in f"{k:0{len(at)}b}"] for k in range(1 << len(at))]
+        value = np.array([sum(w[f[i]].sum() for i, x in zip(at, y) if x) + sum(pairs[far[i], a, b] for i, a, b in zip(at[1:], y, y[1:])) for y in every])
+        chance = np.exp(value - value.max()) / np.exp(value - value.max()).sum()
+        for y, p in [*zip(every, chance), (labels[at].astype(int).tolist(), -1)]:
+            for i, x in zip(at, y):
+                np.add.at(expected, f[i].astype(int), p * x)
+            for i, a, b in zip(at[1:], y, y[1:]):
+                expected[S.WIDTH + 4 * far[i] + 2 * a + b] += p
+    total = np.zeros(S.WIDTH + 13)
+    S.gradient(S.chains(c, labels), w, pairs, total)
+    assert np.allclose(total, expected)
+
+
 def test_units_have_the_same_hash_anywhere():
     u = units(Characters(["Apple pie", "my APPLE", "苹果x苹", "ก ข"]), (CJK, THAI))
     h = {(t, s): v for t, s, v in zip(u.text.tolist(), (u.start).tolist(), u.hash.tolist())}
