@@ -44,6 +44,8 @@ SMALL_WORDS = ("the of and is by are must to", "die der das und ist wer nach bei
 HAND_WEIGHT = 4.0
 #: Documents in the sample that an n-gram must occur in.
 LEAST = 3
+#: N-grams and sentences that are gone through at a time, and texts of the sample whose characters are held at a time.
+SLICE, SENTENCES, BLOCK = 1 << 16, 400, 250
 _NO_END = S._classes(C.LOWER, C.UPPER, C.DIGIT, C.LETTER)
 
 
@@ -85,25 +87,58 @@ class Sentences:
         kana[of[inside[(chars.codes[u.start[inside]] >= 0x3040) & (chars.codes[u.start[inside]] < 0x3100)]]] = True
         self.script = np.where(kana, 1, np.where(code >= 0x2E80, 2, (code >> 7) + 3))  # kana, ideographs, else the block of 128
         self.owner, self.grams, self.n_texts = owner[order], grams[order], len(texts)
+        self.used, self.width = slice(None), WIDTH  # the hashes that ``grams`` are numbers of
+
+    def slices(self) -> Iterator[slice]:
+        """Places of n-grams, some whole texts at a time, as what is made of all at once takes much memory."""
+        first = np.searchsorted(self.owner, np.searchsorted(self.text, np.arange(self.n_texts + 1)).astype(self.owner.dtype))
+        at = 0
+        while at < self.n_texts:
+            after = max(at + 1, int(np.searchsorted(first, first[at] + SLICE, side="right")) - 1)
+            yield slice(first[at], first[after])
+            at = after
+
+    def sizes(self) -> np.ndarray:
+        """Each sentence's number of n-grams, at least 1."""
+        return np.maximum(1, np.bincount(self.owner, minlength=len(self.text)))
 
     def only_frequent(self, least: int) -> None:
-        """Drops n-grams in fewer than ``least`` texts."""
-        pairs = np.unique(self.grams.astype(np.int64) * self.n_texts + self.text[self.owner])
-        keep = np.bincount(pairs // self.n_texts, minlength=WIDTH)[self.grams] >= least
-        self.owner, self.grams = self.owner[keep], self.grams[keep]
+        """Drops n-grams in fewer than ``least`` texts, and numbers the others, so that tables by n-gram hold no more than these."""
+        texts = np.zeros(WIDTH, np.int64)
+        for own in self.slices():
+            pairs = np.unique(self.grams[own].astype(np.int64) * self.n_texts + self.text[self.owner[own]])
+            np.add.at(texts, pairs // self.n_texts, 1)
+        self.used = np.flatnonzero(texts >= least)
+        self.width, number = len(self.used), np.full(WIDTH, -1, np.int32)
+        number[self.used] = np.arange(self.width)
+        grams = number[self.grams]
+        keep = grams >= 0
+        self.owner, self.grams = self.owner[keep], grams[keep]
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """For each sentence, the sum of its n-grams' rows of ``weights``."""
         out = np.zeros((len(self.text), weights.shape[1]))
         starts = np.flatnonzero(np.r_[True, np.diff(self.owner) != 0]) if len(self.owner) else np.zeros(0, np.int64)
-        for i in range(0, len(starts), 8000):  # in slices, to hold little at once
-            own = starts[i : i + 8000]
-            end = starts[i + 8000] if i + 8000 < len(starts) else len(self.owner)
-            out[self.owner[own]] = np.add.reduceat(weights[self.grams[own[0] : end]], own - own[0], axis=0)
+        bounds = np.r_[starts[::SENTENCES], len(self.owner)]
+        held = np.empty((np.diff(bounds).max(initial=0), weights.shape[1]), weights.dtype)
+        for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+            own = starts[SENTENCES * i : SENTENCES * (i + 1)]
+            rows = weights.take(self.grams[a:b], axis=0, out=held[: b - a], mode="clip")
+            out[self.owner[own]] = np.add.reduceat(rows, own - a, axis=0)
         return out
 
+    def counts(self, values: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+        """For each n-gram, the sum of its sentences' rows of ``values``, each ``times`` the n-gram's own."""
+        columns, out = np.ascontiguousarray(values.T), np.zeros((values.shape[1], self.width))
+        for own in self.slices():
+            owner, grams = self.owner[own].astype(np.intp), self.grams[own].astype(np.intp)
+            for column, total in zip(columns, out):
+                x = column.take(owner)
+                np.add.at(total, grams, x if times is None else x * times[own])
+        return np.ascontiguousarray(out.T)
+
 
-def sentences_of(texts: list[str], model: S.Model, block: int = 1000) -> Sentences:
+def sentences_of(texts: list[str], model: S.Model, block: int = BLOCK) -> Sentences:
     """The sentences of many texts, made block by block, as their characters take far more memory than their n-grams."""
     parts = [Sentences(texts[i : i + block], model) for i in range(0, len(texts), block)] or [Sentences([], model)]
     out, before = parts[0], np.cumsum([0, *(len(p.text) for p in parts)])
@@ -120,7 +155,7 @@ def _languages(s: Sentences) -> np.ndarray:
     for k, line in enumerate(SMALL_WORDS):
         u = units(Characters([line]))
         votes[(u.hash >> np.uint64(40)).astype(np.int64) % WIDTH, k] = 1
-    count = s.sums(votes)
+    count = s.sums(votes[s.used])
     return np.where(count.any(1), count.argmax(1), len(SMALL_WORDS) + s.script)
 
 
@@ -129,8 +164,11 @@ def _widespread(s: Sentences, n_subjects: int) -> np.ndarray:
     _, language = np.unique(_languages(s), return_inverse=True)
     n = int(language.max(initial=0)) + 1
     texts = np.bincount(np.unique(language * s.n_texts + s.text) // s.n_texts, minlength=n)
-    pairs = np.unique((s.grams.astype(np.int64) * n + language[s.owner]) * s.n_texts + s.text[s.owner]) // s.n_texts
-    count = np.bincount(pairs, minlength=WIDTH * n).reshape(WIDTH, n)
+    count = np.zeros(s.width * n, np.int64)
+    for own in s.slices():
+        owner = s.owner[own]
+        np.add.at(count, np.unique((s.grams[own].astype(np.int64) * n + language[owner]) * s.n_texts + s.text[owner]) // s.n_texts, 1)
+    count = count.reshape(s.width, n)
     return (count > np.maximum(MOST_TEXTS / n_subjects * texts, 4)).any(1)
 
 
@@ -196,14 +234,15 @@ def weak_labels(s: Sentences, given: np.ndarray, n_subjects: int, likely: np.nda
     prior[given] = 1.0
     prior /= prior.sum(1, keepdims=True)
     strength = np.where(labelled, 3.0, 0.3)[:, None]
-    pair = s.grams.astype(np.int64) * s.n_texts + s.text[s.owner]
-    _, of, times = np.unique(pair, return_inverse=True, return_counts=True)
-    once = 1.0 / times[of]
+    once = np.empty(len(s.grams))
+    for own in s.slices():
+        _, of, times = np.unique(s.grams[own].astype(np.int64) * s.n_texts + s.text[s.owner[own]], return_inverse=True, return_counts=True)
+        once[own] = 1.0 / times[of]
     may = ~_widespread(s, k)[:, None]
     q = prior[s.text] * labelled[s.text][:, None]
     r = np.zeros((n, k + 1))
     for _ in range(EM_ROUNDS):
-        counts = np.stack([np.bincount(s.grams, q[s.owner, z] * once, WIDTH) for z in range(k)], 1)
+        counts = s.counts(q, once)
         base = q.sum(0) / max(1e-9, q.sum())
         share = (counts + SMOOTH * base) / (counts.sum(1, keepdims=True) + SMOOTH)
         second = np.partition(share, -2, axis=1)[:, -2:-1]
@@ -233,24 +272,24 @@ def train(s: Sentences, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = target.shape[1]
     if not len(s.text):
         return np.zeros((WIDTH, k), np.float32), np.full(k, -10.0)
-    size = np.maximum(1, np.bincount(s.owner, minlength=len(s.text)))
-    w, b = np.zeros((WIDTH, k)), np.log((target.mean(0) + 1e-3) / (1 - target.mean(0) + 1e-3))
+    w, b = np.zeros((s.width, k)), np.log((target.mean(0) + 1e-3) / (1 - target.mean(0) + 1e-3))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    scale = 1 / np.sqrt(size)[:, None]
+    scale = 1 / np.sqrt(s.sizes())[:, None]
     for t in range(1, ROUNDS + 1):
         p = 1 / (1 + np.exp(-np.clip(s.sums(w) * scale + b, -30, 30)))
         off = (p - target) / len(s.text)
-        g = np.stack([np.bincount(s.grams, (off * scale)[s.owner, z], WIDTH) for z in range(k)], 1) + 1e-7 * w
+        g = s.counts(off * scale) + 1e-7 * w
         m += 0.1 * (g - m)
         v += 0.02 * (g * g - v)
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-9) * (v > 0)
         b -= 0.5 * off.sum(0)
-    return w.astype(np.float32), b
+    weights = np.zeros((WIDTH, k), np.float32)
+    weights[s.used] = w
+    return weights, b
 
 
 def probabilities(s: Sentences, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    size = np.maximum(1, np.bincount(s.owner, minlength=len(s.text)))
-    return 1 / (1 + np.exp(-np.clip(s.sums(w) / np.sqrt(size)[:, None] + b, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(s.sums(w[s.used]) / np.sqrt(s.sizes())[:, None] + b, -30, 30)))
 
 
 def shares(s: Sentences, p: np.ndarray, thresholds: np.ndarray) -> np.ndarray:

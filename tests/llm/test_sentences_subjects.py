@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -238,6 +240,28 @@ def test_subjects_of_held_out_documents(spark):
     assert J.document_subjects(docs.limit(0), J.fit(docs.limit(0), labels.limit(0), areas, S.fit(docs.limit(0), None))).count() == 0
 
 
+def test_training_holds_no_more_than_the_n_grams_that_occur(monkeypatch):
+    monkeypatch.setattr(J, "ROUNDS", 5)
+    data = documents(np.random.default_rng(8), 300)
+    given = np.array([[s in own and i < 150 for s in [*NOUNS, "d", "e", "f", "g", "h"]] for i, _, own in data])
+    whole, few, sliced = (J.sentences_of([t.replace(". ", ".\n\n") for _, t, _ in data], S.Model(np.zeros(S.WIDTH), np.zeros((3, 2, 2)))) for _ in range(3))
+    few.only_frequent(1)
+    assert few.width == len(np.unique(whole.grams)) and np.array_equal(few.used[few.grams], whole.grams)
+    tracemalloc.start()
+    labels = J.weak_labels(few, given, 8)
+    weights, intercepts = J.train(few, labels[:, :-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6  # of which the weights are 8 MB
+    for size, s in ((1 << 30, whole), (50, sliced)):
+        monkeypatch.setattr(J, "SLICE", size)
+        monkeypatch.setattr(J, "SENTENCES", min(size, 7))
+        assert len(list(s.slices())) == (1 if s is whole else 300)
+        assert np.array_equal(J.weak_labels(s, given, 8), labels)
+        assert np.array_equal(J.train(s, labels[:, :-1])[0], weights)
+    assert np.abs(weights).max() > 0 and labels[:, :3].sum() > 100
+
+
 def test_samples_hold_whole_texts(spark, monkeypatch):
     text = "The clerk stamps the form. " * 2000
     docs = spark.createDataFrame([(1, text, "a", None)], DOCUMENTS)
