@@ -59,11 +59,10 @@ class Characters:
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.starts = np.cumsum(size + 1) - size  # place of each text's first character
         self.ends = self.starts + size
-        self.small = np.minimum(self.codes, _TOP)
-        self.kinds = tables()[0][self.small]
+        self.kinds = tables()[0].take(self.codes, mode="clip")
 
-    def lower(self, at: np.ndarray) -> np.ndarray:
-        return tables()[1][self.small[at]]
+    def lower(self, at: np.ndarray | slice) -> np.ndarray:
+        return tables()[1].take(self.codes[at], mode="clip")
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -111,6 +110,6 @@ def units(chars: Characters, singles: tuple[int, ...] = (CJK,)) -> Units:
     end = np.where(single[start], start + 1, 0)
     end[~single[start]] = np.flatnonzero(word & ~np.r_[word[1:], False]) + 1
     sums = np.zeros(len(chars.codes) + 1, np.uint64)
-    np.cumsum((tables()[1][chars.small].astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(chars.codes)), out=sums[1:])
+    np.cumsum((chars.lower(slice(None)).astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(chars.codes)), out=sums[1:])
     h = (sums[end] - sums[start]) * _power(_INVERSE, len(chars.codes))[start]
     return Units(start, end, spread(h), single[start], np.searchsorted(chars.starts, start, side="right") - 1)

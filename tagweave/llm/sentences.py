@@ -32,6 +32,8 @@ WIDTH, ROUNDS = 1 << 16, 80
 LOUD, STRIPPED, KNOWN, FEW = 0.1, 0.6, 0.2, 2500
 #: Characters up to which a collection is trained on by the driver. Beyond, each round takes one of so many parts in turn.
 LOCAL, PARTS = 4_000_000, 16
+#: Splits of a part that a task of a round takes.
+FILES = 3
 #: Characters of the texts that make a block, and candidates of a text that are gone through at a time.
 BLOCK, STRETCH = 1 << 20, 64
 #: Occurrences before a full stop from which a word's behaviour counts, and the share after which the sentence goes on
@@ -59,6 +61,7 @@ class Candidates:
     quote: np.ndarray
     number_next: np.ndarray
     number_here: np.ndarray
+    bare: np.ndarray
     weight: float = 1.0
 
 
@@ -87,12 +90,20 @@ _OPENS_NEXT = _classes(C.UPPER, C.OPEN, C.QUOTE_OPEN)
 _WORDLESS = _classes(C.EDGE, C.SPACE, C.NEWLINE, C.QUOTE_OPEN, C.QUOTE_EITHER, C.OPEN)
 
 
+def _count(chars: Characters, mask: np.ndarray) -> np.ndarray:
+    """How many characters of each text are in ``mask``."""
+    bounds = [*chars.starts.tolist(), len(chars.kinds)]
+    return np.fromiter((np.count_nonzero(mask[a:b]) for a, b in zip(bounds, bounds[1:])), np.int64, len(chars.starts))
+
+
 def bare_texts(chars: Characters) -> np.ndarray:
     """Whether each text is mostly ideographic and holds no end mark; a point within a number is none."""
-    count = lambda mask: np.diff(np.searchsorted(np.flatnonzero(mask), np.r_[chars.starts, len(chars.kinds)]))
-    mark, digit = _MARKS[chars.kinds], chars.kinds == C.DIGIT
-    mark[1:-1] &= ~((chars.kinds[1:-1] == C.DOT) & digit[:-2] & digit[2:])
-    return (count(mark) == 0) & (2 * count(chars.kinds == C.CJK) > chars.ends - chars.starts)
+    out = 2 * _count(chars, chars.kinds == C.CJK) > chars.ends - chars.starts
+    if out.any():
+        mark, digit = _MARKS[chars.kinds], chars.kinds == C.DIGIT
+        mark[1:-1] &= ~((chars.kinds[1:-1] == C.DOT) & digit[:-2] & digit[2:])
+        out &= _count(chars, mark) == 0
+    return out
 
 
 def candidates(chars: Characters) -> Candidates:
@@ -135,10 +146,10 @@ def candidates(chars: Characters) -> Candidates:
     other = ~np.isin(gap_from, end) & ~(is_mark[gap_from - 1] & np.isin(gap_from - 1, last))
     gap_from, gap_to, thai = gap_from[other], gap_to[other], thai[other]
     # ideographic texts without any end mark: every character may be the last one
-    bare = np.flatnonzero(bare_texts(chars))
-    if len(bare):
+    bare = bare_texts(chars)
+    if bare.any():
         inside = np.flatnonzero((kinds[:-1] == C.CJK) & (kinds[1:] == C.CJK)) + 1
-        inside = inside[np.isin(np.searchsorted(chars.starts, inside, side="right") - 1, bare)]
+        inside = inside[bare[np.searchsorted(chars.starts, inside, side="right") - 1]]
         gap_from, gap_to, thai = np.concatenate([gap_from, inside]), np.concatenate([gap_to, inside]), np.concatenate([thai, np.ones(len(inside), bool)])
     all_end = np.concatenate([end, gap_from])
     order = np.argsort(all_end, kind="stable")
@@ -173,7 +184,7 @@ def candidates(chars: Characters) -> Candidates:
     begin = _forward(kinds, chars.starts, _SPACES)
     begun = _forward(kinds, begin, _DIGITS)
     from_start = (begun > begin)[text] & (mark == begun[text]) & (kind == _END_MARK)
-    return Candidates(chars, text, kind, mark, last, end, start_, lines(end, start_), quote, number_next, number_here | from_start)
+    return Candidates(chars, text, kind, mark, last, end, start_, lines(end, start_), quote, number_next, number_here | from_start, bare)
 
 
 def _token(chars: Characters, at: np.ndarray, step: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +212,7 @@ def _mix(*parts) -> np.ndarray:
 
 def shout(chars: Characters) -> np.ndarray:
     """Whether each text is all in capitals."""
-    count = lambda k: np.diff(np.searchsorted(np.flatnonzero(chars.kinds == k), np.r_[chars.starts, len(chars.kinds)]))
-    return count(C.UPPER) > 8 * count(C.LOWER) + 10
+    return _count(chars, chars.kinds == C.UPPER) > 8 * _count(chars, chars.kinds == C.LOWER) + 10
 
 
 def features(c: Candidates) -> np.ndarray:
@@ -222,7 +232,7 @@ def features(c: Candidates) -> np.ndarray:
         nxt, second = kinds[c.start], kinds[np.minimum(c.start + 1, len(kinds) - 1)]
         prev = kinds[c.mark - 1]
         gap = np.where(c.start == c.end, 0, np.where(c.newlines == 0, 1, np.minimum(c.newlines, 2) + 1))
-        loud, bare = shout(c.chars)[c.text], bare_texts(c.chars)[c.text]
+        loud, bare = shout(c.chars)[c.text], c.bare[c.text]
         spaced = _SPACES[prev]
         base = _mix(c.kind, end_code, several)
         mixed_case = (nxt == C.LOWER) & (second == C.UPPER)
@@ -421,20 +431,25 @@ class Habits:
 _OPENING = re.compile("[(«„“\"'’]")
 
 
-def _around(whole: str, mark: int, start: int) -> tuple[str, str]:
-    """The word before the end mark and what follows the gap, in lower case but for the latter."""
-    lead, following = whole[max(0, mark - 24) : mark].lower(), whole[start : start + 20]
+def _before(whole: str, mark: int) -> str:
+    """The word before the end mark, in lower case."""
+    lead = whole[max(0, mark - 24) : mark].lower()
     if "\0" in lead:
         lead = lead.rsplit("\0", 1)[1]
-    token = lead.split()[-1] if lead and not lead[-1].isspace() else ""
-    if not token.isalnum():
-        token = _OPENING.split(token)[-1]
+    token = lead.rsplit(None, 1)[-1] if lead and not lead[-1].isspace() else ""
+    return token if token.isalnum() else _OPENING.split(token)[-1]
+
+
+def _following(whole: str, start: int) -> str:
+    """What follows the gap, up to white space."""
+    following = whole[start : start + 20]
     following = following.split(None, 1)[0] if following and not following[0].isspace() else ""
-    return token, following.split("\0", 1)[0]
+    return following.split("\0", 1)[0] if "\0" in following else following
 
 
 _WORD = re.compile(r"(?<!\w)[^\W\d_](?:[^\W\d_]|[\u0900-\u097f])*(?=[\s,;:])")
 _LETTERS = re.compile(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,2}")
+_INITIAL = re.compile(r"[^\W\d_]{1,2}\.")
 _UNIT = re.compile(r"[^\W\d_]{1,2}[A-ZÀ-Þ]")
 
 
@@ -453,7 +468,7 @@ class Behaviour:
         stops = np.flatnonzero((c.kind == _END_MARK) & (c.mark == c.last_mark) & (c.quote != INSIDE) & ~c.number_here & (c.newlines < 2) & (c.chars.codes[c.mark] == 0x2E))
         columns = (c.mark[stops], c.start[stops], c.chars.kinds[c.start[stops]], c.newlines[stops] > 0)
         for mark, start, nxt, broken in zip(*(x.tolist() for x in columns)):
-            token, following = _around(whole, mark, start)
+            token, following = _before(whole, mark), _following(whole, start)
             word = following.lower().strip(".,;:")
             if token.isdigit():
                 self.after_number[word] += 1
@@ -556,10 +571,9 @@ def rule_labels(c: Candidates, own: Habits | None = None) -> np.ndarray:
             continue
         if quote == INSIDE or number_here and (i == 0 or c.text[i - 1] != c.text[i] or out[i - 1]):
             continue
-        token, following = _around(whole, mark, start)
-        goes_on = nxt == C.LOWER and not _UNIT.match(following) or following[:1] in (",", ";", "—", "–", ")", "")
         if quote == AT_START or quote == IN_MIDDLE and nxt == C.CJK:
             continue
+        goes_on = nxt == C.LOWER and not _UNIT.match(_following(whole, start)) or (first := whole[start]) in ",;—–)\0" or first.isspace()
         cluster = whole[mark : last + 1]
         if quote != NO_QUOTE:
             out[i] = not goes_on
@@ -567,14 +581,16 @@ def rule_labels(c: Candidates, own: Habits | None = None) -> np.ndarray:
             out[i] = True
         elif cluster != ".":
             out[i] = not goes_on and not (set(cluster) <= {".", "…"} and _SPACES[prev])
-        elif token.isdigit():
-            out[i] = not goes_on and following.lower().strip(".,;:") not in own.counted
-        elif len(token) == 1 and token.isalpha() and re.match(r"[^\W\d_]{1,2}\.", following):  # the first letter of two or more
+        elif goes_on:
+            continue
+        elif (token := _before(whole, mark)).isdigit():
+            out[i] = _following(whole, start).lower().strip(".,;:") not in own.counted
+        elif len(token) == 1 and token.isalpha() and _INITIAL.match(_following(whole, start)):  # the first letter of two or more
             continue
         elif token in own.short and (token not in own.ending or nxt == C.DIGIT and not c.number_next[i]):
             continue
         else:
-            out[i] = not goes_on
+            out[i] = True
     return out
 
 
@@ -690,6 +706,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _table_gradient(parts: list[DataFrame]) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+    # Few tasks a round, as the weights and sums that travel with each may take longer than a split.
+    parts = [p.coalesce(max(1, -(-p.rdd.getNumPartitions() // FILES))) for p in parts]
     many = [p.rdd.getNumPartitions() > 64 for p in parts]
 
     def total(t: int, w: np.ndarray, pairs: np.ndarray) -> np.ndarray:

@@ -129,12 +129,11 @@ class Sentences:
 
     def counts(self, values: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
         """For each n-gram, the sum of its sentences' rows of ``values``, each ``times`` the n-gram's own."""
-        columns, out = np.ascontiguousarray(values.T), np.zeros((values.shape[1], self.width))
-        for own in self.slices():
-            owner, grams = self.owner[own].astype(np.intp), self.grams[own].astype(np.intp)
-            for column, total in zip(columns, out):
-                x = column.take(owner)
-                np.add.at(total, grams, x if times is None else x * times[own])
+        columns, out, slices = np.ascontiguousarray(values.T), np.zeros((values.shape[1], self.width)), list(self.slices())
+        for column, total in zip(columns, out):
+            for own in slices:
+                x = column.take(self.owner[own].astype(np.intp))
+                np.add.at(total, self.grams[own].astype(np.intp), x if times is None else x * times[own])
         return np.ascontiguousarray(out.T)
 
 

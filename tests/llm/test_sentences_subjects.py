@@ -175,6 +175,22 @@ def test_tasks_learn_what_the_driver_does(spark, monkeypatch):
     assert np.allclose(same.weights, one.weights, atol=1e-4) and np.allclose(same.pairs, one.pairs, atol=1e-4)
 
 
+def test_a_round_takes_few_tasks(spark):
+    texts = [t for t, _ in make(np.random.default_rng(5), 70)]
+    whole, kept = np.zeros(S.WIDTH + 13), []
+    for k in range(0, 70, 10):
+        c = S.candidates(Characters(texts[k : k + 10]))
+        x = S.chains(c, S.rule_labels(c))
+        S.gradient(x, np.zeros(S.WIDTH), np.zeros((3, 2, 2)), whole)
+        kept.append((x.weight, *(bytearray(getattr(x, n).tobytes()) for n in S._STORED)))
+    part = spark.createDataFrame(spark.sparkContext.parallelize(kept, 7), S._CHAINS.removesuffix(", part int"))
+    spark.sparkContext.setJobGroup("few tasks", "")
+    assert np.allclose(S._table_gradient([part])(1, np.zeros(S.WIDTH), np.zeros((3, 2, 2))), whole)
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [seen.getStageInfo(s).numTasks for j in seen.getJobIdsForGroup("few tasks") for s in seen.getJobInfo(j).stageIds] == [3]
+
+
 @pytest.mark.parametrize("stretch", [1, 3, 64])
 def test_gradient_matches_enumeration(monkeypatch, stretch):
     monkeypatch.setattr(S, "STRETCH", stretch)
